@@ -23,7 +23,9 @@ def spine(
     if bounds not in ("global", "per_key"):
         raise ValueError(f"unknown bounds {bounds!r}")
     limits = [F.min(time).alias("_lo"), F.max(time).alias("_hi")]
-    if bounds == "per_key" or not keys:
+    if start is not None and end is not None:
+        base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    elif bounds == "per_key" or not keys:
         base = df.groupBy(*keys).agg(*limits)
     else:
         base = attach(df.select(*keys).distinct(), df.agg(*limits), [])

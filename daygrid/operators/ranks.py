@@ -16,10 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKETS = 64
 
 
-def _bucket(value: Column, limits: Column) -> Column:
-    return F.size(F.filter(limits, lambda limit: limit < value))
-
-
 def value_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values with their counts ``cnt``."""
     return (df.where(F.col(value).isNotNull())
@@ -31,7 +27,9 @@ def running_counts(hist: DataFrame, keys: Sequence[str], value: str, buckets: in
     shares = [i / buckets for i in range(1, buckets)]
     # The count takes part so that all three branches read the same exchange.
     limits = hist.agg(F.percentile_approx(F.when(F.col("cnt") > 0, F.col(value)), shares, F.lit(10_000)))
-    cut = hist.withColumn("_bucket", F.coalesce(_bucket(F.col(value), limits.scalar()), F.lit(0)))
+    below = F.filter(F.col("_limits"), lambda limit: limit < F.col(value))
+    cut = (hist.withColumn("_limits", limits.scalar())
+           .withColumn("_bucket", F.coalesce(F.size(below), F.lit(0))).drop("_limits"))
     totals = cut.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_sum"))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
