@@ -36,11 +36,13 @@ def over_blocks(
     back: int = 0,
     ahead: int = 0,
     size: int = BLOCK,
+    then: Callable[[WindowSpec], dict[str, Column]] | None = None,
 ) -> DataFrame:
     """Add window columns that look at most ``back`` / ``ahead`` positions away.
 
     ``build`` receives the ordered window of a block and returns the new
-    columns.  Positions must be consecutive integers within a series.
+    columns; ``then`` may add columns computed from those over the same window.
+    Positions must be consecutive integers within a series.
     """
     low, high = block_of(pos - F.lit(ahead), size), block_of(pos + F.lit(back), size)
     spread = df.withColumn("_pos", pos)
@@ -50,6 +52,8 @@ def over_blocks(
         spread = spread.withColumn("_block", low)
     window = Window.partitionBy(*keys, "_block").orderBy("_pos")
     out = spread.withColumns(build(window))
+    if then:
+        out = out.withColumns(then(window))
     return out.where(F.col("_block") == block_of(F.col("_pos"), size)).drop("_pos", "_block")
 
 
@@ -114,23 +118,24 @@ def nearest_known(
         agg for c in cols for agg in (
             edge(c, F.min, F.min_by).alias(f"_first_{c}"), edge(c, F.max, F.max_by).alias(f"_last_{c}"))
     ])
-    series = Window.partitionBy(*keys).orderBy("_block")
-    earlier = series.rowsBetween(Window.unboundedPreceding, -1)
-    later = series.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back in reversed order: a frame that ends at the
+    # last row would be evaluated anew for every row.
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *keys, "_block",
         *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_from_{c}") for c in cols],
-        *([F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_to_{c}") for c in cols]
+        *([F.last(f"_first_{c}", ignorenulls=True).over(later).alias(f"_to_{c}") for c in cols]
           if forward else []),
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy("_pos")
-    up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "_block")
+    up_to = inside.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    onward = inside.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.join(carried, [*keys, "_block"])
     new = {f"_prev_{c}": F.coalesce(F.last(known(c), ignorenulls=True).over(up_to), F.col(f"_from_{c}"))
            for c in cols}
     if forward:
-        new |= {f"_next_{c}": F.coalesce(F.first(known(c), ignorenulls=True).over(onward),
+        new |= {f"_next_{c}": F.coalesce(F.last(known(c), ignorenulls=True).over(onward),
                                          F.col(f"_to_{c}")) for c in cols}
     drop = ["_block", *[f"_from_{c}" for c in cols], *[f"_to_{c}" for c in cols]]
     return out.withColumns(new).drop(*drop)

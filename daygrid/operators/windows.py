@@ -212,18 +212,22 @@ def decompose_additive(df, keys, time, value, period: int = 365, size: int = BLO
     half = period // 2
 
     def trend(w: WindowSpec) -> dict[str, Column]:
-        wide = w.rowsBetween(-half, half)
-        full = F.count(value).over(wide) == 2 * half + 1
-        total = F.sum(F.col(value).cast("double")).over(wide)
-        if period % 2 == 0:
-            total = total - 0.5 * (F.lag(value, half).over(w) + F.lead(value, half).over(w))
-        return {"trend": F.when(full, total / period)}
+        # Differences of running sums, so that a long period costs no more than a short one.
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        sums = F.struct(F.sum("observed").over(so_far).alias("s"), F.count("observed").over(so_far).alias("n"))
+        return {"_run": sums, "_edge": 0.5 * (F.lag("observed", half).over(w) + F.lead("observed", half).over(w))}
+
+    def centred(w: WindowSpec) -> Column:
+        last, before = F.lead("_run", half).over(w), F.lag("_run", half + 1).over(w)
+        total = last.s - F.coalesce(before.s, F.lit(0.0))
+        full = last.n - F.coalesce(before.n, F.lit(0)) == 2 * half + 1
+        return F.when(full, (total - F.col("_edge") if period % 2 == 0 else total) / period)
 
     first = df.groupBy(*keys).agg(F.min(time).alias("_start"))
-    base = attach(df.select(*keys, time, F.col(value).alias("observed")), first, keys).withColumn(
+    base = attach(df.select(*keys, time, F.col(value).cast("double").alias("observed")), first, keys).withColumn(
         "_phase", F.pmod(F.datediff(F.col(time), F.col("_start")), F.lit(period))).drop("_start")
-    value = "observed"
-    with_trend = over_blocks(base, keys, day_position(time), trend, back=half, ahead=half, size=size)
+    with_trend = over_blocks(base, keys, day_position(time), trend, back=half + 1, ahead=half, size=size,
+                             then=lambda w: {"trend": centred(w)}).drop("_run", "_edge")
     phases = with_trend.groupBy(*keys, "_phase").agg(F.avg(F.col("observed") - F.col("trend")).alias("_mean"))
     level = phases.groupBy(*keys).agg(F.avg("_mean").alias("_level"))
     seasonal = attach(phases, level, keys).select(
