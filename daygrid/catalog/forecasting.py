@@ -1 +1,202 @@
-"""Placeholder."""
+"""Splits, scalers, baselines and trained models."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from daygrid.catalog.registry import (
+    PANEL, PREDICTIONS, SERIES, SPARSE, SUITE, SUITE_SCOPES, TEST, base, near_sql, panel, predictions,
+    query, rounded, series, sparse, stage)
+from daygrid.operators.evaluate import metrics_by_split
+from daygrid.operators.forecast import (
+    baseline_table, moving_average_forecast, persistence, persistence_suite, recut_predictions)
+from daygrid.operators.learning import (
+    direct_task, minmax_inverse, minmax_scale, split_by_cut_date, split_by_fraction, split_by_target_date,
+    split_last_rows, standardize, time_series_folds, zscore)
+from daygrid.operators.models import (
+    ablation, boosted_trees, direct_arx, direct_forecast, feature_importance, grid_search)
+from daygrid.operators.windows import lead_target
+from daygrid.plans.experiment import run_experiment
+from daygrid.plans.features import CALENDAR, LINEAR_FEATURES, build_features, feature_columns
+
+# A small search and few trees keep the check short; every table row still takes part.
+FEW_TREES = {"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3}
+CUT = "2000-01-01"
+
+_NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM panel)"
+
+
+@query("split_by_fraction", f"""
+WITH {PANEL}, {_NUMBERED} SELECT key, day, y, CASE WHEN i < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM n""")
+def by_fraction(spark, sf_dir):
+    return split_by_fraction(stage(panel(spark, sf_dir)), ["key"], "day", 0.8)
+
+
+@query("split_last_rows", f"""
+WITH {PANEL}, {_NUMBERED} SELECT key, day, y, CASE WHEN i >= n - 365 THEN 'test' ELSE 'train' END AS split FROM n""")
+def last_rows(spark, sf_dir):
+    return split_last_rows(stage(panel(spark, sf_dir)), ["key"], "day", 365)
+
+
+@query("split_by_target_date", f"""
+WITH {PANEL}, l AS (SELECT key, day, y, lead(y, 14) OVER (PARTITION BY key ORDER BY day) AS label, day + 14 AS target FROM panel)
+SELECT *, CASE WHEN target < DATE '{TEST[0]}' THEN 'train' ELSE 'test' END AS split FROM l
+WHERE label IS NOT NULL AND target <= DATE '{TEST[1]}'""")
+def by_target(spark, sf_dir):
+    task = lead_target(panel(spark, sf_dir), ["key"], "day", "y", 14)
+    return split_by_target_date(task, *TEST).select("key", "day", "y", "label", "target", "split")
+
+
+@query("split_by_cut_date", f"""
+WITH {SERIES} SELECT CASE WHEN day < DATE '{CUT}' THEN 'train' ELSE 'test' END AS split, count(*) AS n,
+  CAST(sum(y) AS BIGINT) AS y FROM series GROUP BY 1""")
+def by_cut(spark, sf_dir):
+    return split_by_cut_date(series(spark, sf_dir), "day", CUT).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+
+
+_CUT_SPLIT = f"s AS (SELECT *, CASE WHEN day < DATE '{CUT}' THEN 'train' ELSE 'test' END AS split FROM panel)"
+
+
+@query("minmax_train_only", f"""
+WITH {PANEL}, {_CUT_SPLIT}, m AS (SELECT key, min(y) AS lo, max(y) AS hi FROM s WHERE split = 'train' GROUP BY key)
+SELECT key, day, split, {near_sql('(y - lo) / CAST(CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS DOUBLE)')} AS y FROM s JOIN m USING (key)""")
+def minmax(spark, sf_dir):
+    rows = stage(split_by_cut_date(panel(spark, sf_dir), "day", CUT))
+    return rounded(minmax_scale(rows, ["key"], ["y"]))
+
+
+@query("minmax_inverse", f"WITH {PANEL} SELECT key, day, {near_sql('y')} AS y FROM panel")
+def minmax_back(spark, sf_dir):
+    rows = stage(split_by_cut_date(panel(spark, sf_dir), "day", CUT))
+    return rounded(minmax_inverse(minmax_scale(rows, ["key"], ["y"], keep_stats=True), ["y"]).select("key", "day", "y"))
+
+
+@query("standardize_train_only", f"""
+WITH {PANEL}, {_CUT_SPLIT}, m AS (SELECT key, avg(y) AS m, stddev_pop(y) AS sd FROM s WHERE split = 'train' GROUP BY key)
+SELECT key, day, split, {near_sql('(y - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS y FROM s JOIN m USING (key)""")
+def standardized(spark, sf_dir):
+    return rounded(standardize(stage(split_by_cut_date(panel(spark, sf_dir), "day", CUT)), ["key"], ["y"]))
+
+
+@query("zscore_train_only", f"""
+WITH {SPARSE}, s AS (SELECT *, CASE WHEN day < DATE '{CUT}' THEN 'train' ELSE 'test' END AS split FROM sparse),
+m AS (SELECT avg(y) AS my, avg(rain) AS mr, stddev_samp(y) AS sy, stddev_samp(rain) AS sr FROM s WHERE split = 'train')
+SELECT day, split, {near_sql('(y - my) / coalesce(nullif(sy, 0), 1)')} AS y,
+       {near_sql('(rain - mr) / coalesce(nullif(sr, 0), 1)')} AS rain FROM s, m""")
+def zscored(spark, sf_dir):
+    rows = split_by_cut_date(sparse(spark, sf_dir).drop("temp"), "day", CUT)
+    return rounded(zscore(rows, [], ["y", "rain"]))
+
+
+@query("time_series_folds", f"""
+WITH {PANEL}, {_NUMBERED}, f AS (SELECT *, fold, n // 6 AS size, n - (5 - fold) * (n // 6) AS start FROM n, range(5) t(fold))
+SELECT fold, key, CASE WHEN i < start THEN 'train' ELSE 'test' END AS role, count(*) AS n, min(day) AS first_day, max(day) AS last_day
+FROM f WHERE i < start + size GROUP BY ALL""")
+def folds(spark, sf_dir):
+    return time_series_folds(stage(panel(spark, sf_dir)), ["key"], "day").groupBy("fold", "key", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+# --- baselines ------------------------------------------------------------------------------
+
+
+@query("persistence", f"""
+WITH {PANEL} SELECT t.key, 'persistence' AS model, CAST(3 AS BIGINT) AS horizon, t.day - 3 AS origin, t.day AS target,
+  {near_sql('t.y')} AS y_real, {near_sql('o.y')} AS y_pred
+FROM panel t JOIN panel o ON o.key = t.key AND o.day = t.day - 3""")
+def persist(spark, sf_dir):
+    return rounded(persistence(stage(panel(spark, sf_dir)), ["key"], "day", "y", 3))
+
+
+@query("persistence_suite", f"""
+WITH {SUITE} SELECT scope, model, CAST(horizon AS BIGINT) AS horizon, origin, target, {near_sql('y_real')} AS y_real,
+  {near_sql('y_pred')} AS y_pred FROM suite""")
+def suite(spark, sf_dir):
+    return rounded(persistence_suite(stage(series(spark, sf_dir)), [], "day", "y", SUITE_SCOPES))
+
+
+@query("moving_average_forecast", f"""
+WITH {PANEL}, f AS (SELECT key, day, y, avg(y) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS p FROM panel)
+SELECT key, 'mean_7d' AS model, CAST(1 AS BIGINT) AS horizon, day - 1 AS origin, day AS target, {near_sql('y')} AS y_real,
+  {near_sql('p')} AS y_pred FROM f""")
+def moving_average(spark, sf_dir):
+    return rounded(moving_average_forecast(panel(spark, sf_dir), ["key"], "day", "y"))
+
+
+_BASELINES = f"""{PANEL}, b AS (SELECT key, day, y, lag(y) OVER (PARTITION BY key ORDER BY day) AS persistence,
+  avg(y) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean_7d,
+  row_number() OVER (PARTITION BY key ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM panel),
+t AS (SELECT *, CASE WHEN i < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM b)"""
+
+
+@query("metrics_by_split", f"WITH {_BASELINES} " + " UNION ALL ".join(f"""
+SELECT key, '{m}' AS model, split, {near_sql(f'avg(abs({m} - y))')} AS mae,
+  {near_sql(f'sqrt(avg(({m} - y) * ({m} - y)))')} AS rmse, count({m}) AS n FROM t GROUP BY key, split""" for m in ("persistence", "mean_7d")))
+def by_split(spark, sf_dir):
+    rows = baseline_table(stage(panel(spark, sf_dir)), ["key"], "day", "y")
+    return rounded(metrics_by_split(rows, "y", ["persistence", "mean_7d"], ["key"]))
+
+
+@query("recut_predictions", f"""
+WITH {PREDICTIONS} SELECT model, count(*) AS n, min(target) AS first_target, max(target) AS last_target,
+  {near_sql('avg(abs(y_real - y_pred))')} AS mae FROM preds WHERE target BETWEEN DATE '2000-09-01' AND DATE '2000-12-31' GROUP BY model""")
+def recut(spark, sf_dir):
+    rows = recut_predictions(predictions(spark, sf_dir), "2000-09-01", "2000-12-31")
+    return rounded(rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.min("target").alias("first_target"), F.max("target").alias("last_target"),
+        F.avg(F.abs(F.col("y_real") - F.col("y_pred"))).alias("mae")))
+
+
+# --- trained models (checked by tests, not by SQL) -----------------------------------------------
+
+
+def _features(spark, sf_dir):
+    return stage(build_features(base(spark, sf_dir), []))
+
+
+@query("direct_forecast_gbt")
+def forecast_gbt(spark, sf_dir):
+    return direct_forecast(_features(spark, sf_dir), [], "day", "y", feature_columns(), TEST, horizons=(1, 7), params=FEW_TREES)
+
+
+@query("feature_importance")
+def importance(spark, sf_dir):
+    task = direct_task(_features(spark, sf_dir), [], "day", "y", 1, *TEST)
+    _, model = boosted_trees(task, [], feature_columns(), 1, FEW_TREES)
+    return feature_importance(model, feature_columns(), spark)
+
+
+@query("grid_search")
+def search(spark, sf_dir):
+    task = direct_task(_features(spark, sf_dir), [], "day", "y", 1, *TEST)
+    means, _ = grid_search(task, [], feature_columns(), {"n_estimators": [2], "max_depth": [2, 3]}, n_splits=3)
+    return means
+
+
+@query("direct_arx")
+def arx(spark, sf_dir):
+    """One linear model per priority on its own history and the calendar."""
+    days = stage(panel(spark, sf_dir).withColumns({
+        "month_sin": F.sin(F.month("day") * 0.5235987755982988), "month_cos": F.cos(F.month("day") * 0.5235987755982988)}))
+    out = None
+    for h in (1, 7):
+        part = direct_arx(direct_task(days, ["key"], "day", "y", h, *TEST), ["key"], ["y", "month_sin", "month_cos"], h)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("ablation")
+def ablated(spark, sf_dir):
+    _, metrics = ablation(_features(spark, sf_dir), [], "day", "y", feature_columns(), CALENDAR, TEST, FEW_TREES)
+    return metrics
+
+
+@query("run_experiment")
+def experiment(spark, sf_dir):
+    _, metrics = run_experiment(
+        _features(spark, sf_dir), [], "day", "y", feature_columns(), ["arx", "persistence"], [1, 3, 7, 14],
+        (date(1996, 1, 1), date(2000, 7, 1)), (date(2000, 8, 1), date(2001, 7, 31)), arx_features=LINEAR_FEATURES)
+    return metrics
