@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid.catalog.registry import (
-    BASE, COMMON_TEST, END, MODELS, PANEL, PREDICTIONS, READINGS, SERIES, SPARSE, TEST,
+    BASE, COMMON_TEST, END, MODELS, PANEL, PREDICTIONS, RARE, READINGS, SERIES, SPARSE, TEST,
     base, near_sql, panel, predictions, query, readings, rounded, series, sparse, stage, table)
 from daygrid.functions.columns import VOLUME_BANDS, band, band_order, clip_non_negative
 from daygrid.operators.calendar import complete_calendar, expected_row_count, reindex_calendar
@@ -291,7 +291,7 @@ SELECT DISTINCT target FROM preds
 WHERE target NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem
                      WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08)""")
 def uncovered(spark, sf_dir):
-    have = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08").select(
+    have = table(spark, sf_dir, "lineitem", "l_shipdate", where=RARE).select(
         F.to_date("l_shipdate").alias("day")).distinct()
     return target_covers_predictions(predictions(spark, sf_dir), have)
 
@@ -456,7 +456,7 @@ def daily_left(spark, sf_dir):
 @query("daily_inner_join", f"""
 WITH {SPARSE} SELECT day, y, {near_sql('temp')} AS temp, {near_sql('rain')} AS rain FROM series JOIN rare USING (day)""")
 def daily_inner(spark, sf_dir):
-    rare = (table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08")
+    rare = (table(spark, sf_dir, "lineitem", "l_shipdate", "l_discount", "l_quantity", where=RARE)
             .groupBy(F.to_date("l_shipdate").alias("day"))
             .agg(F.avg(F.col("l_discount") * 100).alias("temp"), F.sum("l_quantity").alias("rain")))
     return rounded(inner_by_day(series(spark, sf_dir), rare, []))

@@ -52,8 +52,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         for c, t in df.dtypes])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    return scan_parquet(spark, f"{sf_dir}/{name}.parquet", cols or None)
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, where: str | None = None) -> DataFrame:
+    return scan_parquet(spark, f"{sf_dir}/{name}.parquet", cols or None, where)
 
 
 # --- event series ----------------------------------------------------------------------
@@ -111,10 +111,12 @@ def base(spark, sf_dir) -> DataFrame:
     return stage(daily_base(series(spark, sf_dir), daily_weather(readings(spark, sf_dir), []), []))
 
 
+RARE = "l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08"
+
+
 def sparse(spark, sf_dir) -> DataFrame:
     """The base with readings of one narrow class of line items only: many days have none."""
-    rare = (table(spark, sf_dir, "lineitem")
-            .where("l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08")
+    rare = (table(spark, sf_dir, "lineitem", "l_shipdate", "l_discount", "l_quantity", where=RARE)
             .groupBy(floor_to_day("l_shipdate").alias("day"))
             .agg(F.avg(F.col("l_discount") * 100).alias("temp"), F.sum("l_quantity").alias("rain")))
     return stage(series(spark, sf_dir).join(rare, "day", "left"))

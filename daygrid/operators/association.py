@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql import types as T
 
 from daygrid.functions.columns import try_pearson, unpivot
-from daygrid.operators.blocks import BLOCK, attach, block_of, over_blocks, with_position
-from daygrid.operators.ranks import average_ranks
+from daygrid.operators.blocks import BLOCK, block_of, over_blocks, with_position
+from daygrid.operators.ranks import ranked_points
 
 
 def pairs_of(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -51,9 +51,17 @@ def complete_pairs(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ())
 def spearman_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Pearson on average ranks; every pair is ranked on its own complete rows."""
     group = [*keys, "var_a", "var_b"]
-    long = complete_pairs(df, cols, keys)
-    ranked = average_ranks(average_ranks(long, group, "x", "_rx"), group, "y", "_ry")
-    return ranked.groupBy(*group).agg(try_pearson("_ry", "_rx").alias("rho"))
+    ranked = ranked_points(complete_pairs(df, cols, keys), group, "x", "y")
+    middle = (F.col("total") + 1) / 2
+    dx, dy = F.col("x_rank") - middle, F.col("y_rank") - middle
+    sums = lambda product: F.sum(F.col("cnt") * product)
+    return ranked.groupBy(*group).agg(
+        F.try_divide(sums(dx * dy), F.sqrt(sums(dx * dx) * sums(dy * dy))).alias("rho"))
+
+
+def _tied(count: str) -> Column:
+    c = F.col(count).cast("double")
+    return c * (c - 1) / 2
 
 
 def kendall_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), size: int = BLOCK) -> DataFrame:
@@ -62,57 +70,49 @@ def kendall_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
     Two values of y first differ at one bit of their rank; above it they share
     a prefix.  So discordant pairs are counted per (bit, prefix) as "a one with
     a strictly smaller x before a zero": a running sum over x, cut into blocks
-    whose totals are carried over.
+    whose totals are carried over.  Every point takes part once per bit, which
+    also gives the ties: in x at the top bit, in y and in both at the lowest.
     """
     group = [*keys, "var_a", "var_b"]
-    points = complete_pairs(df, cols, keys)
-    ranked = average_ranks(average_ranks(points, group, "x", "_rx"), group, "y", "_ry")
-    cells = (ranked.groupBy(*group, F.col("_rx_before").alias("px"), F.col("_ry_before").alias("py"))
-             .agg(F.count(F.lit(1)).alias("cnt")))
-
-    def tied(c: Column) -> Column:
-        return (c * (c - 1) / 2).cast("double")
-
-    n3 = cells.groupBy(*group).agg(F.sum("cnt").cast("double").alias("_n"), F.sum(tied(F.col("cnt"))).alias("_n3"))
-    n1 = cells.groupBy(*group, "px").agg(F.sum("cnt").alias("c")).groupBy(*group).agg(F.sum(tied(F.col("c"))).alias("_n1"))
-    n2 = cells.groupBy(*group, "py").agg(F.sum("cnt").alias("c")).groupBy(*group).agg(F.sum(tied(F.col("c"))).alias("_n2"))
-
-    top = cells.groupBy(*group).agg(F.max("py").alias("_top"))
-    bits = F.length(F.bin(F.greatest("_top", F.lit(1))))
-    levels = cells.join(top, group).withColumn("bit", F.explode(F.sequence(F.lit(0), bits - 1)))
+    points = ranked_points(complete_pairs(df, cols, keys), group, "x", "y")
+    top = F.length(F.bin(F.greatest(F.col("total") - 1, F.lit(1)))) - 1
+    levels = points.select(*group, "cnt", F.col("x_before").alias("px"), F.col("y_before").alias("py"),
+                           top.alias("top")).withColumn("bit", F.explode(F.sequence(F.lit(0), "top")))
     is_one = F.expr("shiftright(py, bit) & 1 = 1")
-    sums = (levels.withColumn("prefix", F.expr("shiftright(py, bit + 1)"))
-            .groupBy(*group, "bit", "prefix", "px")
+    sums = (levels.groupBy(*group, "top", "bit", F.expr("shiftright(py, bit + 1)").alias("prefix"), "px")
             .agg(F.sum(F.when(is_one, F.col("cnt")).otherwise(0)).alias("ones"),
                  F.sum(F.when(~is_one, F.col("cnt")).otherwise(0)).alias("zeros"))
+            .withColumn("both", F.col("ones") + F.col("zeros"))
             .withColumn("_block", block_of(F.col("px"), size)))
-    node = [*group, "bit", "prefix"]
+    node = [*group, "top", "bit", "prefix"]
     before = Window.partitionBy(*node, "_block").orderBy("px").rowsBetween(Window.unboundedPreceding, -1)
     local = sums.withColumn("_seen", F.coalesce(F.sum("ones").over(before), F.lit(0)))
     blocks = local.groupBy(*node, "_block").agg(
         F.sum((F.col("zeros") * F.col("_seen")).cast("double")).alias("_inside"),
+        F.sum(_tied("both")).alias("_same_x"), F.sum(_tied("ones") + _tied("zeros")).alias("_same_point"),
         F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     earlier = Window.partitionBy(*node).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("_seen", F.coalesce(F.sum("ones").over(earlier), F.lit(0)))
-    discordant = carried.groupBy(*group).agg(
-        F.sum(F.col("_inside") + (F.col("zeros") * F.col("_seen")).cast("double")).alias("_d"))
-
+    nodes = carried.groupBy(*node).agg(
+        F.sum(F.col("_inside") + (F.col("zeros") * F.col("_seen")).cast("double")).alias("_discordant"),
+        F.sum("_same_x").alias("_same_x"), F.sum("_same_point").alias("_same_point"),
+        F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    at = lambda bit, value: F.sum(F.when(F.col("bit") == bit, value))
+    totals = nodes.groupBy(*group).agg(
+        F.sum("_discordant").alias("_d"), at(F.col("top"), F.col("_same_x")).alias("_n1"),
+        at(F.lit(0), _tied("ones") + _tied("zeros")).alias("_n2"), at(F.lit(0), F.col("_same_point")).alias("_n3"),
+        at(F.lit(0), F.col("ones") + F.col("zeros")).cast("double").alias("_n"))
     n0 = F.col("_n") * (F.col("_n") - 1) / 2
-    top_line = n0 - F.col("_n1") - F.col("_n2") + F.col("_n3") - 2 * F.col("_d")
-    tau = F.try_divide(top_line, F.sqrt((n0 - F.col("_n1")) * (n0 - F.col("_n2"))))
-    return (n3.join(n1, group).join(n2, group).join(discordant, group)
-            .select(*group, tau.alias("tau")))
+    concordant_less_discordant = n0 - F.col("_n1") - F.col("_n2") + F.col("_n3") - 2 * F.col("_d")
+    tau = F.try_divide(concordant_less_discordant, F.sqrt((n0 - F.col("_n1")) * (n0 - F.col("_n2"))))
+    return totals.select(*group, tau.alias("tau"))
 
 
 def _centred(df, keys, time, cols) -> DataFrame:
-    """Complete rows with closed-up positions and centred values, n and population deviations."""
+    """Complete rows with closed-up positions ``_i``, centred values and the row count ``_n``."""
     rows = df.select(*keys, time, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=list(cols))
-    placed = with_position(rows, keys, time, "_i")
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"),
-        *[a for c in cols for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"))])
-    out = attach(placed, stats, keys)
-    return out.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols})
+    placed = with_position(rows, keys, time, "_i", total="_n", means=cols)
+    return placed.withColumns({c: F.col(c) - F.col(f"_mean_{c}") for c in cols})
 
 
 def cross_correlation(df, keys, time, x: str, y: str, max_lag: int = 14, size: int = BLOCK) -> DataFrame:
@@ -128,7 +128,8 @@ def cross_correlation(df, keys, time, x: str, y: str, max_lag: int = 14, size: i
                 for k in lags_}
 
     wide = over_blocks(base, keys, F.col("_i"), product, ahead=max_lag, size=size)
-    scale = F.max(F.col("_n") * F.col(f"_sd_{x}") * F.col(f"_sd_{y}"))
+    # n sd_x sd_y is the root of the product of the two sums of squares.
+    scale = F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y)))
     sums = wide.groupBy(*keys).agg(*[
         F.try_divide(F.coalesce(F.sum(f"_p{k + max_lag}"), F.lit(0.0)), scale).alias(f"_c{k + max_lag}")
         for k in lags_])
@@ -211,14 +212,16 @@ def chi2_upper_column(q: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else chi2_upper(float(a), int(b)) for a, b in zip(q, df)], dtype="float64")
 
 
+def ljung_box_statistic(h: int) -> Column:
+    """Aggregate over the rows of one series in an :func:`acf` table."""
+    n, lag = F.col("n").cast("double"), F.col("lag")
+    return F.sum(F.when(lag.between(1, h), n * (n + 2) * F.col("acf") * F.col("acf") / (n - lag)))
+
+
 def ljung_box(acf_table: DataFrame, keys: Sequence[str], lags_: Sequence[int] = (7, 14)) -> DataFrame:
     """Ljung-Box statistic and p-value at the given lags from an :func:`acf` table."""
-    n = F.col("n").cast("double")
-    part = F.col("acf") * F.col("acf") / (n - F.col("lag"))
-    sums = acf_table.where("lag >= 1").groupBy(*keys, "n").agg(*[
-        F.sum(F.when(F.col("lag") <= h, part)).alias(f"_q{h}") for h in lags_])
-    long = unpivot(sums, list(keys), [
-        ({"lag": h}, {"q": n * (n + 2) * F.col(f"_q{h}")}) for h in lags_])
+    sums = acf_table.groupBy(*keys).agg(*[ljung_box_statistic(h).alias(f"_q{h}") for h in lags_])
+    long = unpivot(sums, list(keys), [({"lag": h}, {"q": f"_q{h}"}) for h in lags_])
     return long.select(*keys, F.col("lag").cast("bigint").alias("lag"), "q",
                        chi2_upper_column("q", "lag").alias("p_value"))
 

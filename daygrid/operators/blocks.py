@@ -68,21 +68,24 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
 
 def with_position(
     df: DataFrame, keys: Sequence[str], time: str, name: str = "pos", total: str | None = None,
-    size: int = BLOCK,
+    means: Sequence[str] = (), size: int = BLOCK,
 ) -> DataFrame:
     """Zero-based row number by day, closed up over missing days.
 
     Rows are numbered inside calendar blocks; the block offsets come from a
-    table with one row per series and block.
+    table with one row per series and block.  That table also yields the
+    series' row count (``total``) and the means ``_mean_<c>`` when asked.
     """
     cut = df.withColumn("_block", block_of(day_position(time), size))
-    counts = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut.groupBy(*keys, "_block").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(f"_sum_{c}") for c in means])
     series = Window.partitionBy(*keys)
     before = series.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *keys, "_block",
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
         F.sum("_c").over(series).alias("_total"),
+        *[(F.sum(f"_sum_{c}").over(series) / F.sum("_c").over(series)).alias(f"_mean_{c}") for c in means],
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(time)
     out = cut.join(offsets, [*keys, "_block"]).withColumn(

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrid.functions.columns import VOLUME_BANDS, VOLUME_CUTS, band, band_order
-from daygrid.operators.association import acf, linear_fit, ljung_box
+from daygrid.operators.association import acf, chi2_upper_column, linear_fit, ljung_box_statistic
 from daygrid.operators.quality import require, target_covers_predictions
 from daygrid.operators.ranks import quantiles
 
+# Lags of the Ljung-Box test.
+TEST_LAGS = (7, 14)
+
 
 def error_columns(clip: bool = True) -> tuple[Column, Column, Column]:
     real = F.col("y_real")
@@ -110,14 +113,14 @@ def residual_diagnostics(preds: DataFrame, by: Sequence[str] = ("model",), lags:
     residuals = preds.select(*by, "target", (F.col("y_real") - F.col("y_pred")).alias("residual"))
     base = residuals.groupBy(*by).agg(
         F.count("residual").alias("n"), F.avg("residual").alias("mean_residual"),
+        # One residual per date of the group: the calendar bounds the exact median.
+        F.percentile("residual", F.lit(0.5)).alias("median_residual"),
         F.stddev_samp("residual").alias("std_residual"))
-    middle = quantiles(residuals, by, "residual", {"median_residual": 0.5})
-    table = acf(residuals, by, "target", "residual", max(lags))
-    picked = table.groupBy(*by).agg(*[
-        F.max(F.when(F.col("lag") == k, F.col("acf"))).alias(f"acf_{k}") for k in lags])
-    tests = ljung_box(table, by, (7, 14)).groupBy(*by).agg(*[
-        F.max(F.when(F.col("lag") == k, F.col("p_value"))).alias(f"ljung_box_p_{k}") for k in (7, 14)])
-    return base.join(middle, by).join(picked, by).join(tests, by)
+    picked = acf(residuals, by, "target", "residual", max(*lags, *TEST_LAGS)).groupBy(*by).agg(
+        *[F.max(F.when(F.col("lag") == k, F.col("acf"))).alias(f"acf_{k}") for k in lags],
+        *[ljung_box_statistic(k).alias(f"_q{k}") for k in TEST_LAGS])
+    tests = {f"ljung_box_p_{k}": chi2_upper_column(f"_q{k}", F.lit(k)) for k in TEST_LAGS}
+    return base.join(picked, by).withColumns(tests).drop(*[f"_q{k}" for k in TEST_LAGS])
 
 
 def pivot_metric(table: DataFrame, rows: Sequence[str], column: str, values: Sequence, metric: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daygrid.functions.columns import SENTINEL_LIMIT, all_of, any_of, column
+from daygrid.functions.columns import SENTINEL_LIMIT, all_of, any_of
 from daygrid.operators.blocks import previous_day
 
 
@@ -54,29 +54,26 @@ def invalid_keys(df: DataFrame, cols: Sequence[str], timestamps: Sequence[str] =
 def conflicting_duplicates(df: DataFrame, cols: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Keys whose copies differ in some value; a null counts as a value of its own.
 
-    min, max and count per value column find a conflict in one hash
-    aggregation with map-side combine, however many copies a key has.
+    Identical copies collapse on the map side first, so a key with very many
+    of them sends one row per task; then the versions per key are counted.
     """
-    stats = [a for v in values for a in (
-        F.min(v).alias(f"_lo_{v}"), F.max(v).alias(f"_hi_{v}"), F.count(v).alias(f"_n_{v}"))]
-    differs = any_of([
-        (F.col(f"_lo_{v}") != F.col(f"_hi_{v}"))
-        | ((F.col(f"_n_{v}") > 0) & (F.col(f"_n_{v}") < F.col("copies")))
-        for v in values])
-    return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"), *stats)
-            .where(F.col("copies") > 1).where(F.coalesce(differs, F.lit(False)))
-            .select(*cols, "copies"))
+    versions = df.groupBy(*cols, *values).agg(F.count(F.lit(1)).alias("_copies"))
+    return (versions.groupBy(*cols)
+            .agg(F.count(F.lit(1)).alias("_versions"), F.sum("_copies").alias("copies"))
+            .where("_versions > 1").select(*cols, "copies"))
 
 
 def collapse_identical(df: DataFrame, cols: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per key once :func:`conflicting_duplicates` is empty."""
-    return df.groupBy(*cols).agg(*[F.any_value(v, F.lit(True)).alias(v) for v in values])
+    return df.select(*cols, *values).distinct()
 
 
 def drop_conflicts(df: DataFrame, cols: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Keys whose copies agree, collapsed to one row."""
-    bad = conflicting_duplicates(df, cols, values).select(*cols)
-    return collapse_identical(df.join(bad, list(cols), "left_anti"), cols, values)
+    """Keys whose copies agree, collapsed to one row; keys with conflicts are left out."""
+    versions = df.select(*cols, *values).distinct()
+    row = F.struct(*[F.col(v) for v in values])
+    one = versions.groupBy(*cols).agg(F.count(F.lit(1)).alias("_versions"), F.any_value(row).alias("_row"))
+    return one.where("_versions = 1").select(*cols, "_row.*")
 
 
 def dedup_events(df: DataFrame, ids: Sequence[str], ts: str, payload: Sequence[str] = ()) -> DataFrame:

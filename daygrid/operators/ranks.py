@@ -13,13 +13,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from daygrid.functions.columns import all_of
+
 BUCKETS = 64
 
 
-def value_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct non-null values with their counts ``cnt``."""
-    return (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
+def value_histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct non-null values with their counts ``cnt``; groups with a null key are left out."""
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    # Stated here, not left to the joins, so that every branch reads one and the same exchange.
+    known = all_of([F.col(c).isNotNull() for c in (*keys, value)])
+    return df.where(known).groupBy(*keys, value).agg(count.alias("cnt"))
 
 
 def running_counts(hist: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -45,8 +49,16 @@ def running_counts(hist: DataFrame, keys: Sequence[str], value: str, buckets: in
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-              buckets: int = BUCKETS) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per entry of ``probs``."""
+              buckets: int = BUCKETS, small_groups: bool = False) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column per entry of ``probs``.
+
+    ``small_groups`` is for inputs with at most one row per key and day: there
+    the calendar bounds a group, and the built-in aggregate may hold it.
+    """
+    if small_groups:
+        picked = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs.values()]))
+        table = df.groupBy(*keys).agg(picked.alias("_q"))
+        return table.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     ranked = running_counts(value_histogram(df, keys, value), keys, value, buckets)
 
     def at(index: Column) -> Column:
@@ -65,9 +77,16 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
         for n in probs])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Rank from 1, ties share the mean rank; also ``<name>_before``, the rows below."""
-    ranked = running_counts(value_histogram(df, keys, value), keys, value)
-    table = ranked.select(*keys, value, F.col("before").alias(f"{name}_before"),
-                          (F.col("before") + (F.col("cnt") + 1) / 2).alias(name))
-    return df.join(table, [*keys, value])
+def ranked_points(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Distinct (x, y) points with ``cnt``, the group's ``total`` and, per axis, the rows
+    below (``x_before``) and the mean rank from 1 (``x_rank``).
+
+    Ranking distinct points keeps a value shared by many rows from becoming a hot join key.
+    """
+    cells = out = points.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("cnt"))
+    for axis in (x, y):
+        ranked = running_counts(value_histogram(cells, keys, axis, "cnt"), keys, axis)
+        out = out.join(ranked.select(
+            *keys, axis, *(["total"] if axis == x else []), F.col("before").alias(f"{axis}_before"),
+            (F.col("before") + (F.col("cnt") + 1) / 2).alias(f"{axis}_rank")), [*keys, axis])
+    return out

@@ -8,7 +8,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrid.functions.columns import angle, bin_label, bin_step, unit_cos, unit_sin, unit_vector
-from daygrid.operators.ranks import quantiles
 
 
 class Measure(NamedTuple):
@@ -45,14 +44,12 @@ def daily_count(events: DataFrame, keys: Sequence[str], day: str, name: str = "y
 
 def target_profile(daily: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Events, days, zero days, mean, median and maximum of a daily count."""
-    base = daily.groupBy(*keys).agg(
+    return daily.groupBy(*keys).agg(
         F.sum(value).cast("bigint").alias("events"), F.count(F.lit(1)).alias("days"),
         F.count_if(F.col(value) == 0).alias("zero_days"),
-        F.avg(value).alias("daily_mean"), F.max(value).alias("daily_max"))
-    middle = quantiles(daily, keys, value, {"daily_median": 0.5})
-    if keys:
-        return base.join(middle, list(keys))
-    return base.withColumn("daily_median", middle.scalar())
+        F.avg(value).alias("daily_mean"), F.max(value).alias("daily_max"),
+        # One row per key and day: the calendar bounds what the exact median holds.
+        F.percentile(value, F.lit(0.5)).alias("daily_median"))
 
 
 def daily_measures(

@@ -195,7 +195,8 @@ def fill_with_train_median(df, keys, time, cols, cut) -> DataFrame:
     train = df.where(F.col(time) < F.lit(str(cut)).cast("date"))
     out = df
     for c in cols:
-        out = attach(out, quantiles(train, keys, c, {f"_median_{c}": 0.5}), keys)
+        # One row per key and day, so the built-in exact median is bounded by the calendar.
+        out = attach(out, quantiles(train, keys, c, {f"_median_{c}": 0.5}, small_groups=True), keys)
     return (out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")) for c in cols})
             .drop(*[f"_median_{c}" for c in cols]))
 

@@ -13,8 +13,15 @@ from daygrid.operators.quality import (
 from daygrid.operators.shape import filter_period
 
 
-def scan_parquet(spark: SparkSession, path: str | Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
+def scan_parquet(spark: SparkSession, path: str | Sequence[str], cols: Sequence[str] | None = None,
+                 where=None) -> DataFrame:
+    """Pruned and filtered at the file, then NaN to null.
+
+    ``where`` sees the stored values, so it can be pushed to the scan; a filter
+    on a cleaned double column could not.
+    """
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    df = df.where(where) if where is not None else df
     return scan_clean(df.select(*cols) if cols else df)
 
 
