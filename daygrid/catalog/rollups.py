@@ -180,8 +180,8 @@ def boxes(spark, sf_dir):
 
 @query("box_stats_events", f"""
 WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
-SELECT event_type, {near_sql('value')} AS value FROM events JOIN q USING (event_type)
-WHERE NOT value BETWEEN q1 - 1.5*(q3-q1) AND q3 + 1.5*(q3-q1)""")
+SELECT event_type, {near_sql('value')} AS value, count(*) AS n FROM events JOIN q USING (event_type)
+WHERE NOT value BETWEEN q1 - 1.5*(q3-q1) AND q3 + 1.5*(q3-q1) GROUP BY event_type, value""")
 def box_fliers(spark, sf_dir):
     """Outlying event values per type, over the raw events."""
     return rounded(fliers(table(spark, sf_dir, "events", "event_type", "value"), ["event_type"], "value"))

@@ -66,6 +66,20 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
     return out.withColumns({c: F.col("_s")[c] for c in stats.columns}).drop("_s")
 
 
+def attach_spread(df: DataFrame, stats: DataFrame, keys: Sequence[str], by: str, parts: int = 64) -> DataFrame:
+    """:func:`attach` for tables whose groups have no size limit.
+
+    Rows of a group are dealt to ``parts`` sub-groups by a hash of ``by``, and
+    the one statistics row per group is repeated for each, so a hot group is
+    joined by many tasks.  ``by`` should take many values within a group.
+    """
+    if not keys:
+        return attach(df, stats, keys)
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    repeated = stats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(repeated, [*keys, "_part"]).drop("_part")
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], time: str, name: str = "pos", total: str | None = None,
     means: Sequence[str] = (), size: int = BLOCK,
@@ -157,5 +171,5 @@ def previous_day(df: DataFrame, keys: Sequence[str], time: str, name: str, size:
             .drop("_block", "_from"))
 
 
-__all__ = ["BLOCK", "attach", "block_of", "column", "day_position", "nearest_known",
+__all__ = ["BLOCK", "attach", "attach_spread", "block_of", "column", "day_position", "nearest_known",
            "over_blocks", "previous_day", "with_position"]

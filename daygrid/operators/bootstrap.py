@@ -75,11 +75,11 @@ def bootstrap_means(errors: DataFrame, keys: Sequence[str], time: str, values: S
                     block_length: int, seed: int = 42) -> DataFrame:
     """Mean of every value column in every resample: (keys, resample, values).
 
-    ``errors`` has one complete row per series and date.  Series shorter than
-    a block are skipped, as a block would then meet itself.
+    ``errors`` has one complete row per series and date.  A series shorter
+    than a block is resampled as one block cut to its own length.
     """
     rows = errors.select(*keys, time, *[F.col(v).cast("double").alias(v) for v in values])
-    placed = with_position(rows, keys, time, "pos", total="n").where(F.col("n") >= block_length)
+    placed = with_position(rows, keys, time, "pos", total="n")
     sums = block_sums(placed, keys, values, block_length)
     starts = block_starts(placed, resamples, block_length, seed)
     joined = starts.join(sums.withColumnRenamed("pos", "start"), ["n", "start"])

@@ -7,42 +7,45 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from daygrid.operators.blocks import attach
-from daygrid.operators.ranks import quantiles
+from daygrid.operators.blocks import attach, attach_spread
+from daygrid.operators.ranks import quantiles, value_histogram
 
 # Box-plot whiskers reach at most 1.5 interquartile ranges.
 WHISKER = 1.5
 
 
-def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Quartiles, whisker ends and number of points beyond the whiskers per group."""
+def _with_whiskers(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Distinct values with their counts, the group's quartiles and whether they lie inside the whiskers."""
     box = quantiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * WHISKER
-    v = F.col(value)
-    inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
-    return (df.where(v.isNotNull()).join(box, list(group))
-            .groupBy(*group, "q1", "median", "q3")
-            .agg(F.min(F.when(inside, v)).alias("whisker_low"),
+    return (attach_spread(value_histogram(df, group, value), box, group, value)
+            .withColumn("_inside", F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)))
+
+
+def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Quartiles, whisker ends and number of points beyond the whiskers per group."""
+    v, inside = F.col(value), F.col("_inside")
+    return (_with_whiskers(df, group, value).groupBy(*group)
+            .agg(*[F.max(c).alias(c) for c in ("q1", "median", "q3")],
+                 F.min(F.when(inside, v)).alias("whisker_low"),
                  F.max(F.when(inside, v)).alias("whisker_high"),
-                 F.count_if(~inside).alias("fliers"), F.count(F.lit(1)).alias("n")))
+                 F.sum(F.when(inside, 0).otherwise(F.col("cnt"))).alias("fliers"), F.sum("cnt").alias("n")))
 
 
 def fliers(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """The points beyond the whiskers."""
-    box = quantiles(df, group, value, {"q1": 0.25, "q3": 0.75})
-    reach = (F.col("q3") - F.col("q1")) * WHISKER
-    inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return df.join(box, list(group)).where(~inside).select(*group, value)
+    """The points beyond the whiskers: each distinct value and how often it occurs."""
+    return (_with_whiskers(df, group, value).where(~F.col("_inside"))
+            .select(*group, value, F.col("cnt").alias("n")))
 
 
 def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins between the smallest and largest value; the last is closed on the right."""
     limits = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    placed = attach(df.where(F.col(value).isNotNull()).select(*keys, value), limits, keys)
+    placed = attach_spread(value_histogram(df, keys, value), limits, keys, value)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     raw = F.floor(F.try_divide(F.col(value) - F.col("_lo"), width))
     return (placed.withColumn("bin", F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("bigint"))
-            .groupBy(*keys, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(*keys, "bin", "_lo", "_hi").agg(F.sum("cnt").alias("n"))
             .select(*keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("left_edge"),
                     (F.col("_lo") + (F.col("bin") + 1) * width).alias("right_edge"), "n"))
 
@@ -63,9 +66,8 @@ def density(df: DataFrame, value: str, points: int = 200, keys: Sequence[str] =
     stats = df.groupBy(*keys).agg(
         F.count(value).cast("double").alias("_n"), F.stddev_samp(value).alias("_sd"),
         F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    hist = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-            .agg(F.count(F.lit(1)).alias("_cnt")))
-    placed = attach(hist, stats, keys).withColumn(
+    hist = value_histogram(df, keys, value).withColumnRenamed("cnt", "_cnt")
+    placed = attach_spread(hist, stats, keys, value).withColumn(
         "_bw", F.col("_sd") * F.pow("_n", F.lit(-0.2))).where(F.col("_bw") > 0)
     start, stop = F.col("_lo") - 3 * F.col("_bw"), F.col("_hi") + 3 * F.col("_bw")
     step = (stop - start) / F.lit(float(points - 1))
