@@ -1,20 +1,22 @@
 """Circular block bootstrap of mean errors.
 
-The mean of a resample is a sum of block sums.  So the sums of the n possible
-blocks are computed once per series, and a resample is a join of its block
-starts with that table; the resampled series itself is never built.  All
-models and all pairs share the same starts (a paired design).
+The mean of a resample is a sum of block sums, and a block sum is a difference
+of two running sums.  So a resample needs only its block starts and the running
+sums of the series; the resampled series itself is never built.  All models and
+all pairs share the same starts (a paired design).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrid.functions.columns import unpivot
-from daygrid.operators.blocks import attach, over_blocks, with_position
+from daygrid.operators.blocks import attach
 
+# Resamples computed together from one copy of a series' sums.
+CHUNK = 250
 # Two-sided 95% percentile interval.
 INTERVAL = (0.025, 0.975)
 
@@ -25,21 +27,26 @@ def block_start(seed: Column, resample: Column, block: Column, n: Column) -> Col
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint"), n)
 
 
-def block_starts(lengths: DataFrame, resamples: int, block_length: int, seed: int = 42) -> DataFrame:
-    """Starts for every distinct series length ``n``: (n, resample, block, start, size).
+def block_size(block: Column, n: Column, block_length: int) -> Column:
+    """Every block has the full length but the last, which is cut so that the sizes add up to n."""
+    return F.least(F.lit(block_length).cast("bigint"), n - block * F.lit(block_length))
 
-    The last block of a resample is cut so that the sizes add up to n.
-    """
+
+def _check_sizes(resamples: int, block_length: int) -> None:
     if resamples <= 0 or block_length <= 0:
         raise ValueError("bootstrap sizes must be positive")
-    n = F.col("n")
-    blocks = F.ceil(n / block_length)
+
+
+def block_starts(lengths: DataFrame, resamples: int, block_length: int, seed: int = 42) -> DataFrame:
+    """Starts for every distinct series length ``n``: (n, resample, block, start, size)."""
+    _check_sizes(resamples, block_length)
+    n, block = F.col("n"), F.col("block")
     return (lengths.select("n").where(n > 0).distinct()
             .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
             .repartition("n", "resample")
-            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-            .withColumn("start", block_start(F.lit(seed), F.col("resample"), F.col("block"), n))
-            .withColumn("size", F.least(F.lit(block_length).cast("bigint"), n - F.col("block") * block_length)))
+            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / block_length) - 1)))
+            .withColumn("start", block_start(F.lit(seed), F.col("resample"), block, n))
+            .withColumn("size", block_size(block, n, block_length)))
 
 
 def block_indices(lengths: DataFrame, resamples: int, block_length: int, seed: int = 42) -> DataFrame:
@@ -50,25 +57,26 @@ def block_indices(lengths: DataFrame, resamples: int, block_length: int, seed: i
                     F.pmod(F.col("start") + F.col("_o"), F.col("n")).alias("index")))
 
 
-def block_sums(errors: DataFrame, keys: Sequence[str], values: Sequence[str], block_length: int) -> DataFrame:
-    """Per position: n, the sum of a whole block starting there and of the cut last block."""
-    cut = F.col("n") - (F.ceil(F.col("n") / block_length) - 1) * block_length
-    # The first rows are repeated after the end, so a block may run over it.
-    turns = F.when(F.col("pos") < block_length - 1, F.array(F.col("pos"), F.col("pos") + F.col("n"))) \
-        .otherwise(F.array(F.col("pos")))
-    ring = errors.select(*keys, "n", "pos", *values).withColumn("_at", F.explode(turns))
+def ring_sums(errors: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], block_length: int) -> DataFrame:
+    """One row per series: its length ``n`` and, per value, the running sums over the closed ring.
 
-    def sums(w) -> dict[str, Column]:
-        frame = w.rowsBetween(0, block_length - 1)
-        out = {}
-        for v in values:
-            out[f"_whole_{v}"] = F.sum(v).over(frame)
-            head = F.slice(F.collect_list(v).over(frame), F.lit(1), cut.cast("int"))
-            out[f"_cut_{v}"] = F.aggregate(head, F.lit(0.0), lambda a, b: a + b)
-        return out
-
-    return (over_blocks(ring, keys, F.col("_at"), sums, ahead=block_length - 1)
-            .where(F.col("_at") == F.col("pos")).drop("_at", *values))
+    The first rows are repeated after the end, so a block may run over it; the
+    sum of a block is then the difference of two entries.  A series has one
+    row per date, which bounds the arrays.
+    """
+    series = Window.partitionBy(*keys)
+    placed = errors.select(
+        *keys, *[F.col(v).cast("double").alias(v) for v in values],
+        (F.row_number().over(series.orderBy(time)) - 1).cast("bigint").alias("_pos"),
+        F.count(F.lit(1)).over(series).alias("n"))
+    turns = F.when(F.col("_pos") < F.least(F.lit(block_length), "n"), F.array(F.col("_pos"), F.col("_pos") + F.col("n"))) \
+        .otherwise(F.array(F.col("_pos")))
+    ring = placed.withColumn("_at", F.explode(turns))
+    before = series.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ring.select(*keys, "n", "_at", *[F.coalesce(F.sum(v).over(before), F.lit(0.0)).alias(v) for v in values])
+    packed = sums.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_at", *values))).alias("_ring"))
+    return packed.select(*keys, "n", *[F.col("_ring")[v].alias(v) for v in values])
 
 
 def bootstrap_means(errors: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], resamples: int,
@@ -76,17 +84,26 @@ def bootstrap_means(errors: DataFrame, keys: Sequence[str], time: str, values: S
     """Mean of every value column in every resample: (keys, resample, values).
 
     ``errors`` has one complete row per series and date.  A series shorter
-    than a block is resampled as one block cut to its own length.
+    than a block is resampled as one block cut to its own length.  The series'
+    sums travel to ``CHUNK`` resamples at a time; nothing else is shuffled.
     """
-    rows = errors.select(*keys, time, *[F.col(v).cast("double").alias(v) for v in values])
-    placed = with_position(rows, keys, time, "pos", total="n")
-    sums = block_sums(placed, keys, values, block_length)
-    starts = block_starts(placed, resamples, block_length, seed)
-    joined = starts.join(sums.withColumnRenamed("pos", "start"), ["n", "start"])
-    whole = F.col("size") == block_length
-    return joined.groupBy(*keys, "n", "resample").agg(*[
-        (F.sum(F.when(whole, F.col(f"_whole_{v}")).otherwise(F.col(f"_cut_{v}"))) / F.col("n")).alias(v)
-        for v in values])
+    _check_sizes(resamples, block_length)
+    rings = ring_sums(errors, keys, time, values, block_length)
+    chunks = rings.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // CHUNK))))
+    first = F.col("_chunk") * CHUNK
+    last = F.least(first + CHUNK, F.lit(resamples)) - 1
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / block_length) - 1)
+    drawn = (chunks.repartition(*keys, "_chunk")
+             .withColumn("resample", F.explode(F.sequence(first, last)))
+             .withColumn("_from", F.transform(
+                 blocks, lambda b: block_start(F.lit(seed), F.col("resample"), b, F.col("n"))))
+             .withColumn("_to", F.transform("_from", lambda s, i: s + block_size(i, F.col("n"), block_length))))
+
+    def total(v: str) -> Column:
+        pick = lambda at: F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.get(F.col(v), i.cast("int")))
+        return pick("_to") - pick("_from")
+
+    return drawn.select(*keys, "n", "resample", *[(total(v) / F.col("n")).alias(v) for v in values])
 
 
 def _interval(value: Column) -> Column:
