@@ -47,8 +47,8 @@ def near_sql(expression: str, digits: int = 6) -> str:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column and widen every integer column."""
     return df.select(*[
-        near(c, digits).alias(c) if t in ("double", "float")
-        else F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c)
+        F.expr(f"round(`{c}` + 1e-9D, {digits}) + 0D AS `{c}`") if t in ("double", "float")
+        else F.expr(f"bigint(`{c}`) AS `{c}`") if t in ("int", "smallint", "tinyint") else c
         for c, t in df.dtypes])
 
 

@@ -109,10 +109,10 @@ def band_order(value: str | Column, cuts=VOLUME_CUTS) -> Column:
     return F.when(c < low, 0).when(c <= high, 1).when(c > high, 2)
 
 
-def try_pearson(y: str | Column, x: str | Column) -> Column:
+def try_pearson(y: str, x: str) -> Column:
     """Pairwise-complete Pearson aggregate, null (never an error) for a constant column."""
-    a, b = column(y), column(x)
-    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+    pair = f"(`{y}`, `{x}`)"
+    return F.expr(f"try_divide(regr_sxy{pair}, sqrt(regr_sxx{pair} * regr_syy{pair}))")
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -123,11 +123,16 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def sql_literal(value) -> str:
+    """A label or number as SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def unpivot(df: DataFrame, keys: list[str], rows: list[tuple[dict, dict]]) -> DataFrame:
-    """One output row per entry: literal labels (first dict) and columns (second dict)."""
-    entries = F.array(*[
-        F.struct(*[F.lit(v).alias(k) for k, v in labels.items()],
-                 *[column(c).alias(k) for k, c in values.items()])
-        for labels, values in rows
-    ])
-    return df.select(*keys, F.inline(entries))
+    """One output row per entry: literal labels (first dict), then SQL expressions (second dict)."""
+    entries = ", ".join("struct(" + ", ".join(
+        [f"{sql_literal(v)} AS `{k}`" for k, v in labels.items()]
+        + [f"{c} AS `{k}`" for k, c in values.items()]) + ")" for labels, values in rows)
+    return df.select(*keys, F.expr(f"inline(array({entries}))"))

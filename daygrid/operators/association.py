@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from daygrid.functions.columns import try_pearson, unpivot
@@ -43,7 +43,7 @@ def complete_pairs(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ())
     """One row per (var_a < var_b) and input row where both are present: x, y."""
     pairs = [(a, b) for a, b in pairs_of(cols) if a != b]
     long = unpivot(df, list(keys), [
-        ({"var_a": a, "var_b": b}, {"x": F.col(a).cast("double"), "y": F.col(b).cast("double")})
+        ({"var_a": a, "var_b": b}, {"x": f"double(`{a}`)", "y": f"double(`{b}`)"})
         for a, b in pairs])
     return long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
@@ -118,49 +118,42 @@ def _centred(df, keys, time, cols) -> DataFrame:
 def cross_correlation(df, keys, time, x: str, y: str, max_lag: int = 14, size: int = BLOCK) -> DataFrame:
     """``sum x[n] y[n+k] / (n sd_x sd_y)`` for k in -max_lag..max_lag; positive k: x leads.
 
-    All lags are products inside one window pass, so nothing is exploded.
+    A row sees the next values of both series as arrays, so all lags are one pass.
     """
     base = _centred(df, keys, time, [x, y])
+    wide = over_blocks(base, keys, F.col("_i"), lambda w: {
+        "_x": F.collect_list(x).over(w.rowsBetween(0, max_lag)),
+        "_y": F.collect_list(y).over(w.rowsBetween(0, max_lag))}, ahead=max_lag, size=size)
     lags_ = range(-max_lag, max_lag + 1)
-
-    def product(w: WindowSpec) -> dict[str, Column]:
-        return {f"_p{k + max_lag}": (F.col(x) * F.lead(y, k).over(w)) if k >= 0 else (F.lead(x, -k).over(w) * F.col(y))
-                for k in lags_}
-
-    wide = over_blocks(base, keys, F.col("_i"), product, ahead=max_lag, size=size)
+    products = ", ".join(f"sum(`{x}` * get(_y, {k}))" if k >= 0 else f"sum(get(_x, {-k}) * `{y}`)" for k in lags_)
     # n sd_x sd_y is the root of the product of the two sums of squares.
-    scale = F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y)))
-    sums = wide.groupBy(*keys).agg(*[
-        F.try_divide(F.coalesce(F.sum(f"_p{k + max_lag}"), F.lit(0.0)), scale).alias(f"_c{k + max_lag}")
-        for k in lags_])
-    return unpivot(sums, list(keys), [({"lag": k}, {"r": f"_c{k + max_lag}"}) for k in lags_])
+    scale = f"sqrt(sum(`{x}` * `{x}`) * sum(`{y}` * `{y}`))"
+    sums = wide.groupBy(*keys).agg(F.expr(f"array({products})").alias("_c"), F.expr(scale).alias("_scale"))
+    return sums.select(*keys, "_scale", F.posexplode("_c").alias("_k", "_sum")).select(
+        *keys, (F.col("_k") - max_lag).alias("lag"),
+        F.try_divide(F.coalesce("_sum", F.lit(0.0)), F.col("_scale")).alias("r"))
 
 
 def acf(df, keys, time, value: str, n_lags: int = 60, size: int = BLOCK) -> DataFrame:
     """Biased autocorrelation with the white-noise and the Bartlett 95% band, lag 0 to n_lags.
 
-    Rows with a missing value are dropped and the positions closed up.
+    Rows with a missing value are dropped and the positions closed up.  A row
+    sees its next ``n_lags`` values as one array, so all lags are one pass.
     """
     base = _centred(df, keys, time, [value])
-    lags_ = range(1, n_lags + 1)
-
-    def product(w: WindowSpec) -> dict[str, Column]:
-        return {f"_p{k}": F.col(value) * F.lead(value, k).over(w) for k in lags_}
-
-    wide = over_blocks(base, keys, F.col("_i"), product, ahead=n_lags, size=size)
-    square = F.sum(F.col(value) * F.col(value))
-    sums = wide.groupBy(*keys).agg(F.max("_n").alias("_n"), F.try_divide(square, square).alias("_c0"), *[
-        F.try_divide(F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)), square).alias(f"_c{k}") for k in lags_])
-    noise = F.lit(1.96) / F.sqrt("_n")
-    rows = [({"lag": k}, {"acf": F.col(f"_c{k}"), "band": noise}) for k in range(n_lags + 1)]
-    long = unpivot(sums, [*keys, "_n"], rows)
-    # Bartlett: 1.96 * sqrt((1 + 2 * sum of squared acf at the smaller lags) / n); at most n_lags rows per series.
+    wide = over_blocks(base, keys, F.col("_i"), lambda w: {
+        "_next": F.collect_list(value).over(w.rowsBetween(0, n_lags))}, ahead=n_lags, size=size)
+    products = ", ".join(f"sum(`{value}` * get(_next, {k}))" for k in range(n_lags + 1))
+    sums = wide.groupBy(*keys).agg(F.max("_n").alias("_n"), F.expr(f"array({products})").alias("_c"))
+    long = sums.select(*keys, "_n", F.col("_c")[0].alias("_c0"), F.posexplode("_c").alias("lag", "_sum")).select(
+        *keys, "_n", "lag", F.try_divide(F.coalesce("_sum", F.lit(0.0)), F.col("_c0")).alias("acf"))
+    # Bartlett: 1.96 * sqrt((1 + 2 * sum of squared acf at the smaller lags) / n); at most n_lags + 1 rows per series.
     smaller = Window.partitionBy(*keys, "_n").orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     past = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(smaller), F.lit(0.0))
     bartlett = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(F.lit(1.96) * F.sqrt((1 + 2 * past) / F.col("_n")))
-    return long.withColumn("bartlett", bartlett).select(
-        *keys, F.col("lag").cast("bigint").alias("lag"), "acf", "band", "bartlett",
-        F.col("_n").cast("bigint").alias("n"))
+    return long.select(
+        *keys, F.col("lag").cast("bigint").alias("lag"), "acf", (F.lit(1.96) / F.sqrt("_n")).alias("band"),
+        bartlett.alias("bartlett"), F.col("_n").cast("bigint").alias("n"))
 
 
 def pacf(df, keys, time, value: str, n_lags: int = 60) -> DataFrame:

@@ -125,16 +125,14 @@ def nearest_known(
     cut = df.withColumn("_pos", pos).withColumn("_block", block_of(pos, size))
 
     def known(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(c).alias("v")))
+        return F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN struct(_pos AS p, `{c}` AS v) END")
 
-    def edge(c: str, extreme, pick) -> Column:
-        at = F.when(F.col(c).isNotNull(), F.col("_pos"))
-        return F.when(F.count(F.col(c)) > 0, F.struct(extreme(at).alias("p"), pick(c, at).alias("v")))
+    def edge(c: str, extreme: str) -> Column:
+        at = f"CASE WHEN `{c}` IS NOT NULL THEN _pos END"
+        return F.expr(f"CASE WHEN count(`{c}`) > 0 THEN struct({extreme}({at}) AS p, {extreme}_by(`{c}`, {at}) AS v) END")
 
     summary = cut.groupBy(*keys, "_block").agg(*[
-        agg for c in cols for agg in (
-            edge(c, F.min, F.min_by).alias(f"_first_{c}"), edge(c, F.max, F.max_by).alias(f"_last_{c}"))
-    ])
+        agg for c in cols for agg in (edge(c, "min").alias(f"_first_{c}"), edge(c, "max").alias(f"_last_{c}"))])
     # Looking ahead is looking back in reversed order: a frame that ends at the
     # last row would be evaluated anew for every row.
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -127,9 +127,9 @@ def bootstrap_intervals(wide: DataFrame, models: Sequence[str], keys: Sequence[s
         F.avg(f"res{i}").alias(f"pbias{i}"))])
     both = attach(points, limits, keys)
     return unpivot(both, list(keys), [({"model": m}, {"n": "n"} | {
-        name: col for kind in ("mae", "rmse", "bias") for name, col in (
-            (kind, F.col(f"p{kind}{i}")), (f"{kind}_low", F.col(f"{kind}{i}")[0]),
-            (f"{kind}_high", F.col(f"{kind}{i}")[1]))}) for i, m in enumerate(models)])
+        name: text for kind in ("mae", "rmse", "bias") for name, text in (
+            (kind, f"p{kind}{i}"), (f"{kind}_low", f"{kind}{i}[0]"), (f"{kind}_high", f"{kind}{i}[1]"))})
+        for i, m in enumerate(models)])
 
 
 def bootstrap_differences(wide: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = (),
@@ -144,8 +144,8 @@ def bootstrap_differences(wide: DataFrame, pairs: Sequence[tuple[str, str]], key
     points = rows.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
     both = attach(points, limits, keys)
     return unpivot(both, list(keys), [({"model_a": a, "model_b": b}, {
-        "delta_mae": F.col(v), "low": F.col(f"i{v}")[0], "high": F.col(f"i{v}")[1],
-        "excludes_zero": (F.col(f"i{v}")[0] > 0) | (F.col(f"i{v}")[1] < 0)}) for v, (a, b) in zip(values, pairs)])
+        "delta_mae": v, "low": f"i{v}[0]", "high": f"i{v}[1]",
+        "excludes_zero": f"i{v}[0] > 0 OR i{v}[1] < 0"}) for v, (a, b) in zip(values, pairs)])
 
 
 def block_sensitivity(wide: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = (),

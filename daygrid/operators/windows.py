@@ -148,15 +148,12 @@ def _fill(df, keys, pos, cols, tail: bool, head: bool, size: int) -> DataFrame:
     near = nearest_known(df, keys, pos, cols, size=size)
 
     def value(c: str) -> Column:
-        prev, nxt, at = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col("_pos")
-        slope = (nxt.v - prev.v) / (nxt.p - prev.p)
-        between = F.when(nxt.p == prev.p, F.col(c)).otherwise(prev.v + slope * (at - prev.p))
-        out = F.when(F.col(c).isNotNull(), F.col(c)).when(prev.isNotNull() & nxt.isNotNull(), between)
-        if tail:
-            out = out.when(prev.isNotNull(), prev.v)
-        if head:
-            out = out.when(nxt.isNotNull(), nxt.v)
-        return out
+        before, after = f"`_prev_{c}`", f"`_next_{c}`"
+        ends = (f"WHEN {before} IS NOT NULL THEN {before}.v " if tail else "") + \
+            (f"WHEN {after} IS NOT NULL THEN {after}.v " if head else "")
+        return F.expr(f"""CASE WHEN `{c}` IS NOT NULL THEN `{c}`
+            WHEN {before} IS NOT NULL AND {after} IS NOT NULL
+            THEN {before}.v + ({after}.v - {before}.v) / ({after}.p - {before}.p) * (_pos - {before}.p) {ends} END""")
 
     helpers = [f"_{side}_{c}" for c in cols for side in ("prev", "next")]
     filled = near.withColumns({c: value(c) for c in cols})
