@@ -161,43 +161,55 @@ def pacf(df, keys, time, value: str, n_lags: int = 60) -> DataFrame:
     table = acf(df, keys, time, value, n_lags).groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda s: s.acf).alias("r"))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def levinson(rows: pd.Series) -> pd.Series:
-        return rows.map(partial_from_acf)
-
-    return table.select(*keys, F.posexplode(levinson("r")).alias("lag", "pacf")).select(
+    return table.select(*keys, F.posexplode(_levinson("r")).alias("lag", "pacf")).select(
         *keys, F.col("lag").cast("bigint").alias("lag"), "pacf")
 
 
-def partial_from_acf(r) -> list[float | None]:
-    """Durbin's recursion on one short autocorrelation sequence."""
-    if any(v is None or not math.isfinite(v) for v in r):
-        return [None] * len(r)
-    out, phi, error = [1.0], np.zeros(0), 1.0
-    for k in range(1, len(r)):
-        past = np.asarray(r[1:k][::-1], dtype=float)
-        step = (r[k] - phi @ past) / error
-        phi = np.append(phi - step * phi[::-1], step)
-        error *= 1.0 - step * step
-        out.append(float(step))
-    return out
-
-
-def chi2_upper(q: float, df: int) -> float:
-    """Upper tail of chi-squared for whole degrees of freedom, in closed form."""
-    x = q / 2.0
-    if df % 2 == 0:
-        term = total = math.exp(-x)
-        for i in range(1, df // 2):
-            term *= x / i
+def _small_functions():
+    """The two scalar recursions, made here so that they travel to the workers by value.
+
+    Module-level functions would be sent by name, and the workers would need
+    this package installed.
+    """
+
+    def partial(r) -> list[float | None]:
+        """Durbin's recursion on one short autocorrelation sequence."""
+        if any(v is None or not math.isfinite(v) for v in r):
+            return [None] * len(r)
+        out, phi, error = [1.0], np.zeros(0), 1.0
+        for k in range(1, len(r)):
+            past = np.asarray(r[1:k][::-1], dtype=float)
+            step = (r[k] - phi @ past) / error
+            phi = np.append(phi - step * phi[::-1], step)
+            error *= 1.0 - step * step
+            out.append(float(step))
+        return out
+
+    def upper(q: float, df: int) -> float:
+        """Upper tail of chi-squared for whole degrees of freedom, in closed form."""
+        x = q / 2.0
+        if df % 2 == 0:
+            term = total = math.exp(-x)
+            for i in range(1, df // 2):
+                term *= x / i
+                total += term
+            return total
+        total = math.erfc(math.sqrt(x))
+        term = math.exp(-x) * math.sqrt(x) / math.gamma(1.5)
+        for i in range(1, (df + 1) // 2):
             total += term
+            term *= x / (i + 0.5)
         return total
-    total = math.erfc(math.sqrt(x))
-    term = math.exp(-x) * math.sqrt(x) / math.gamma(1.5)
-    for i in range(1, (df + 1) // 2):
-        total += term
-        term *= x / (i + 0.5)
-    return total
+
+    return partial, upper
+
+
+partial_from_acf, chi2_upper = _small_functions()
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _levinson(rows: pd.Series) -> pd.Series:
+    return rows.map(partial_from_acf)
 
 
 @F.pandas_udf(T.DoubleType())
