@@ -80,6 +80,31 @@ def attach_spread(df: DataFrame, stats: DataFrame, keys: Sequence[str], by: str,
     return dealt.join(repeated, [*keys, "_part"]).drop("_part")
 
 
+def with_headers(
+    df: DataFrame, keys: Sequence[str], order: str, headers: DataFrame,
+    build: Callable[[WindowSpec], dict[str, Column]],
+) -> DataFrame:
+    """Window columns over ``(keys, _block)`` that also see one header row per block.
+
+    ``headers`` (keys, ``_block``, facts about the block or its series) is put
+    in front of the block's rows instead of being joined to them: the rows are
+    shuffled once, for the window, and not a second time for a join.  ``build``
+    reads a fact with :func:`fact`; a header has no ``order`` value, so it
+    comes first in ascending and last in descending order.
+    """
+    together = df.withColumn("_header", F.lit(False)).unionByName(
+        headers.withColumn("_header", F.lit(True)), allowMissingColumns=True)
+    window = Window.partitionBy(*keys, "_block")
+    out = together.withColumns(build(window.orderBy(F.asc_nulls_first(order))))
+    extra = [c for c in headers.columns if c not in (*keys, "_block")]
+    return out.where(~F.col("_header")).drop("_header", *extra)
+
+
+def fact(name: str, window: WindowSpec) -> Column:
+    """A fact from the header row, which is the first of its block."""
+    return F.first(name).over(window.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], time: str, name: str = "pos", total: str | None = None,
     means: Sequence[str] = (), size: int = BLOCK,
@@ -95,18 +120,20 @@ def with_position(
         F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(f"_sum_{c}") for c in means])
     series = Window.partitionBy(*keys)
     before = series.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    headers = counts.select(
         *keys, "_block",
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
         F.sum("_c").over(series).alias("_total"),
-        *[(F.sum(f"_sum_{c}").over(series) / F.sum("_c").over(series)).alias(f"_mean_{c}") for c in means],
+        *[(F.sum(f"_sum_{c}").over(series) / F.sum("_c").over(series)).alias(f"_avg_{c}") for c in means],
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(time)
-    out = cut.join(offsets, [*keys, "_block"]).withColumn(
-        name, F.col("_before") + F.row_number().over(inside) - 1)
-    if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_block", "_before", "_total")
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        # The header takes row number one.
+        return {name: fact("_before", w) + F.row_number().over(w) - 2} | (
+            {total: fact("_total", w)} if total else {}) | {
+            f"_mean_{c}": fact(f"_avg_{c}", w) for c in means}
+
+    return with_headers(cut, keys, time, headers, build).drop("_block")
 
 
 def nearest_known(
@@ -120,7 +147,7 @@ def nearest_known(
     """Add ``_prev_<c>`` (and ``_next_<c>``): struct(pos, value) of the nearest non-null row.
 
     The row itself counts.  Inside a block this is a window; across blocks the
-    last and first known value of each block is carried over.
+    last and first known value of each block is carried over in its header.
     """
     cut = df.withColumn("_pos", pos).withColumn("_block", block_of(pos, size))
 
@@ -137,37 +164,37 @@ def nearest_known(
     # last row would be evaluated anew for every row.
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
+    headers = summary.select(
         *keys, "_block",
         *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_from_{c}") for c in cols],
         *([F.last(f"_first_{c}", ignorenulls=True).over(later).alias(f"_to_{c}") for c in cols]
           if forward else []),
     )
-    inside = Window.partitionBy(*keys, "_block")
-    up_to = inside.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    onward = inside.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(carried, [*keys, "_block"])
-    new = {f"_prev_{c}": F.coalesce(F.last(known(c), ignorenulls=True).over(up_to), F.col(f"_from_{c}"))
-           for c in cols}
-    if forward:
-        new |= {f"_next_{c}": F.coalesce(F.last(known(c), ignorenulls=True).over(onward),
-                                         F.col(f"_to_{c}")) for c in cols}
-    drop = ["_block", *[f"_from_{c}" for c in cols], *[f"_to_{c}" for c in cols]]
-    return out.withColumns(new).drop(*drop)
+    onward = (Window.partitionBy(*keys, "_block").orderBy(F.desc_nulls_last("_pos"))
+              .rowsBetween(Window.unboundedPreceding, 0))
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+        new = {f"_prev_{c}": F.coalesce(F.last(known(c), ignorenulls=True).over(up_to), fact(f"_from_{c}", w))
+               for c in cols}
+        if forward:
+            new |= {f"_next_{c}": F.coalesce(F.last(known(c), ignorenulls=True).over(onward), fact(f"_to_{c}", w))
+                    for c in cols}
+        return new
+
+    return with_headers(cut, keys, "_pos", headers, build).drop("_block")
 
 
 def previous_day(df: DataFrame, keys: Sequence[str], time: str, name: str, size: int = BLOCK) -> DataFrame:
     """The day of the row before, however far back it lies."""
     cut = df.withColumn("_block", block_of(day_position(time), size))
     ends = cut.groupBy(*keys, "_block").agg(F.max(time).alias("_end"))
-    carried = ends.select(
+    headers = ends.select(
         *keys, "_block",
         F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block")).alias("_from"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(time)
-    return (cut.join(carried, [*keys, "_block"])
-            .withColumn(name, F.coalesce(F.lag(time).over(inside), F.col("_from")))
-            .drop("_block", "_from"))
+    return with_headers(cut, keys, time, headers, lambda w: {
+        name: F.coalesce(F.lag(time).over(w), fact("_from", w))}).drop("_block")
 
 
-__all__ = ["BLOCK", "attach", "attach_spread", "block_of", "column", "day_position", "nearest_known",
-           "over_blocks", "previous_day", "with_position"]
+__all__ = ["BLOCK", "attach", "attach_spread", "block_of", "column", "day_position", "fact", "nearest_known",
+           "over_blocks", "previous_day", "with_headers", "with_position"]

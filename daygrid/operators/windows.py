@@ -221,9 +221,9 @@ def decompose_additive(df, keys, time, value, period: int = 365, size: int = BLO
         full = last.n - F.coalesce(before.n, F.lit(0)) == 2 * half + 1
         return F.when(full, (total - F.col("_edge") if period % 2 == 0 else total) / period)
 
-    first = df.groupBy(*keys).agg(F.min(time).alias("_start"))
-    base = attach(df.select(*keys, time, F.col(value).cast("double").alias("observed")), first, keys).withColumn(
-        "_phase", F.pmod(F.datediff(F.col(time), F.col("_start")), F.lit(period))).drop("_start")
+    # Phases are counted on the calendar: another starting point only renames them.
+    base = df.select(*keys, time, F.col(value).cast("double").alias("observed"),
+                     F.pmod(day_position(time), F.lit(period)).alias("_phase"))
     with_trend = over_blocks(base, keys, day_position(time), trend, back=half + 1, ahead=half, size=size,
                              then=lambda w: {"trend": centred(w)}).drop("_run", "_edge")
     phases = with_trend.groupBy(*keys, "_phase").agg(F.avg(F.col("observed") - F.col("trend")).alias("_mean"))
