@@ -153,7 +153,18 @@ def autocorrelation(spark, sf_dir):
     return rounded(acf(stage(panel(spark, sf_dir)), ["key"], "day", "y"))
 
 
-@query("pacf")
+@query("pacf", f"""
+WITH RECURSIVE {PANEL}, {_ACF},
+lists AS (SELECT key, list(acf ORDER BY lag) AS r FROM acf GROUP BY key),
+durbin AS (
+  SELECT key, 1 AS k, [r[2]] AS phi, 1 - r[2] * r[2] AS err, r[2] AS step, r FROM lists
+  UNION ALL
+  SELECT key, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - new * phi[k + 1 - i]), new),
+         err * (1 - new * new), new, r
+  FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i]))) / err AS new
+        FROM durbin WHERE k < 60))
+SELECT key, CAST(0 AS BIGINT) AS lag, {near_sql('1')} AS pacf FROM lists
+UNION ALL SELECT key, CAST(k AS BIGINT), {near_sql('step')} FROM durbin""")
 def partial(spark, sf_dir):
     return rounded(pacf(stage(panel(spark, sf_dir)), ["key"], "day", "y"))
 
