@@ -198,11 +198,11 @@ def fit_by_year(spark, sf_dir):
 
 
 @query("linear_fit_single_points", f"""
-SELECT p_brand, p_type, p_size, {_fit('p_retailprice', 'CAST(p_partkey AS DOUBLE)', 4)}
+SELECT p_brand, p_type, p_size, {_fit('CAST(p_partkey AS DOUBLE)', 'p_retailprice', 4)}
 FROM (SELECT p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice, p_partkey FROM part) GROUP BY ALL""")
 def fit_small_groups(spark, sf_dir):
     """Many groups have one point or no variance: null, not an error."""
-    return rounded(linear_fit(table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", ["p_brand", "p_type", "p_size"]), 4)
+    return rounded(linear_fit(table(spark, sf_dir, "part"), "p_partkey", "p_retailprice", ["p_brand", "p_type", "p_size"]), 4)
 
 
 @query("error_trend", f"""

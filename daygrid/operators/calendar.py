@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from daygrid.functions.columns import bin_step
-from daygrid.operators.blocks import attach
+from daygrid.operators.blocks import attach, previous_day
 
 
 def spine(
@@ -36,13 +36,29 @@ def spine(
     return base.select(*keys, F.explode(F.sequence("_lo", "_hi", bin_step(freq))).alias(time))
 
 
+def _fill_between_rows(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Every row also emits the days since the row before it.
+
+    Only the given rows are shuffled; the added days appear afterwards.
+    """
+    since = F.least(F.coalesce(F.date_add("_before", 1), F.col(time)), F.col(time))
+    spread = previous_day(df, keys, time, "_before").withColumn("_day", F.explode(F.sequence(since, F.col(time))))
+    own = F.col("_day") == F.col(time)
+    return spread.select(*[
+        F.col("_day").alias(c) if c == time else F.col(c) if c in keys else F.when(own, F.col(c)).alias(c)
+        for c in df.columns])
+
+
 def complete_calendar(
     df: DataFrame, keys: Sequence[str], time: str, fill: Mapping[str, float] | None = None,
     start=None, end=None, bounds: str = "global", freq: str = "day",
 ) -> DataFrame:
     """Reindex to the full calendar; columns in ``fill`` get a value, the rest stay null."""
-    days = spine(df, keys, time, start, end, bounds, freq)
-    out = days.join(df, [*keys, time], "left").select(*df.columns)
+    if bounds == "per_key" and freq == "day" and start is None and end is None:
+        out = _fill_between_rows(df, keys, time)
+    else:
+        days = spine(df, keys, time, start, end, bounds, freq)
+        out = days.join(df, [*keys, time], "left").select(*df.columns)
     for name, value in (fill or {}).items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(df.schema[name].dataType)))
     return out

@@ -81,6 +81,10 @@ def test_calendar_bounds(spark):
     assert complete_calendar(df, ["k"], "day", {"y": 0}, bounds="per_key").count() == 4
     assert rows(reindex_calendar(df, ["k"], "day"), "k", "day")[1] == ("a", dt.date(2024, 1, 2), None)
     assert rows(expected_row_count(df, ["k"], "day")) == [("a", 2, 3)]
+    far = spark.createDataFrame([("a", D1, 1), ("a", dt.date(2060, 1, 1), 2)], "k string, day date, y int")
+    filled = reindex_calendar(far, ["k"], "day")
+    assert filled.count() == (dt.date(2060, 1, 1) - D1).days + 1 == filled.select("day").distinct().count()
+    assert filled.where("y is not null").count() == 2
     assert complete_calendar(df.limit(0), ["k"], "day").count() == 0
     assert complete_calendar(df.drop("k").limit(0), [], "day").count() == 0
 
