@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from daygrid.functions.columns import floor_to_day
-from daygrid.operators.calendar import complete_calendar
 from daygrid.operators.forecast import moving_average_forecast, persistence, recut_predictions
 from daygrid.operators.quality import dedup_events
-from daygrid.operators.rollup import daily_count
 from daygrid.plans.base import daily_base, daily_target, daily_weather
 from daygrid.sources.readers import scan_parquet
 from daygrid.stage import stage
@@ -189,5 +187,5 @@ METRICS = f"""count(*) AS n, {near_sql('avg(abs(y_real - y_pred))')} AS mae,
 
 __all__ = ["BASE", "COMMON_TEST", "END", "METRICS", "MODELS", "PANEL", "PREDICTIONS", "QUERIES", "READINGS",
            "SERIES", "SPARSE", "SQL", "START", "SUITE", "SUITE_SCOPES", "TEST", "WEATHER", "base",
-           "complete_calendar", "daily_count", "near", "near_sql", "orders_as_events", "panel", "predictions",
+           "near", "near_sql", "orders_as_events", "panel", "predictions",
            "query", "readings", "rounded", "series", "sparse", "stage", "table"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid.catalog.registry import (
-    BASE, PANEL, PREDICTIONS, READINGS, SERIES, SPARSE, SUITE, SUITE_SCOPES, TEST, base, near, near_sql, panel,
+    BASE, PANEL, PREDICTIONS, READINGS, SPARSE, SUITE, SUITE_SCOPES, TEST, base, near, near_sql, panel,
     predictions, query, readings, rounded, series, sparse, stage, table)
 from daygrid.operators.distribution import box_stats, center, density, fliers, histogram
 from daygrid.operators.evaluate import band_quartiles, forecast_metrics, pivot_metric

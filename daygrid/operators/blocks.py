@@ -14,7 +14,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from daygrid.functions.columns import column
 
 BLOCK = 4096
 
@@ -196,5 +195,5 @@ def previous_day(df: DataFrame, keys: Sequence[str], time: str, name: str, size:
         name: F.coalesce(F.lag(time).over(w), fact("_from", w))}).drop("_block")
 
 
-__all__ = ["BLOCK", "attach", "attach_spread", "block_of", "column", "day_position", "fact", "nearest_known",
+__all__ = ["BLOCK", "attach", "attach_spread", "block_of", "day_position", "fact", "nearest_known",
            "over_blocks", "previous_day", "with_headers", "with_position"]

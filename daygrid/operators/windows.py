@@ -7,13 +7,12 @@ frames count rows, and rows are days only when no day is missing.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from daygrid.functions.columns import NO_DIRECTION
-from daygrid.operators.blocks import BLOCK, attach, day_position, nearest_known, over_blocks, with_position
-from daygrid.operators.quality import QualityError
+from daygrid.operators.blocks import BLOCK, attach, day_position, nearest_known, over_blocks
 from daygrid.operators.ranks import quantiles
 
 
@@ -284,8 +283,7 @@ def sequence_windows(df, keys, time, features: Sequence[str], value, length: int
 
 
 __all__ = [
-    "QualityError", "calendar_features", "causal_columns", "causal_fill", "decompose_additive", "ema",
+    "calendar_features", "causal_columns", "causal_fill", "decompose_additive", "ema",
     "fill_with_train_median", "interpolate_linear", "interpolate_time", "lags", "lead_target",
     "renormalise_direction", "rolling_mean", "rolling_std", "sequence_windows", "undefined_directions",
-    "with_position",
 ]
