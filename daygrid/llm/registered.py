@@ -1,6 +1,6 @@
 """All modules with queries, imported once; each registers its own."""
 
-from daygrid.llm import chat  # noqa: F401
+from daygrid.llm import chat, near_duplicates  # noqa: F401
 from daygrid.llm.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
