@@ -51,8 +51,9 @@ def _leaves(cells: DataFrame, fine: int, above: int, limit: int) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, depth, shard, page) of every row; ``shard`` is the bucket's prefix as a string of bits."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-                       hash_bits(key, text).alias("bits"))
+    rows = stage(docs.select(  # three numbers a row: the texts are read once
+        F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+        hash_bits(key, text).alias("bits")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     fine = min(BITS, max(1, -(-total // limit)).bit_length() + FINER)
     above, placed, left = 0, None, rows
