@@ -11,8 +11,10 @@
    Lists are also cut by set size, as similar sets differ by less than 1.25.
 3. Each list compares its members with its hub, the class with the most shared
    values: linear in the list, and a group of copies becomes one component.
-   Only pairs of members still in different components are formed after that.
-4. A pair's similarity is first estimated on the union of both sketches and then
+4. Classes whose lists still hold several components are listed again, exactly:
+   by the rarest values of their whole sets, as many as the two sizes of a pair
+   demand.  Pairs across components of such a list are the only ones formed.
+5. A pair's similarity is first estimated on the union of both sketches and then
    verified on the full sets.  Linked classes are joined to components.
 
 Defined results: null and empty texts have no shingles and are linked with
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from daygrid.llm.catalog import query, table
 from daygrid.llm.components import components
-from daygrid.llm.shingles import long_lists, mix, packed, shingle_sets
+from daygrid.llm.shingles import long_lists, mix, shingle_sets
 from daygrid.stage import stage
 
 SKETCH = 48  # retained values of a set
@@ -60,15 +62,15 @@ def set_facts(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
         build, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>")
 
 
-def packed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, whole set as binary) of every row."""
+def whole_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, hashes): the whole sorted set of every row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed(list(shingle_sets(batch.column(1), width)))],
+            yield pa.RecordBatch.from_arrays([batch.column(0), long_lists(list(shingle_sets(batch.column(1), width)))],
                                              ["id", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "id long, hashes binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "id long, hashes array<long>")
 
 
 def inverted_lists(classes: DataFrame, k: int = SKETCH) -> DataFrame:
@@ -102,13 +104,46 @@ def hub_pairs(lists: DataFrame, similar=SIMILAR) -> DataFrame:
             .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
 
 
+def open_members(lists: DataFrame) -> DataFrame:
+    """Ids in lists whose members are still in different components."""
+    mixed = lists.groupBy("v", "size_class").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return lists.join(mixed.where("low <> high").select("v", "size_class"), ["v", "size_class"]).select("id").distinct()
+
+
+def exact_lists(sets: DataFrame, similar=SIMILAR) -> DataFrame:
+    """Inverted lists over whole sets: (v, size_class, id, n, place), ``place`` being the value's rank by rarity.
+
+    A pair of sizes x and y must share ``o = 0.8 / 1.8 * (x + y)`` values, so one
+    of them is among the rarest ``x - o + 1`` of one and ``y - o + 1`` of the other.
+    """
+    values = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1")
+    per_set = values.join(often, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"))
+    alone = F.col("n") - F.size("vs")
+    longest = F.col("n") - F.ceil(F.col("n") * similar[0] / similar[1]) + 1  # beside any other size
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(SIZE_STEP)))).cast("int")
+    return (per_set.where(longest > alone)
+            .select("id", "n", alone.alias("alone"), F.posexplode(F.slice("vs", F.lit(1), (longest - alone).cast("int"))).alias("at", "e"))
+            .select(F.col("e.v").alias("v"), F.explode(F.array(step, step + 1)).alias("size_class"), "id", "n",
+                    (F.col("alone") + F.col("at") + 1).alias("place")))
+
+
 def remaining_pairs(lists: DataFrame, similar=SIMILAR) -> DataFrame:
-    """Pairs of members that are still in different components."""
-    mixed = lists.groupBy("v", "size_class").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_lists = lists.join(mixed.select("v", "size_class"), ["v", "size_class"])
-    other = open_lists.select("v", "size_class", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    pairs = open_lists.join(other, ["v", "size_class"]).where(
-        (F.col("component") < F.col("bc")) & _sizes_fit(F.col("n"), F.col("bn"), similar))
+    """Pairs of members in different components whose common value is rare enough in both.
+
+    Only the members outside a list's commonest component look for partners.
+    """
+    sizes = lists.groupBy("v", "size_class", "component").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("v", "size_class").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("groups"))
+    main = main.where("groups > 1").select("v", "size_class", F.col("main.component").alias("main"))
+    members = lists.join(main, ["v", "size_class"])
+    left = members.where("component <> main").drop("main")
+    right = members.select("v", "size_class", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"),
+                           F.col("place").alias("b_place"))
+    shared = F.ceil((F.col("n") + F.col("bn")) * similar[0] / (similar[0] + similar[1]))
+    pairs = left.join(right, ["v", "size_class"]).where(
+        (F.col("component") != F.col("bc")) & _sizes_fit(F.col("n"), F.col("bn"), similar)
+        & (F.col("place") <= F.col("n") - shared + 1) & (F.col("b_place") <= F.col("bn") - shared + 1))
     return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
@@ -122,16 +157,19 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def _hash_lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return (flat[a:b] for a, b in zip([0, *ends], ends))
+
+
 def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similar=SIMILAR, k: int = SKETCH) -> DataFrame:
     """The pairs that the union sketch lets through and the full sets confirm."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = batch.column(2), batch.column(3)
             keep = []
-            for i in range(len(batch)):
-                x = one[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                y = two[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for x, y in zip(_hash_lists(batch.column(2)), _hash_lists(batch.column(3))):
                 union = np.union1d(x, y)[:k]
                 keep.append(2 * _common(_upto(x, union), _upto(y, union)) >= len(union))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -139,8 +177,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similar=SIM
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(_hash_lists(batch.column(2)), _hash_lists(batch.column(3))):
                 both = _common(x, y)
                 keep.append(similar[1] * both >= similar[0] * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -166,16 +203,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar=SIMILAR, k: int = S
                     .agg(smallest.alias("s"), F.count("*").alias("rows"))
                     .select("fp1", "fp2", "n_shingles", "rows", F.col("s.doc_id").alias("id"), F.col("s.sketch").alias("sketch")))
     lists = stage(inverted_lists(classes, k))
-    sets = stage(packed_sets(docs.join(
+    sets = stage(whole_sets(docs.join(
         lists.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
 
-    links, found = None, lists.withColumn("component", F.col("id"))
-    for candidates in (hub_pairs, hub_pairs, remaining_pairs):
-        more = stage(verified(stage(candidates(found, similar)), classes, sets, similar, k))
+    def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        labelled = rows.join(groups.withColumnRenamed("node", "id"), "id", "left")
+        return labelled.withColumn("component", F.coalesce("component", "id"))
+
+    found, links = lists.withColumn("component", F.col("id")), None
+    for _ in range(2):
+        more = stage(verified(stage(hub_pairs(found, similar)), classes, sets, similar, k))
         links = more if links is None else links.union(more)
         groups = stage(components(links))
-        found = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
-            "component", F.coalesce("component", "id"))
+        found = grouped(lists, groups)
+    still = stage(open_members(found))
+    exact = stage(exact_lists(sets.join(still, "id", "left_semi"), similar))
+    rest = stage(remaining_pairs(grouped(exact, groups), similar))
+    groups = stage(components(links.union(stage(verified(rest, classes, sets, similar, k)))))
 
     heads = (classes.select("fp1", "fp2", "n_shingles", "rows", "id")
              .join(groups.withColumnRenamed("node", "id"), "id", "left")

@@ -128,8 +128,3 @@ def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-
-
-def packed(parts: list[np.ndarray]) -> pa.Array:
-    """Hashes as binary values, for tables that only tasks read."""
-    return pa.array([p.tobytes() for p in parts], pa.binary())
