@@ -88,7 +88,7 @@ SELECT model, n, {near_sql('mean')} AS mean_residual, {near_sql('med')} AS media
        + ", ".join(near_sql(f"(SELECT acf FROM acf a WHERE a.model = b.model AND lag = {k})") + f" AS acf_{k}" for k in (1, 7, 14)) + ", "
        + ", ".join(near_sql(f"(SELECT p FROM p WHERE p.model = b.model AND h = {k})") + f" AS ljung_box_p_{k}" for k in (7, 14)) + " FROM b")
 def diagnostics(spark, sf_dir):
-    return rounded(residual_diagnostics(predictions(spark, sf_dir)))
+    return rounded(residual_diagnostics(predictions(spark, sf_dir), ("model",)))
 
 
 # --- bootstrap --------------------------------------------------------------------------------

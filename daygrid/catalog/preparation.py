@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid.catalog.registry import (
-    BASE, COMMON_TEST, END, MODELS, PANEL, PREDICTIONS, RARE, READINGS, SERIES, SPARSE, TEST,
-    base, near_sql, panel, predictions, query, readings, rounded, series, sparse, stage, table)
+    BASE, COMMON_TEST, MODELS, PANEL, PREDICTIONS, RARE, READINGS, SERIES, SPARSE, TEST,
+    base, near_sql, panel, predictions, query, rare_readings, readings, rounded, series, sparse, stage, table)
 from daygrid.functions.columns import VOLUME_BANDS, band, band_order, clip_non_negative
 from daygrid.operators.calendar import complete_calendar, expected_row_count, reindex_calendar
 from daygrid.operators.forecast import union_model_results
@@ -288,11 +288,9 @@ def shared_dates(spark, sf_dir):
 @query("target_covers_predictions", f"""
 WITH {PREDICTIONS}
 SELECT DISTINCT target FROM preds
-WHERE target NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem
-                     WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08)""")
+WHERE target NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem GROUP BY 1 HAVING bool_or({RARE}))""")
 def uncovered(spark, sf_dir):
-    have = table(spark, sf_dir, "lineitem", "l_shipdate", where=RARE).select(
-        F.to_date("l_shipdate").alias("day")).distinct()
+    have = rare_readings(spark, sf_dir).where("temp IS NOT NULL").select("day")
     return target_covers_predictions(predictions(spark, sf_dir), have)
 
 
@@ -317,7 +315,7 @@ def bounds(spark, sf_dir):
 @query("no_leakage", f"""
 WITH {SERIES},
 task AS (SELECT h AS horizon, day AS origin, day + h AS target FROM series, (VALUES (1), (3), (7), (14)) v(h)
-         WHERE day + h <= DATE '{END}')
+         WHERE day + h <= (SELECT max(day) FROM series))
 SELECT CAST(horizon AS BIGINT) AS horizon, max(target) FILTER (target < DATE '2000-08-05') AS last_train_target,
        min(origin) FILTER (target BETWEEN DATE '2000-08-05' AND DATE '{TEST[1]}') AS first_test_origin
 FROM task GROUP BY horizon
@@ -456,10 +454,7 @@ def daily_left(spark, sf_dir):
 @query("daily_inner_join", f"""
 WITH {SPARSE} SELECT day, y, {near_sql('temp')} AS temp, {near_sql('rain')} AS rain FROM series JOIN rare USING (day)""")
 def daily_inner(spark, sf_dir):
-    rare = (table(spark, sf_dir, "lineitem", "l_shipdate", "l_discount", "l_quantity", where=RARE)
-            .groupBy(F.to_date("l_shipdate").alias("day"))
-            .agg(F.avg(F.col("l_discount") * 100).alias("temp"), F.sum("l_quantity").alias("rain")))
-    return rounded(inner_by_day(series(spark, sf_dir), rare, []))
+    return rounded(inner_by_day(series(spark, sf_dir), rare_readings(spark, sf_dir), []))
 
 
 @query("monthly_second_source_join", f"""

@@ -16,8 +16,7 @@ from daygrid.stage import stage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# The study period and the test year.
-START, END = "1995-01-01", "2001-08-01"
+# The test year; the study period is that of the orders.
 TEST = ("2000-08-01", "2001-07-31")
 COMMON_TEST = ("2000-08-14", "2001-07-31")
 MODELS = ("persistence", "mean_7d", "mean_30d")
@@ -65,30 +64,30 @@ def orders_as_events(spark, sf_dir, *keys) -> DataFrame:
 
 def series(spark, sf_dir) -> DataFrame:
     """Daily order count, gap-free (day, y)."""
-    return daily_target(orders_as_events(spark, sf_dir), [], START, END)
+    return daily_target(orders_as_events(spark, sf_dir), [])
 
 
 def panel(spark, sf_dir) -> DataFrame:
     """Daily order count per priority (key, day, y)."""
     events = orders_as_events(spark, sf_dir, "o_orderpriority").withColumnRenamed("o_orderpriority", "key")
-    return daily_target(events, ["key"], START, END)
+    return daily_target(events, ["key"])
 
 
-SERIES = f"""
+SERIES = """
 ev AS (SELECT o_orderkey AS id, min(o_orderdate) AS ts FROM orders GROUP BY 1),
 counts AS (SELECT CAST(ts AS DATE) AS day, count(*) AS c FROM ev GROUP BY 1),
 cal AS (SELECT CAST(d AS DATE) AS day
-        FROM (SELECT unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS d)),
+        FROM (SELECT unnest(generate_series((SELECT min(day) FROM counts), (SELECT max(day) FROM counts), INTERVAL 1 DAY)) AS d)),
 series AS (SELECT cal.day, coalesce(c, 0) AS y FROM cal LEFT JOIN counts USING (day))"""
 
-PANEL = f"""
+PANEL = """
 pev AS (SELECT id, ts, key FROM (
   SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS key,
          row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate, o_orderpriority) AS rn
   FROM orders) WHERE rn = 1),
 pcounts AS (SELECT key, CAST(ts AS DATE) AS day, count(*) AS c FROM pev GROUP BY 1, 2),
 pcal AS (SELECT key, CAST(d AS DATE) AS day FROM (SELECT DISTINCT key FROM pcounts),
-         (SELECT unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS d)),
+         (SELECT unnest(generate_series((SELECT min(day) FROM pcounts), (SELECT max(day) FROM pcounts), INTERVAL 1 DAY)) AS d)),
 panel AS (SELECT pcal.key, pcal.day, coalesce(c, 0) AS y FROM pcal LEFT JOIN pcounts USING (key, day))"""
 
 
@@ -112,12 +111,17 @@ def base(spark, sf_dir) -> DataFrame:
 RARE = "l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08"
 
 
+def rare_readings(spark, sf_dir) -> DataFrame:
+    """All line items by day; readings outside one narrow class count as missing, so many days have none."""
+    rows = table(spark, sf_dir, "lineitem", "l_shipdate", "l_discount", "l_quantity", "l_returnflag", "l_linestatus", "l_tax")
+    valid = lambda c: F.when(F.expr(RARE), c)
+    return rows.groupBy(floor_to_day("l_shipdate").alias("day")).agg(
+        F.avg(valid(F.col("l_discount") * 100)).alias("temp"), F.sum(valid(F.col("l_quantity"))).alias("rain"))
+
+
 def sparse(spark, sf_dir) -> DataFrame:
-    """The base with readings of one narrow class of line items only: many days have none."""
-    rare = (table(spark, sf_dir, "lineitem", "l_shipdate", "l_discount", "l_quantity", where=RARE)
-            .groupBy(floor_to_day("l_shipdate").alias("day"))
-            .agg(F.avg(F.col("l_discount") * 100).alias("temp"), F.sum("l_quantity").alias("rain")))
-    return stage(series(spark, sf_dir).join(rare, "day", "left"))
+    """The base with readings that are missing on many days."""
+    return stage(series(spark, sf_dir).join(rare_readings(spark, sf_dir), "day", "left"))
 
 
 READINGS = """
@@ -140,9 +144,10 @@ BASE = SERIES + "," + WEATHER + """,
 base AS (SELECT series.day, y, temp, rain, speed_mean, speed_max, gust, n_records, dir_sin, dir_cos
          FROM series LEFT JOIN wx USING (day))"""
 
-SPARSE = SERIES + """,
-rare AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_discount * 100) AS temp, sum(l_quantity) AS rain
-         FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.08 GROUP BY 1),
+SPARSE = SERIES + f""",
+rare AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(CASE WHEN {RARE} THEN l_discount * 100 END) AS temp,
+                sum(CASE WHEN {RARE} THEN l_quantity END) AS rain
+         FROM lineitem GROUP BY 1),
 sparse AS (SELECT series.day, y, temp, rain FROM series LEFT JOIN rare USING (day))"""
 
 
@@ -185,7 +190,7 @@ METRICS = f"""count(*) AS n, {near_sql('avg(abs(y_real - y_pred))')} AS mae,
        {near_sql('100 * avg(CASE WHEN y_real <> 0 THEN abs((y_real - y_pred) / y_real) END)')} AS mape"""
 
 
-__all__ = ["BASE", "COMMON_TEST", "END", "METRICS", "MODELS", "PANEL", "PREDICTIONS", "QUERIES", "READINGS",
-           "SERIES", "SPARSE", "SQL", "START", "SUITE", "SUITE_SCOPES", "TEST", "WEATHER", "base",
+__all__ = ["BASE", "COMMON_TEST", "METRICS", "MODELS", "PANEL", "PREDICTIONS", "QUERIES", "READINGS",
+           "RARE", "SERIES", "SPARSE", "SQL", "SUITE", "SUITE_SCOPES", "TEST", "WEATHER", "base",
            "near", "near_sql", "orders_as_events", "panel", "predictions",
-           "query", "readings", "rounded", "series", "sparse", "stage", "table"]
+           "query", "rare_readings", "readings", "rounded", "series", "sparse", "stage", "table"]

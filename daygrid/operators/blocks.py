@@ -56,10 +56,17 @@ def over_blocks(
     return out.where(F.col("_block") == block_of(F.col("_pos"), size)).drop("_pos", "_block")
 
 
+def join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], also: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Join on ``keys``, a null key being a key like any other, and on ``also``, which is never null."""
+    renamed = other.withColumnsRenamed({c: f"_of_{c}" for c in [*keys, *also]})
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys] + [F.col(c) == F.col(f"_of_{c}") for c in also]
+    return df.join(renamed, on, how).drop(*[f"_of_{c}" for c in [*keys, *also]])
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Add per-series statistics; a global statistic is one row and becomes a scalar subquery."""
     if keys:
-        return df.join(stats, list(keys), how)
+        return join_keys(df, stats, keys, how=how)
     packed = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("s")).scalar()
     out = df.withColumn("_s", packed)
     return out.withColumns({c: F.col("_s")[c] for c in stats.columns}).drop("_s")
@@ -76,7 +83,7 @@ def attach_spread(df: DataFrame, stats: DataFrame, keys: Sequence[str], by: str,
         return attach(df, stats, keys)
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     repeated = stats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.join(repeated, [*keys, "_part"]).drop("_part")
+    return join_keys(dealt, repeated, keys, ["_part"]).drop("_part")
 
 
 def with_headers(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from daygrid.functions.columns import bin_step
-from daygrid.operators.blocks import attach, previous_day
+from daygrid.operators.blocks import attach, join_keys, previous_day
 
 
 def spine(
@@ -53,12 +53,15 @@ def complete_calendar(
     df: DataFrame, keys: Sequence[str], time: str, fill: Mapping[str, float] | None = None,
     start=None, end=None, bounds: str = "global", freq: str = "day",
 ) -> DataFrame:
-    """Reindex to the full calendar; columns in ``fill`` get a value, the rest stay null."""
+    """Reindex to the full calendar; columns in ``fill`` get a value, the rest stay null.
+
+    A null key is a series like any other.
+    """
     if bounds == "per_key" and freq == "day" and start is None and end is None:
         out = _fill_between_rows(df, keys, time)
     else:
         days = spine(df, keys, time, start, end, bounds, freq)
-        out = days.join(df, [*keys, time], "left").select(*df.columns)
+        out = join_keys(days, df, keys, [time], "left").select(*df.columns)
     for name, value in (fill or {}).items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(df.schema[name].dataType)))
     return out

@@ -62,6 +62,8 @@ def density(df: DataFrame, value: str, points: int = 200, keys: Sequence[str] =
     The grid reaches three bandwidths past the data.  Every distinct value is
     expanded to the grid points (a fixed number), and the kernel sums combine
     on the map side; the shuffle carries ``points`` rows per series and task.
+    A series without spread has no bandwidth: its grid is its only value, and
+    the density is null.
     """
     stats = df.groupBy(*keys).agg(
         F.count(value).cast("double").alias("_n"), F.stddev_samp(value).alias("_sd"),
@@ -75,5 +77,9 @@ def density(df: DataFrame, value: str, points: int = 200, keys: Sequence[str] =
     x = start + F.col("point") * step
     z = (x - F.col(value)) / F.col("_bw")
     kernel = F.col("_cnt") * F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi))
-    return (grid.select(*keys, F.col("point").cast("bigint").alias("point"), x.alias("x"), kernel.alias("_k"))
-            .groupBy(*keys, "point").agg(F.min("x").alias("x"), F.sum("_k").alias("density")))
+    spread = (grid.select(*keys, F.col("point").cast("bigint").alias("point"), x.alias("x"), kernel.alias("_k"))
+              .groupBy(*keys, "point").agg(F.min("x").alias("x"), F.sum("_k").alias("density")))
+    flat = (stats.where((F.col("_n") > 0) & (F.coalesce("_sd", F.lit(0.0)) <= 0))
+            .select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("point"),
+                    F.col("_lo").cast("double").alias("x"), F.lit(None).cast("double").alias("density")))
+    return spread.unionByName(flat)

@@ -107,8 +107,12 @@ def error_trend(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return linear_fit(residual_table(preds), "y_real", "abs_error", by)
 
 
-def residual_diagnostics(preds: DataFrame, by: Sequence[str] = ("model",), lags: Sequence[int] = (1, 7, 14)) -> DataFrame:
-    """Mean, median and sample deviation of the residuals, their acf and Ljung-Box p-values."""
+def residual_diagnostics(preds: DataFrame, by: Sequence[str] = ("model", "horizon"), lags: Sequence[int] = (1, 7, 14)) -> DataFrame:
+    """Mean, median and sample deviation of the residuals, their acf and Ljung-Box p-values.
+
+    ``by`` must name every column that tells two residuals of one date apart
+    (model, horizon, keys): a series has one residual per date.
+    """
     by = list(by)
     residuals = preds.select(*by, "target", (F.col("y_real") - F.col("y_pred")).alias("residual"))
     base = residuals.groupBy(*by).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -95,14 +95,13 @@ def zscore(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame
     return _scaled(df, keys, cols, F.stddev_samp, True)
 
 
-def feature_groups(columns: Sequence[str], target: str, calendar: Sequence[str]) -> dict[str, list[str]]:
-    """History of the target, calendar codes and the rest; disjoint and exhaustive."""
-    history = [c for c in columns if c == target or c.startswith(f"{target}_lag_")]
-    dated = [c for c in columns if c in calendar]
-    if set(history) & set(dated):
-        raise ValueError("feature groups overlap")
-    weather = [c for c in columns if c not in history and c not in dated]
-    return {"history": history, "calendar": dated, "weather": weather}
+def feature_groups(columns: Sequence[str], rules: Mapping[str, Callable[[str], bool]]) -> dict[str, list[str]]:
+    """Columns by the group whose rule accepts them; each column must have exactly one."""
+    accepted = {c: [group for group, rule in rules.items() if rule(c)] for c in columns}
+    odd = {c: found for c, found in accepted.items() if len(found) != 1}
+    if odd:
+        raise ValueError(f"columns without exactly one group: {odd}")
+    return {group: [c for c in columns if accepted[c] == [group]] for group in rules}
 
 
 def time_series_folds(df, keys, time, n_splits: int = 5) -> DataFrame:

@@ -108,8 +108,10 @@ def direct_arx(task: DataFrame, keys: Sequence[str], features: Sequence[str], ho
 
     The normal equations are sums, so any number of rows and series is one
     aggregation; only the small systems (one per series) are solved in Python.
+    Rows with a missing covariate are left out of training and testing alike, and
+    a series without a training row gets null predictions.
     """
-    doubles = task.withColumns({f: F.col(f).cast("double") for f in features})
+    doubles = task.withColumns({f: F.col(f).cast("double") for f in features}).dropna(subset=list(features))
     scaled = standardize(doubles.withColumn("label", F.col("label").cast("double")), keys, features)
     design = [F.lit(1.0), *[F.col(f) for f in features]]
     cross = [F.sum(design[i] * design[j]) for i in range(len(design)) for j in range(i, len(design))]
@@ -117,7 +119,7 @@ def direct_arx(task: DataFrame, keys: Sequence[str], features: Sequence[str], ho
     sums = scaled.where("split = 'train'").groupBy(*keys).agg(
         F.array(*cross).alias("_a"), F.array(*moment).alias("_b"))
     weights = sums.select(*keys, _solve("_a", "_b").alias("_w"))
-    scored = attach(scaled.where("split = 'test'"), weights, keys, how="inner")
+    scored = attach(scaled.where("split = 'test'"), weights, keys, how="left")
     total = sum((d * F.col("_w")[i] for i, d in enumerate(design)), F.lit(0.0))
     return prediction_rows(scored.withColumn("_pred", total), keys, name, horizon, "label", "_pred")
 
@@ -161,7 +163,9 @@ def ablation(panel: DataFrame, keys: Sequence[str], time: str, value: str, featu
              calendar: Sequence[str], test: tuple, params: Mapping[str, float] | None = None,
              horizon: int = 1) -> tuple[DataFrame, DataFrame]:
     """Same parameters, fewer features; plus the persistence row.  Returns predictions and metrics."""
-    groups = feature_groups(features, value, calendar)
+    own = lambda c: c == value or c.startswith(f"{value}_lag_")
+    groups = feature_groups(features, {"history": own, "calendar": lambda c: c in calendar,
+                                       "weather": lambda c: not own(c) and c not in calendar})
     task = direct_task(panel, keys, time, value, horizon, *test)
     table = stage(assemble(task, features).select(*keys, "origin", "target", "label", "split", "features"))
     out, sizes = None, {}

@@ -225,36 +225,38 @@ def target_covers_predictions(preds: DataFrame, target: DataFrame, keys: Sequenc
 
 
 def no_leakage(train: DataFrame, test: DataFrame, keys: Sequence[str] = (), by: Sequence[str] = ("horizon",)) -> DataFrame:
-    """Groups whose latest training target lies after the first test origin."""
+    """Groups whose latest training target lies after the first test origin, and groups with one part only."""
     cols = [*keys, *by]
     last = train.groupBy(*cols).agg(F.max("target").alias("last_train_target"))
     first = test.groupBy(*cols).agg(F.min("origin").alias("first_test_origin"))
-    return last.join(first, cols).where(F.col("last_train_target") > F.col("first_test_origin"))
+    both = last.join(first, cols, "full")
+    leaks = F.col("last_train_target") > F.col("first_test_origin")
+    return both.where(F.coalesce(leaks, F.lit(True)))
+
+
+LEAST_TRAIN_DAYS, LEAST_TEST_DAYS = 180, 7  # fixed values
+
+
+def experiment_violations(models, horizons, train, test, known_models, known_horizons=(1, 3, 7, 14)) -> list[str]:
+    """Every argument rule an experiment breaks; rules that need no data."""
+    days = lambda period: (period[1] - period[0]).days + 1
+    longest, apart = max(horizons, default=0), (test[0] - train[1]).days
+    table = {
+        "no model": not models, "no horizon": not horizons,
+        "model not known": not set(models) <= set(known_models),
+        "horizon not known": not set(horizons) <= set(known_horizons),
+        f"fewer than {LEAST_TRAIN_DAYS} training days": days(train) < LEAST_TRAIN_DAYS,
+        f"fewer than {LEAST_TEST_DAYS} evaluation days": days(test) < LEAST_TEST_DAYS,
+        "evaluation begins before training ends": apart <= 0,
+        f"evaluation begins within {longest} days of training": 0 < apart < longest,
+    }
+    return [rule for rule, broken in table.items() if broken]
 
 
 def check_experiment(models, horizons, train, test, known_models, known_horizons=(1, 3, 7, 14)) -> None:
-    """Argument rules of an experiment that need no data."""
-    (a, b), (c, d) = train, test
-    unknown = sorted(set(models) - set(known_models))
-    odd = sorted(set(horizons) - set(known_horizons))
-    rules = [
-        (not models, "choose at least one model"),
-        (not horizons, "choose at least one horizon"),
-        (bool(unknown), f"unknown models: {unknown}"),
-        (bool(odd), f"unknown horizons: {odd}"),
-        (a >= b, "training must start before it ends"),
-        (c > d, "evaluation must start before it ends"),
-        (b >= c, "training and evaluation overlap"),
-    ]
-    for broken, message in rules:
-        if broken:
-            raise QualityError(message)
-    if (c - b).days < max(horizons):
-        raise QualityError(f"evaluation starts less than {max(horizons)} days after training")
-    if (b - a).days + 1 < 180:
-        raise QualityError("use at least 180 training days")
-    if (d - c).days + 1 < 7:
-        raise QualityError("use at least 7 evaluation days")
+    """Raise with all violations of the argument rules."""
+    if found := experiment_violations(models, horizons, train, test, known_models, known_horizons):
+        raise QualityError("; ".join(found))
 
 
 def experiment_bounds(df: DataFrame, keys: Sequence[str], time: str, value: str, train, test) -> DataFrame:

@@ -254,8 +254,12 @@ def calendar_features(df: DataFrame, time: str) -> DataFrame:
 
 
 def lead_target(df, keys, time, value, horizon: int, size: int = BLOCK) -> DataFrame:
-    """``label = y[t+h]`` and its date; the last h rows of a series have none and are dropped."""
-    return (over_blocks(df, keys, day_position(time), lambda w: {"label": F.lead(value, horizon).over(w)},
+    """``label = y[t+h]`` and its date ``t+h``; rows whose target day is missing have none and are dropped.
+
+    The label is looked up by date, not by row, so a gap cannot move it.
+    """
+    return (over_blocks(df, keys, day_position(time),
+                        lambda w: {"label": F.first(value).over(w.rangeBetween(horizon, horizon))},
                         ahead=horizon, size=size)
             .where(F.col("label").isNotNull())
             .withColumn("target", F.date_add(time, horizon)))
@@ -266,14 +270,14 @@ def sequence_windows(df, keys, time, features: Sequence[str], value, length: int
     """Windows of ``length`` rows ending at the origin, with the value ``horizon`` days on.
 
     ``horizon=1`` is also the variant "rows up to t-1 predict t".  Windows with
-    a missing feature or target are not emitted.
+    a missing feature, day or target are not emitted.
     """
     row = F.array(*[F.col(f).cast("double") for f in features])
     whole = F.when(F.forall(row, lambda v: v.isNotNull()), row)
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(-(length - 1), 0)
-        return {"window": F.collect_list(whole).over(frame), "label": F.lead(value, horizon).over(w)}
+        frame = w.rangeBetween(-(length - 1), 0)  # days, so a gap makes the window short
+        return {"window": F.collect_list(whole).over(frame), "label": F.first(value).over(w.rangeBetween(horizon, horizon))}
 
     return (over_blocks(df.select(*keys, time, *dict.fromkeys([*features, value])), keys, day_position(time),
                         build, back=length - 1, ahead=horizon, size=size)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from daygrid.operators.quality import QualityError
 from daygrid.operators.rollup import target_profile
 
-# The largest file Spark's binary reader can hold in one row.
-LARGEST_HASHED = 2**31 - 1
+# Bytes of a file that a worker holds at a time.
+BLOCK_BYTES = 4 << 20
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -42,18 +43,41 @@ def select_station_files(spark: SparkSession, folder: str, glob: str, year_patte
     return [r.path for r in rows]
 
 
-def fingerprint_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> DataFrame:
-    """SHA-256 per file, computed where the file is read.
+def _digests(block: int):
+    """The worker function: reads each listed file in blocks, so memory does not grow with a file."""
 
-    A file too large for one row gets its size and a null digest instead of
-    failing the job.
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import re
+        from urllib.parse import quote
+
+        from pyarrow.fs import FileSystem
+
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                local = re.sub("^file:/+", "/", path)
+                system, place = FileSystem.from_uri(local if local.startswith("/") else quote(path, safe=":/"))
+                total = hashlib.sha256()
+                with system.open_input_stream(place) as stream:
+                    while data := stream.read(block):
+                        total.update(data)
+                found.append(total.hexdigest())
+            yield frame.assign(sha256=found)[["file", "length", "sha256"]]
+
+    return digest
+
+
+def fingerprint_files(spark: SparkSession, folder: str, glob: str = "*", block: int = BLOCK_BYTES) -> DataFrame:
+    """(file, length, sha256) of every file under a folder, whatever its size; ``file`` is the path below the folder.
+
+    Only paths are shuffled, one small row per file; a worker streams the bytes.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    files = reader.load(paths if isinstance(paths, str) else list(paths))
-    name = F.element_at(F.split("path", "/"), -1).alias("file")
-    hashed = files.where(F.col("length") <= LARGEST_HASHED).select(name, "length", F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > LARGEST_HASHED).select(name, "length", F.lit(None).cast("string").alias("sha256"))
-    return hashed.unionByName(large)
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    below = F.substring_index("path", root + "/", -1)
+    files = list_files(spark, folder, glob).select(below.alias("file"), "length", "path")
+    dealt = files.repartition(F.xxhash64("path"))
+    return dealt.mapInPandas(_digests(block), "file string, length long, sha256 string")
 
 
 def source_manifest(daily: DataFrame, value: str, time: str, raw_rows: DataFrame, files: DataFrame,

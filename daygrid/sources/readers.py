@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,15 @@ def scan_parquet(spark: SparkSession, path: str | Sequence[str], cols: Sequence[
 
 
 
+def _by_header(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Text columns of CSV files that each have a header; files are matched by name, whatever the order of their columns."""
+    tables = [spark.read.option("header", True).csv(path) for path in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=False), tables)
+
+
 def scan_events_csv(spark: SparkSession, paths: Sequence[str], event_id: str, start: str) -> DataFrame:
     """Two text columns of a wide CSV, then a parsed start; bad starts become null for ``invalid_keys``."""
-    raw = spark.read.option("header", True).option("columnPruning", True).csv(list(paths))
+    raw = _by_header(spark, paths)
     require_columns(raw, [event_id, start])
     return raw.select(F.col(event_id).alias("event_id"),
                       F.expr(f"try_cast(`{start}` AS timestamp_ntz)").alias("start"))
@@ -37,15 +44,15 @@ def scan_events_csv(spark: SparkSession, paths: Sequence[str], event_id: str, st
 def unique_events(events: DataFrame, start, end) -> DataFrame:
     """Valid events, one per id, inside the period; null ids or starts are refused."""
     require_non_empty(events, "the event source holds no records")
-    first = dedup_events(events, ["event_id"], "start")
-    require(invalid_keys(first, ["event_id", "start"]), "null event ids or unreadable starts")
-    return filter_period(first, "start", start, end)
+    # Before copies collapse: a good copy must not hide an unreadable one.
+    require(invalid_keys(events, ["event_id", "start"]), "null event ids or unreadable starts")
+    return filter_period(dedup_events(events, ["event_id"], "start"), "start", start, end)
 
 
 def scan_hourly_csv(spark: SparkSession, paths: Sequence[str], names: dict[str, str], day: str, hour: str,
                     sentinel: float | None = None) -> DataFrame:
     """Several yearly files in one read; ``names`` maps file columns to measures, unreadable numbers are null."""
-    raw = spark.read.option("header", True).csv(list(paths))
+    raw = _by_header(spark, paths)
     require_columns(raw, [day, hour, *names])
     numbers = [F.expr(f"try_cast(`{src}` AS double)").alias(dst) for src, dst in names.items()]
     out = scan_clean(raw.select(F.expr(f"try_cast(`{day}` AS date)").alias("day"), F.col(hour).alias("hour"), *numbers))
@@ -60,9 +67,17 @@ BALANCE_SCHEMA = T.StructType([
 
 
 def scan_drop_malformed(spark: SparkSession, paths: Sequence[str], schema: T.StructType = BALANCE_SCHEMA) -> DataFrame:
-    """Lines that do not fit the schema are skipped; ids stay text, so leading zeros survive."""
-    return scan_clean(spark.read.option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", True)
-                      .schema(schema).csv(list(paths)))
+    """Lines that do not fit the schema are skipped; ids stay text, so leading zeros survive.
+
+    Every column is parsed whatever a query selects, so the skipped lines do not
+    depend on it.  Columns are taken by position, under the schema's names.
+    """
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    lines = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
+             .option("columnNameOfCorruptRecord", "_corrupt").schema(marked).csv(list(paths)))
+    # The second condition always holds; it makes the parser read every column.
+    every = F.concat_ws("", *[F.col(f.name).cast("string") for f in schema.fields])
+    return scan_clean(lines.where(F.col("_corrupt").isNull() & (F.length(every) >= 0)).drop("_corrupt"))
 
 
 def check_daily_base(df: DataFrame, keys: Sequence[str], time: str, required: Sequence[str]) -> DataFrame:

@@ -22,7 +22,11 @@ def write_outputs(products: Mapping[str, DataFrame], folder: str, partition_by:
 
 
 def append_run(predictions: DataFrame, metrics: DataFrame, config: Mapping, folder: str, run_id: str | None = None) -> str:
-    """Store a run under its own id; an existing run is never overwritten."""
+    """Store a run under its own id; an existing run is never overwritten.
+
+    The configuration is written last: a run counts only when all three tables
+    are there, so a broken-off run is never read.
+    """
     run = run_id or f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}_{uuid.uuid4().hex[:8]}"
     spark = predictions.sparkSession
     settings = spark.range(1).select(F.lit(json.dumps(dict(config), default=str, ensure_ascii=False)).alias("config"))
@@ -32,5 +36,9 @@ def append_run(predictions: DataFrame, metrics: DataFrame, config: Mapping, fold
 
 
 def read_runs(spark, folder: str, name: str) -> DataFrame:
-    """All runs of a product; ``run_id`` is a partition column."""
-    return spark.read.parquet(f"{folder}/{name}")
+    """All complete runs of a product; ``run_id`` is a partition column."""
+    runs = spark.read.parquet(f"{folder}/{name}")
+    if name == "config":
+        return runs
+    complete = spark.read.parquet(f"{folder}/config").select("run_id").distinct()
+    return runs.join(complete, "run_id", "left_semi").select(*runs.columns)

@@ -6,20 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from daygrid import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
-SQL = entry_module.oracle_sql()
-# One query per operator family; CATALOG_ALL=1 runs every one (tools/check_sql.py does so at sf0.01).
-FAMILIES = """acf actuals_with_predictions aligned_series band_mae best_by_group block_bootstrap_intervals box_stats
-calendar_complete circular_weekly conflicting_duplicates cross_correlation daily_measures daily_panel_weekly date_gaps
-decompose_additive dedup_events domain_clean ema experiment_bounds feature_table forecast_metrics histogram
-interpolate_linear kendall_matrix linear_fit_by_year metrics_by_split models_side_by_side monthly_second_source_join
-multi_scale pearson_by_scale prediction_coverage residual_diagnostics scan_events sequence_windows spearman_matrix
-split_by_target_date time_series_folds weekly_empty_bins zscore_train_only""".split()
-NAMES = sorted(SQL) if os.environ.get("CATALOG_ALL") else FAMILIES
+SQL = catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +23,9 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, db, name):
-    df = entry_module.queries()[name](spark, FOLDER)
+    df = catalog.QUERIES[name](spark, FOLDER)
     result = db.sql(SQL[name])
     assert sorted(df.columns) == sorted(result.columns)
     columns = sorted(df.columns)
@@ -47,4 +40,4 @@ def test_entry(spark):
 
 
 def test_every_sql_has_its_query():
-    assert set(SQL) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

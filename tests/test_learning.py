@@ -87,12 +87,16 @@ def test_folds_expand(spark):
 
 
 def test_feature_groups():
-    groups = feature_groups(feature_columns(), "y", CALENDAR)
+    rules = {"history": lambda c: c == "y" or c.startswith("y_lag_"), "calendar": lambda c: c in CALENDAR}
+    rules["weather"] = lambda c: not rules["history"](c) and not rules["calendar"](c)
+    groups = feature_groups(feature_columns(), rules)
     names = [n for g in groups.values() for n in g]
     assert sorted(names) == sorted(feature_columns()) and len(names) == len(set(names))
     assert groups["history"] == ["y", "y_lag_1", "y_lag_2", "y_lag_3", "y_lag_7"]
     with pytest.raises(ValueError):
-        feature_groups(["y"], "y", ["y"])
+        feature_groups(["y"], {"a": lambda c: True, "b": lambda c: True})
+    with pytest.raises(ValueError):
+        feature_groups(["y"], {"a": lambda c: False})
 
 
 # --- baselines and metrics --------------------------------------------------------------------------

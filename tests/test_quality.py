@@ -204,6 +204,11 @@ def test_fingerprints_and_manifest(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"hello")
     files = fingerprint_files(spark, str(tmp_path))
     assert rows(files) == [("f.bin", 5, hashlib.sha256(b"hello").hexdigest())]
+    for part in ("a b", "c"):  # one name in two folders, longer than a block
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "part-0").write_bytes(part.encode() * 5000)
+    assert rows(fingerprint_files(spark, str(tmp_path), "part-*", block=1000), "file") == [
+        (f"{p}/part-0", len(p) * 5000, hashlib.sha256(p.encode() * 5000).hexdigest()) for p in ("a b", "c")]
     daily = spark.createDataFrame([(D1, 2), (dt.date(2024, 1, 2), 0)], "day date, y bigint")
     doc = json.loads(source_manifest(daily, "y", "day", spark.range(3).agg(F.count("*")), files, "events per day").first()[0])
     assert doc["raw_rows"] == 3 and doc["profile"]["zero_days"] == 1 and doc["period"]["start"] == "2024-01-01"
