@@ -12,6 +12,8 @@ from daygrid.operators.ranks import quantiles, value_histogram
 
 # Box-plot whiskers reach at most 1.5 interquartile ranges.
 WHISKER = 1.5
+# Bandwidths beyond which a kernel is below 1e-15.
+REACH = 8.5
 
 
 def _with_whiskers(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -41,7 +43,10 @@ def fliers(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins between the smallest and largest value; the last is closed on the right."""
     limits = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    placed = attach_spread(value_histogram(df, keys, value), limits, keys, value)
+    if keys:
+        placed = attach_spread(value_histogram(df, keys, value), limits, keys, value)
+    else:  # the limits are one row, so every task counts its rows by bin and shuffles only the bins
+        placed = attach(df.select(value).where(F.col(value).isNotNull()).withColumn("cnt", F.lit(1)), limits, [])
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     raw = F.floor(F.try_divide(F.col(value) - F.col("_lo"), width))
     return (placed.withColumn("bin", F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("bigint"))
@@ -60,8 +65,9 @@ def density(df: DataFrame, value: str, points: int = 200, keys: Sequence[str] =
     """Gaussian kernel density on a grid, exact, with Scott's bandwidth ``std * n^(-1/5)``.
 
     The grid reaches three bandwidths past the data.  Every distinct value is
-    expanded to the grid points (a fixed number), and the kernel sums combine
-    on the map side; the shuffle carries ``points`` rows per series and task.
+    expanded to the grid points within ``REACH`` bandwidths, beyond which a
+    kernel adds less than 1e-15, and the kernel sums combine on the map side;
+    the shuffle carries ``points`` rows per series and task.
     A series without spread has no bandwidth: its grid is its only value, and
     the density is null.
     """
@@ -73,12 +79,22 @@ def density(df: DataFrame, value: str, points: int = 200, keys: Sequence[str] =
         "_bw", F.col("_sd") * F.pow("_n", F.lit(-0.2))).where(F.col("_bw") > 0)
     start, stop = F.col("_lo") - 3 * F.col("_bw"), F.col("_hi") + 3 * F.col("_bw")
     step = (stop - start) / F.lit(float(points - 1))
-    grid = placed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    near = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(points - 1.0)).cast("int")
+    low = near(F.ceil((F.col(value) - REACH * F.col("_bw") - start) / step).cast("double"))
+    high = near(F.floor((F.col(value) + REACH * F.col("_bw") - start) / step).cast("double"))
+    grid = placed.withColumn("point", F.explode(F.sequence(low, F.greatest(low, high))))
     x = start + F.col("point") * step
     z = (x - F.col(value)) / F.col("_bw")
     kernel = F.col("_cnt") * F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi))
-    spread = (grid.select(*keys, F.col("point").cast("bigint").alias("point"), x.alias("x"), kernel.alias("_k"))
-              .groupBy(*keys, "point").agg(F.min("x").alias("x"), F.sum("_k").alias("density")))
+    reached = grid.select(*keys, F.col("point").cast("bigint").alias("point"), x.alias("x"), kernel.alias("_k"))
+    # Points that no value reaches have density zero.
+    bw = F.col("_sd") * F.pow("_n", F.lit(-0.2))
+    first, last = F.col("_lo") - 3 * bw, F.col("_hi") + 3 * bw
+    all_points = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("point")
+    every = stats.where(F.col("_sd") > 0).select(*keys, first.alias("_first"), last.alias("_last"), all_points).select(
+        *keys, "point", (F.col("_first") + F.col("point") * ((F.col("_last") - F.col("_first")) / F.lit(float(points - 1)))).alias("x"),
+        F.lit(0.0).alias("_k"))
+    spread = (reached.unionByName(every).groupBy(*keys, "point").agg(F.min("x").alias("x"), F.sum("_k").alias("density")))
     flat = (stats.where((F.col("_n") > 0) & (F.coalesce("_sd", F.lit(0.0)) <= 0))
             .select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("point"),
                     F.col("_lo").cast("double").alias("x"), F.lit(None).cast("double").alias("density")))

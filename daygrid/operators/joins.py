@@ -72,6 +72,5 @@ def missing_offsets(df: DataFrame, keys: Sequence[str], time: str, horizon: int,
 def actuals_with_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[str] = (),
                              by: Sequence[str] = ("horizon",)) -> DataFrame:
     """Truth (one per date) beside one column per model; a model's gaps stay null."""
-    wide = preds.groupBy(*keys, *by, "target").pivot("model", list(models)).agg(F.max("y_pred"))
-    truth = preds.groupBy(*keys, *by, "target").agg(F.min("y_real").alias("y_real"))
-    return truth.join(wide, [*keys, *by, "target"])
+    of_model = [F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(m) for m in models]
+    return preds.groupBy(*keys, *by, "target").agg(F.min("y_real").alias("y_real"), *of_model)

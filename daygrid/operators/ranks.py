@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrid.functions.columns import all_of
+from daygrid.operators.blocks import attach_spread
 
 BUCKETS = 64
 
@@ -29,10 +30,12 @@ def value_histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str
 def running_counts(hist: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Add ``before`` (rows with a smaller value) and ``total`` (rows of the group)."""
     shares = [i / buckets for i in range(1, buckets)]
-    # The count takes part so that all three branches read the same exchange.
-    limits = hist.agg(F.percentile_approx(F.when(F.col("cnt") > 0, F.col(value)), shares, F.lit(10_000)))
+    # The count takes part so that all branches read the same exchange.
+    limits = hist.groupBy(*keys).agg(
+        F.percentile_approx(F.when(F.col("cnt") > 0, F.col(value)), shares, F.lit(10_000)).alias("_limits"))
     below = F.filter(F.col("_limits"), lambda limit: limit < F.col(value))
-    cut = (hist.withColumn("_limits", limits.scalar())
+    # Limits of the group itself: groups of different scale are cut into as many buckets each.
+    cut = (attach_spread(hist, limits, keys, value)
            .withColumn("_bucket", F.coalesce(F.size(below), F.lit(0))).drop("_limits"))
     totals = cut.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_sum"))
     group = Window.partitionBy(*keys)

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrid.functions.columns import angle, bin_label, bin_step, unit_cos, unit_sin, unit_vector
+from daygrid.operators.blocks import join_keys
 
 
 class Measure(NamedTuple):
@@ -101,9 +102,9 @@ def resample(
     grouped = binned.groupBy(*keys, out).agg(*apply_rules(measures), *extra)
     if direction:
         grouped = _with_direction(grouped, *direction, None)
-    limits = binned.groupBy(*keys).agg(F.min(out).alias("_lo"), F.max(out).alias("_hi"))
+    limits = grouped.groupBy(*keys).agg(F.min(out).alias("_lo"), F.max(out).alias("_hi"))  # from the bins, not the days
     bins = limits.select(*keys, F.explode(F.sequence("_lo", "_hi", bin_step(freq))).alias(out))
-    filled = bins.join(grouped, [*keys, out], "left")
+    filled = join_keys(bins, grouped, keys, [out], "left")
     zero = {m.name: 0.0 for m in measures if m.how == "sum_or_zero"}
     return filled.fillna(zero) if zero else filled
 
