@@ -91,6 +91,25 @@ def diagnostics(spark, sf_dir):
     return rounded(residual_diagnostics(predictions(spark, sf_dir), ("model",)))
 
 
+@query("residual_diagnostics_by_horizon", f"""
+WITH {SUITE}, r AS (SELECT horizon, target, y_real - y_pred AS v, row_number() OVER (PARTITION BY horizon ORDER BY target) AS i
+                    FROM suite WHERE scope = 'common_352'),
+b AS (SELECT horizon, count(v) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS med, stddev_samp(v) AS sd, var_pop(v) * count(v) AS ss FROM r GROUP BY 1),
+acf AS (SELECT b.horizon, lag, any_value(n) AS n, sum((x.v - mean) * (z.v - mean)) / any_value(ss) AS acf
+        FROM b JOIN r x ON x.horizon = b.horizon, range(1, 15) k(lag), r z WHERE z.horizon = b.horizon AND z.i = x.i + lag GROUP BY b.horizon, lag),
+lb AS (SELECT horizon, h, any_value(n) * (any_value(n) + 2.0) * sum(acf * acf / (n - lag)) AS q
+       FROM acf, (VALUES (7), (14)) v(h) WHERE lag <= h GROUP BY horizon, h),
+p AS (SELECT horizon, h, {_GAMMA_TAIL} AS p FROM lb)
+SELECT 'persistence' AS model, CAST(horizon AS BIGINT) AS horizon, n, {near_sql('mean')} AS mean_residual, {near_sql('med')} AS median_residual,
+  {near_sql('sd')} AS std_residual, """
+       + ", ".join(near_sql(f"(SELECT acf FROM acf a WHERE a.horizon = b.horizon AND lag = {k})") + f" AS acf_{k}" for k in (1, 7, 14)) + ", "
+       + ", ".join(near_sql(f"(SELECT p FROM p WHERE p.horizon = b.horizon AND h = {k})") + f" AS ljung_box_p_{k}" for k in (7, 14)) + " FROM b")
+def diagnostics_by_horizon(spark, sf_dir):
+    """Four horizons over one window, each a series of its own."""
+    suite = persistence_suite(stage(series(spark, sf_dir)), [], "day", "y", SUITE_SCOPES)
+    return rounded(residual_diagnostics(suite.where("scope = 'common_352'")))
+
+
 # --- bootstrap --------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from daygrid.catalog.registry import (
@@ -18,12 +20,16 @@ from daygrid.operators.quality import (
     apply_domain_rules, common_dates, conflicting_duplicates, date_gaps, dedup_events,
     drop_conflicts, duplicate_keys, experiment_bounds, integer_target, invalid_keys, no_leakage, null_counts,
     numeric_target, prediction_coverage, read_sentinel, same_actuals_across_models, same_dates_across_models,
-    target_covers_predictions)
+    require, require_one_to_one, target_covers_predictions)
 from daygrid.operators.rollup import daily_count, target_profile
 from daygrid.operators.shape import (
     aligned_series, drop_incomplete, filter_equal, filter_period, filter_year, last_year_window, monthly_balance,
     rename_and_label, scatter_table, threshold_contingency)
+from daygrid.plans.base import clean_hourly, daily_base, daily_target, daily_weather
 from daygrid.sources.files import fingerprint_files, source_manifest
+from daygrid.sources.readers import scan_events_csv, scan_hourly_csv, unique_events
+from daygrid.sources.sinks import write_outputs
+from daygrid.stage import checkpoint_root
 
 LINE = ["l_orderkey", "l_linenumber"]
 VALUES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
@@ -417,6 +423,44 @@ def aligned(spark, sf_dir):
 # --- joins and calendars ---------------------------------------------------------------------
 
 
+@query("calendar_null_key", """
+WITH c AS (SELECT nullif(o_orderstatus, 'P') AS key, CAST(o_orderdate AS DATE) AS day, count(*) AS y FROM orders GROUP BY 1, 2),
+cal AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS d))
+SELECT k.key, cal.day, coalesce(y, 0) AS y FROM (SELECT DISTINCT key FROM c) k CROSS JOIN cal
+LEFT JOIN c ON c.key IS NOT DISTINCT FROM k.key AND c.day = cal.day""")
+def null_key(spark, sf_dir):
+    """Events without a key form a series of their own."""
+    orders = table(spark, sf_dir, "orders", "o_orderdate", "o_orderstatus")
+    events = orders.select(F.expr("nullif(o_orderstatus, 'P')").alias("key"), F.to_date("o_orderdate").alias("day"))
+    return complete_calendar(daily_count(events, ["key"], "day"), ["key"], "day", {"y": 0})
+
+
+@query("ingest_csv", f"""
+WITH {SERIES}, hours AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem),
+w AS (SELECT day, avg(l_discount * 100) AS temp, sum(l_quantity) AS rain, max(l_extendedprice) AS gust, count(*) AS n_records FROM hours GROUP BY 1)
+SELECT series.day, y, {near_sql('temp')} AS temp, {near_sql('rain')} AS rain, {near_sql('gust')} AS gust, n_records
+FROM series LEFT JOIN w USING (day)""")
+def ingest(spark, sf_dir):
+    """The raw tables written as CSV, some columns in another order, read back and built into the daily base."""
+    folder = f"{checkpoint_root(spark)}/ingest-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    items = table(spark, sf_dir, "lineitem", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    hourly = items.select(F.to_date("l_shipdate").alias("day"), F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")]).alias("hour"),
+                          (F.col("l_discount") * 100).alias("t"), F.col("l_quantity").alias("r"), F.col("l_extendedprice").alias("g"))
+    early = F.year("day") < 1998
+    write_outputs({"events_a": orders.where("o_orderkey % 2 = 0"), "events_b": orders.where("o_orderkey % 2 <> 0").select("o_orderdate", "o_orderkey"),
+                   "hours_a": hourly.where(early), "hours_b": hourly.where(~early).select("g", "r", "t", "hour", "day")}, folder, fmt="csv")
+    events = unique_events(scan_events_csv(spark, [f"{folder}/events_a", f"{folder}/events_b"], "o_orderkey", "o_orderdate"), "1900-01-01", "2999-12-31")
+    read = scan_hourly_csv(spark, [f"{folder}/hours_a", f"{folder}/hours_b"], {"t": "temp", "r": "rain", "g": "gust"}, "day", "hour")
+    clean = clean_hourly(read.withColumns({"wind_dir": F.lit(None).cast("double"), "wind_speed": F.lit(1.0)}), [])
+    weather = stage(daily_weather(clean, []))
+    target = stage(daily_target(events, []))
+    require_one_to_one(target, weather, ["day"])
+    built = stage(daily_base(target, weather, []))
+    require(expected_row_count(built, [], "day"), "the daily base has gaps")
+    return rounded(built.select("day", "y", "temp", "rain", "gust", "n_records"))
+
+
 @query("calendar_complete", """
 WITH counts AS (SELECT o_orderpriority AS key, CAST(o_orderdate AS DATE) AS day, count(*) AS c FROM orders GROUP BY ALL),
 cal AS (SELECT key, CAST(d AS DATE) AS day FROM (SELECT DISTINCT key FROM counts),

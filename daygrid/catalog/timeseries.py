@@ -159,6 +159,14 @@ def calendar(spark, sf_dir):
     return rounded(calendar_features(series(spark, sf_dir), "day"))
 
 
+@query("lead_target_with_gaps", f"""
+WITH {PANEL}, g AS (SELECT * FROM panel WHERE dayofweek(day) <> 0)
+SELECT g.key, g.day, g.y, t.y AS label, t.day AS target FROM g JOIN g t ON t.key = g.key AND t.day = g.day + 3""")
+def lead_over_gaps(spark, sf_dir):
+    """Days without a Sunday: a label that would fall on one is missing, never that of another day."""
+    return lead_target(panel(spark, sf_dir).where(F.dayofweek("day") != 1), ["key"], "day", "y", 3)
+
+
 @query("lead_target", f"""
 WITH {PANEL}, l AS (SELECT key, day, y, lead(y, 14) OVER (PARTITION BY key ORDER BY day) AS label FROM panel)
 SELECT key, day, y, label, day + 14 AS target FROM l WHERE label IS NOT NULL""")
