@@ -27,6 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from daygrid.llm.catalog import query, table
+from daygrid.llm.cells import cell, listed_cells
 from daygrid.stage import checkpoint_root, stage
 
 MAGIC = "WARC/1.1\r\n"
@@ -40,12 +41,16 @@ def with_originals(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"),
                         F.sha1(payload.cast("binary")).alias("payload_digest"))
-    # Only payloads that occur twice have anything to look up; the join of a hot one is dealt to sub-groups.
-    shared = (rows.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("payload_digest", "payload_bytes")
-              .agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    shared = stage(rows.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("payload_digest", "payload_bytes")
+                   .agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # Only payloads that occur twice have anything to look up: the others skip the shuffle, hot ones are dealt to sub-groups.
+    marked = rows.join(listed_cells(shared, "payload_digest"), cell("payload_digest") == F.col("cell"), "left")
     part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
     spread = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    found = rows.withColumn("part", part).join(spread, ["payload_digest", "payload_bytes", "part"], "left").drop("part")
+    looked_up = marked.where("cell is not null").drop("cell").withColumn("part", part).join(
+        spread, ["payload_digest", "payload_bytes", "part"], "left")
+    alone = marked.where("cell is null").withColumn("original", F.lit(None).cast("long"))
+    found = looked_up.select(*rows.columns, "original").unionByName(alone.select(*rows.columns, "original"))
     return found.withColumn("refers_to", F.when(F.col("page_id") != F.col("original"), F.col("original"))).drop("original")
 
 
@@ -178,8 +183,9 @@ def _joined(spark: SparkSession, path: str, placed: DataFrame, torn: DataFrame)
     # A record meets the pieces of the blocks it touches; blocks carry their own limits.
     limits = placed.groupBy("file", "block").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     touched = spans.join(limits, "file").where("low < next and high >= record").select("file", "block", "record", "next")
-    inner = placed.select("file", "block", "row", "start").join(touched, ["file", "block"]).where("start >= record and start < next")
-    texts = pieces(spark, path).join(inner, ["file", "block", "row"])
+    inner = stage(placed.select("file", "block", "row", "start").join(touched, ["file", "block"]).where("start >= record and start < next"))
+    wanted = pieces(spark, path).join(listed_cells(inner, "file", "block", "row"), cell("file", "block", "row") == F.col("cell"), "left_semi")
+    texts = wanted.join(inner, ["file", "block", "row"])
     bodies = texts.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("start", "body"))).alias("parts"))
     body = F.array_join(F.transform("parts", lambda p: p["body"]), MAGIC)
     together = bodies.select("file", F.col("record").alias("start"), body.alias("body"))
