@@ -39,6 +39,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int = GRAM):
     ``place`` is the anchor's offset in the chunk; the windows that begin at
     ``first`` to ``last`` are those it is the anchor of, each window having one.
     """
+    gram = min(gram, max(1, span // 2))
     sums = running_hash(data)
     none = np.zeros(0, np.int64)
     if len(data) < span:

@@ -49,12 +49,12 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("most_indexed", [4096, 2])
-def test_same_as_brute_force(make, corpus, most_indexed):
-    out = remove_repeats(make(corpus), 200, most_indexed).collect()
+@pytest.mark.parametrize("span, most_indexed", [(200, 4096), (200, 2), (50, 4096), (9, 4096), (9, 2)])
+def test_same_as_brute_force(make, corpus, span, most_indexed):
+    out = remove_repeats(make(corpus), span, most_indexed).collect()
     got = sorted(((r["doc_id"], r["n_bytes"], sum(x["high"] - x["low"] for x in r["removed"]), len(r["removed"]), bytes(r["kept"]))
                   for r in out), key=str)
-    assert got == brute(corpus, 200)
+    assert got == brute(corpus, span)
 
 
 def test_edge_rows(edge_docs, no_docs):
