@@ -30,17 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from daygrid.llm.anchors import anchors, span_hash
 from daygrid.llm.catalog import query, table
+from daygrid.llm.cells import cell, listed_cells
 from daygrid.llm.shingles import running_hash, text_chunks
 from daygrid.stage import stage
 
 SPAN = 200
 MOST_INDEXED = 4096  # contexts of one group that a task may index
 BATCH_BYTES = 1 << 20  # contexts indexed together
-FILTER_CELLS = 1 << 20  # cells of the broadcast row filter
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -71,15 +71,6 @@ def occurrences(rows: DataFrame, span: int) -> DataFrame:
     return rows.mapInArrow(build, "id long, mark int, first int, last int, place int, h long, c long")
 
 
-def _cell() -> Column:
-    return F.pmod(F.xxhash64("id", "mark"), F.lit(FILTER_CELLS))
-
-
-def listed_cells(keys: DataFrame) -> DataFrame:
-    """The filter cells of the given rows: at most ``FILTER_CELLS`` numbers, so it may be broadcast."""
-    return F.broadcast(stage(keys.select(_cell().alias("cell")).distinct()))
-
-
 def contexts(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """(h, id, mark, first, shift, context): the bytes of the wanted occurrences; ``shift`` is the anchor's place in them."""
     per_row = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "last", "place", "h")).alias("spans"))
@@ -97,7 +88,7 @@ def contexts(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                                  ["h", "id", "mark", "first", "shift", "context"])
 
-    found = rows.join(listed_cells(wanted), _cell() == F.col("cell"), "left_semi").join(per_row, ["id", "mark"])
+    found = rows.join(listed_cells(wanted, "id", "mark"), cell("id", "mark") == F.col("cell"), "left_semi").join(per_row, ["id", "mark"])
     return found.select("id", "mark", "text", "spans").mapInArrow(
         cut, "h long, id long, mark int, first int, shift int, context binary")
 
@@ -306,7 +297,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, most_indexed: int = MOST_I
                     pa.array(kept, pa.binary())], ["id", "n_bytes", "removed", "kept"])
 
     kind = "id long, n_bytes long, removed array<struct<low:bigint,high:bigint>>, kept binary"
-    marked = rows.join(listed_cells(spans), _cell() == F.col("cell"), "left")
+    marked = rows.join(listed_cells(spans, "id", "mark"), cell("id", "mark") == F.col("cell"), "left")
     touched = marked.where("cell is not null").drop("cell").join(spans, ["id", "mark"], "left")
     clean = marked.where("cell is null").unionByName(
         touched.where("spans is null").drop("spans").withColumn("cell", F.lit(None).cast("long")))
