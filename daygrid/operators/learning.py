@@ -119,6 +119,11 @@ def time_series_folds(df, keys, time, n_splits: int = 5) -> DataFrame:
             .withColumn("fold", F.col("fold").cast("bigint")).drop("_i", "_n"))
 
 
+def common_folds(df: DataFrame, time: str, n_splits: int = 5) -> DataFrame:
+    """(time, fold, role) of every distinct date: folds for a model that is pooled over series."""
+    return time_series_folds(df.select(time).distinct(), [], time, n_splits)
+
+
 def direct_task(df, keys, time, value, horizon: int, test_start, test_end, train_start=None, train_end=None) -> DataFrame:
     """Features at t, label y[t+h], split by target date."""
     task = lead_target(df, keys, time, value, horizon).withColumnRenamed(time, "origin")

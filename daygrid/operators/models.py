@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from daygrid.operators.blocks import attach
 from daygrid.operators.evaluate import forecast_metrics
 from daygrid.operators.forecast import persistence, prediction_rows
-from daygrid.operators.learning import direct_task, feature_groups, standardize, time_series_folds
+from daygrid.operators.learning import common_folds, direct_task, feature_groups, standardize
 from daygrid.stage import stage
 
 # Parameters the search selected, and the searched grid.
@@ -58,22 +59,28 @@ def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
 
 
 def grid_search(task: DataFrame, keys: Sequence[str], features: Sequence[str], grid: Mapping[str, Sequence],
-                n_splits: int = 5) -> tuple[DataFrame, dict]:
+                n_splits: int = 5, together: int = 4) -> tuple[DataFrame, dict]:
     """Mean absolute error of every grid point over expanding folds, and the best point.
 
-    Every fit is a distributed job on the stored folds.  Only one number per
-    (point, fold) reaches the driver.
+    The model is pooled over series, so folds are cut on common target dates:
+    no series is trained on days that another is tested on.  Every fit is a
+    distributed job on its stored fold, ``together`` of them at a time.  Only one
+    number per (point, fold) reaches the driver.
     """
     rows = assemble(task.where("split = 'train'"), features).select(*keys, "target", "label", "features")
-    folds = stage(time_series_folds(rows, keys, "target", n_splits))
-    names, results = list(grid), []
-    for point in grid_points(grid):
-        for fold in range(n_splits):
-            part = folds.where(F.col("fold") == fold)
-            model = regressor(point).fit(part.where("role = 'train'").select("features", "label"))
-            error = F.abs(F.col("label") - F.col("prediction"))
-            mae = model.transform(part.where("role = 'test'")).agg(F.avg(error)).first()[0]
-            results.append((*[float(point[n]) for n in names], fold, mae))
+    folds = stage(rows.join(common_folds(rows, "target", n_splits), "target"), "fold")
+    names = list(grid)
+
+    def score(case: tuple[dict, int]) -> tuple:
+        point, fold = case
+        part = folds.where(F.col("fold") == fold)
+        model = regressor(point).fit(part.where("role = 'train'").select("features", "label"))
+        error = F.abs(F.col("label") - F.col("prediction"))
+        mae = model.transform(part.where("role = 'test'")).agg(F.avg(error)).first()[0]
+        return (*[float(point[n]) for n in names], fold, mae)
+
+    with ThreadPool(together) as pool:
+        results = pool.map(score, [(p, k) for p in grid_points(grid) for k in range(n_splits)], chunksize=1)
     schema = ", ".join([f"{n} double" for n in names] + ["fold int", "mae double"])
     table = task.sparkSession.createDataFrame(results, schema)
     means = table.groupBy(*names).agg(F.avg("mae").alias("mae"), F.stddev_pop("mae").alias("mae_std"))
@@ -81,6 +88,14 @@ def grid_search(task: DataFrame, keys: Sequence[str], features: Sequence[str], g
     return means, {n: best[n] for n in names}
 
 
+def search_and_refit(task: DataFrame, keys: Sequence[str], features: Sequence[str], horizon: int, grid: Mapping[str, Sequence],
+                     n_splits: int = 5, name: str = "boosted_trees") -> tuple[DataFrame, DataFrame, GBTRegressionModel]:
+    """Search the grid, fit the best point on all training rows, predict the test rows: (scores, predictions, model)."""
+    means, best = grid_search(task, keys, features, grid, n_splits)
+    preds, model = boosted_trees(task, keys, features, horizon, best, name)
+    return means, preds, model
+
+
 def feature_importance(model: GBTRegressionModel, features: Sequence[str], spark, top: int = 15) -> DataFrame:
     """Normalised gain per feature, strongest first."""
     weights = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray())]

@@ -29,9 +29,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back."""
+def stage(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` as parquet under the checkpoint folder and read it back; a filter on ``partition_by`` skips files."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/daygrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)

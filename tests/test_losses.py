@@ -9,8 +9,8 @@ from daygrid.operators.blocks import attach, attach_spread
 from daygrid.operators.calendar import complete_calendar
 from daygrid.operators.distribution import density
 from daygrid.operators.evaluate import residual_diagnostics
-from daygrid.operators.learning import direct_task
-from daygrid.operators.models import direct_arx
+from daygrid.operators.learning import common_folds, direct_task
+from daygrid.operators.models import direct_arx, search_and_refit
 from daygrid.operators.quality import QualityError, experiment_violations, no_leakage
 from daygrid.operators.windows import lead_target, sequence_windows
 from daygrid.sources.readers import scan_drop_malformed, scan_events_csv, scan_hourly_csv, unique_events
@@ -103,3 +103,18 @@ def test_linear_model_skips_incomplete_rows_as_a_whole(spark):
 def test_all_violations_are_named():
     found = experiment_violations([], [2], (day(10), day(20)), (day(15), day(16)), ("arx",))
     assert len(found) == 5 and "no model" in found
+
+
+def test_folds_of_a_pooled_model_share_their_dates(spark):
+    data = [(k, d, float(i)) for k, start in (("a", "2024-01-01"), ("b", "2024-03-01")) for i, d in enumerate(days(start, 60))]
+    df = spark.createDataFrame(data, "k string, day date, y double")
+    folds = df.join(common_folds(df, "day", 3), "day").groupBy("fold").agg(
+        F.max(F.when(F.col("role") == "train", F.col("day"))).alias("last"), F.min(F.when(F.col("role") == "test", F.col("day"))).alias("first"))
+    assert folds.count() == 3 and folds.where("last >= first").count() == 0
+
+
+def test_search_refits_on_all_training_rows(spark):
+    df = spark.createDataFrame([(d, float(i % 7), float(i % 7) * 2) for i, d in enumerate(days("2024-01-01", 90))], "day date, x double, y double")
+    task = direct_task(df, [], "day", "y", 1, "2024-03-20", "2024-03-30")
+    scores, preds, model = search_and_refit(task, [], ["x"], 1, {"n_estimators": [1, 4], "learning_rate": [0.5], "max_depth": [3]}, 2)
+    assert scores.count() == 2 and preds.count() == 11 and model.getNumTrees == 4
