@@ -136,8 +136,10 @@ def causal_columns(
 
 
 def ema(df, keys, time, cols, spans, size: int = BLOCK) -> DataFrame:
-    """``y0 = x0``, ``y = a*x + (1-a)*y'`` with ``a = 2/(span+1)``; inputs must not be null."""
-    return causal_columns(df, keys, time, ema=(cols, spans), size=size)
+    """``y0 = x0``, ``y = a*x + (1-a)*y'`` with ``a = 2/(span+1)``; a null input is an error."""
+    whole = {c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} has missing values; fill them first"))).otherwise(F.col(c))
+             for c in cols}
+    return causal_columns(df.withColumns(whole), keys, time, ema=(cols, spans), size=size)
 
 
 # --- filling ----------------------------------------------------------------------------

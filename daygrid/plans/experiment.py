@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from daygrid.operators.association import pearson_with
 from daygrid.operators.evaluate import forecast_metrics
 from daygrid.operators.models import HORIZONS, direct_forecast
-from daygrid.operators.quality import check_experiment, experiment_bounds, require
+from daygrid.operators.quality import (
+    check_experiment, experiment_bounds, prediction_coverage, require, same_actuals_across_models, same_dates_across_models)
 from daygrid.operators.rollup import multi_scale
 from daygrid.plans.base import ROLLUP
 from daygrid.stage import stage
@@ -22,10 +23,15 @@ def run_experiment(panel: DataFrame, keys: Sequence[str], time: str, value: str,
                    models: Sequence[str], horizons: Sequence[int], train: tuple[date, date], test: tuple[date, date],
                    params: Mapping[str, float] | None = None, arx_features: Sequence[str] | None = None,
                    ) -> tuple[DataFrame, DataFrame]:
-    """Validate, train every (model, horizon), and return predictions and metrics, both sorted."""
+    """Validate, train every (model, horizon), check the results, and return predictions and metrics, both sorted."""
     check_experiment(models, horizons, train, test, MODELS, HORIZONS)
     require(experiment_bounds(panel, keys, time, value, train, test), "series too short for the experiment")
     preds = stage(direct_forecast(panel, keys, time, value, features, test, train, models, horizons, params, arx_features))
+    by = [*keys, "horizon"]
+    require(same_dates_across_models(preds, models, by), "models do not predict the same dates")
+    require(same_actuals_across_models(preds, by), "models are scored against different truths")
+    off = prediction_coverage(preds, models, horizons, *test, train[1], keys)
+    require(off.where((F.col("wrong_delta") > 0) | (F.col("n") == 0) | ~F.col("expected")), "predictions missing or of a wrong date")
     metrics = forecast_metrics(preds, [*keys, "model", "horizon"])
     return preds.orderBy("horizon", "model", *keys, "target"), metrics.orderBy(*keys, "horizon", "mae")
 

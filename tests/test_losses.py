@@ -12,7 +12,7 @@ from daygrid.operators.evaluate import residual_diagnostics
 from daygrid.operators.learning import common_folds, direct_task
 from daygrid.operators.models import direct_arx, search_and_refit
 from daygrid.operators.quality import QualityError, experiment_violations, no_leakage
-from daygrid.operators.windows import lead_target, sequence_windows
+from daygrid.operators.windows import ema, lead_target, sequence_windows
 from daygrid.sources.readers import scan_drop_malformed, scan_events_csv, scan_hourly_csv, unique_events
 
 from conftest import days, rows
@@ -118,3 +118,9 @@ def test_search_refits_on_all_training_rows(spark):
     task = direct_task(df, [], "day", "y", 1, "2024-03-20", "2024-03-30")
     scores, preds, model = search_and_refit(task, [], ["x"], 1, {"n_estimators": [1, 4], "learning_rate": [0.5], "max_depth": [3]}, 2)
     assert scores.count() == 2 and preds.count() == 11 and model.getNumTrees == 4
+
+
+def test_averages_refuse_missing_values(spark):
+    df = spark.createDataFrame([(day(1), 1.0), (day(2), None), (day(3), 2.0)], "day date, y double")
+    with pytest.raises(Exception, match="missing values"):
+        ema(df, [], "day", ["y"], [3]).collect()
