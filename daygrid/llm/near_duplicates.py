@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from daygrid.llm.catalog import query, table
+from daygrid.llm.cells import only_listed
 from daygrid.llm.components import components
 from daygrid.llm.shingles import long_lists, mix, shingle_sets
 from daygrid.stage import stage
@@ -77,7 +78,7 @@ def inverted_lists(classes: DataFrame, k: int = SKETCH) -> DataFrame:
     """(v, size_class, id, n, shared): the classes under each of their rarest shared values."""
     retained = classes.where("id is not null and n_shingles > 1").select(
         "id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
-    often = retained.groupBy("v").agg(F.count("*").alias("often")).where("often > 1")
+    often = stage(retained.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"))  # so that a hot value can be split
     per_class = retained.join(often, "v").groupBy("id", "n").agg(
         F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"))  # at most k entries
     size = F.least("n", F.lit(k))
@@ -97,8 +98,8 @@ def hub_pairs(lists: DataFrame, similar=SIMILAR) -> DataFrame:
     rank = F.struct("shared", "n", (-F.col("id")).alias("minus_id"), F.col("component").alias("component"))
     hubs = lists.groupBy("v", "size_class").agg(F.max(rank).alias("hub"), F.min("component").alias("low"),
                                                 F.max("component").alias("high"))
-    hubs = hubs.where("low <> high").select(
-        "v", "size_class", (-F.col("hub.minus_id")).alias("b"), F.col("hub.n").alias("bn"), F.col("hub.component").alias("bc"))
+    hubs = stage(hubs.where("low <> high").select(
+        "v", "size_class", (-F.col("hub.minus_id")).alias("b"), F.col("hub.n").alias("bn"), F.col("hub.component").alias("bc")))
     return (lists.join(hubs, ["v", "size_class"])
             .where((F.col("component") != F.col("bc")) & _sizes_fit(F.col("n"), F.col("bn"), similar))
             .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
@@ -107,7 +108,7 @@ def hub_pairs(lists: DataFrame, similar=SIMILAR) -> DataFrame:
 def open_members(lists: DataFrame) -> DataFrame:
     """Ids in lists whose members are still in different components."""
     mixed = lists.groupBy("v", "size_class").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return lists.join(mixed.where("low <> high").select("v", "size_class"), ["v", "size_class"]).select("id").distinct()
+    return lists.join(stage(mixed.where("low <> high").select("v", "size_class")), ["v", "size_class"]).select("id").distinct()
 
 
 def exact_lists(sets: DataFrame, similar=SIMILAR) -> DataFrame:
@@ -117,7 +118,7 @@ def exact_lists(sets: DataFrame, similar=SIMILAR) -> DataFrame:
     of them is among the rarest ``x - o + 1`` of one and ``y - o + 1`` of the other.
     """
     values = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1")
+    often = stage(values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"))
     per_set = values.join(often, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"))
     alone = F.col("n") - F.size("vs")
     longest = F.col("n") - F.ceil(F.col("n") * similar[0] / similar[1]) + 1  # beside any other size
@@ -135,8 +136,8 @@ def remaining_pairs(lists: DataFrame, similar=SIMILAR) -> DataFrame:
     """
     sizes = lists.groupBy("v", "size_class", "component").agg(F.count("*").alias("members"))
     main = sizes.groupBy("v", "size_class").agg(F.max(F.struct("members", "component")).alias("main"), F.count("*").alias("groups"))
-    main = main.where("groups > 1").select("v", "size_class", F.col("main.component").alias("main"))
-    members = lists.join(main, ["v", "size_class"])
+    main = stage(main.where("groups > 1").select("v", "size_class", F.col("main.component").alias("main")))
+    members = stage(lists.join(main, ["v", "size_class"]))
     left = members.where("component <> main").drop("main")
     right = members.select("v", "size_class", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"),
                            F.col("place").alias("b_place"))
@@ -183,8 +184,9 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similar=SIM
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def with_both(left: DataFrame, facts: DataFrame, value: str) -> DataFrame:
-        facts = facts.select("id", value)
-        return (left.join(facts.toDF("a", "x"), "a").join(facts.toDF("b", "y"), "b").select("a", "b", "x", "y"))
+        first = only_listed(facts, "id", left, "a").select(F.col("id").alias("a"), F.col(value).alias("x"))
+        second = only_listed(facts, "id", left, "b").select(F.col("id").alias("b"), F.col(value).alias("y"))
+        return left.join(first, "a").join(second, "b").select("a", "b", "x", "y")
 
     through = with_both(pairs, sketches, "sketch").mapInArrow(likely, "a long, b long")
     return with_both(stage(through), sets, "hashes").mapInArrow(exact, "a long, b long")
@@ -203,8 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar=SIMILAR, k: int = S
                     .agg(smallest.alias("s"), F.count("*").alias("rows"))
                     .select("fp1", "fp2", "n_shingles", "rows", F.col("s.doc_id").alias("id"), F.col("s.sketch").alias("sketch")))
     lists = stage(inverted_lists(classes, k))
-    sets = stage(whole_sets(docs.join(
-        lists.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
+    listed = stage(lists.select(F.col("id").alias("doc_id")).distinct())
+    sets = stage(whole_sets(only_listed(docs.select("doc_id", "text"), "doc_id", listed, "doc_id").join(
+        listed, "doc_id", "left_semi"), width))
 
     def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
         labelled = rows.join(groups.withColumnRenamed("node", "id"), "id", "left")
