@@ -27,6 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from daygrid.llm.catalog import query, table
+from daygrid.stage import stage
 
 #: The pattern that cuts a text into words before merging: a fixed value of the tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -302,10 +303,21 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, n: int = WORDS) -> list[str]:
-    """The ``n`` most frequent words of all texts; ties by the word.  The list is bounded by ``n``."""
+    """The most frequent words of all texts: the highest frequency classes that hold at most ``n`` words together.
+
+    A class is a sixteenth of a power of two, so the classes are few; only they
+    and at most ``n`` words reach the driver, however many partitions there are.
+    """
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("times"))
-    return [r["word"] for r in counts.orderBy(F.desc("times"), "word").limit(n).collect()]
+    counts = stage(words.groupBy("word").agg(F.count("*").alias("times")).where("times > 1").select(
+        "word", F.floor(F.log2("times") * 16).alias("class")))
+    room, lowest = n, None
+    for r in counts.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        lowest = r["class"]
+    return [] if lowest is None else [r["word"] for r in counts.where(F.col("class") >= lowest).select("word").collect()]
 
 
 def send_lexicon(docs: DataFrame, tokenizer: str, words: int = WORDS) -> str:
