@@ -25,8 +25,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -251,7 +249,9 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, most_indexed: int = MOST_I
     """(id, mark, low, high): byte spans of ``rows`` (id, mark, text) whose union is what repeats."""
     seen = occurrences(rows, span)
     often = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 1")
-    found = stage(seen.join(often.select("h", (F.col("least") == F.col("most")).alias("alike")), "h"))
+    # Stored first: joined straight to its own sums, a hot anchor could not be split over tasks.
+    often = stage(often.select("h", (F.col("least") == F.col("most")).alias("alike")))
+    found = stage(seen.join(often, "h"))
     mixed = found.where("not alike")
     same = stage(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "first", "last", "place")).alias("one")))
     twice = same.where("n > 1")
