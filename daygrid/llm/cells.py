@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daygrid.stage import stage
-
 CELLS = 1 << 20
 
 
@@ -27,4 +25,4 @@ def only_listed(df: DataFrame, key: str, wanted: DataFrame, of: str) -> DataFram
 
 def listed_cells(keys: DataFrame, *cols: str) -> DataFrame:
     """One column ``cell``: the cells of the given rows, to be joined by broadcast."""
-    return F.broadcast(stage(keys.select(cell(*cols).alias("cell")).distinct()))
+    return F.broadcast(keys.select(cell(*cols).alias("cell")).distinct())
