@@ -6,7 +6,8 @@ sentence with a licence word is compared with every template: terms are runs of
 the templates, so that a result depends on the text alone.  The best template
 of a sentence counts from a cosine of ``LEAST_COSINE``; of a text's sentences the
 best one decides (ties: the first name).  Each different sentence is scored once,
-however many texts have it.
+however many texts have it.  Tags, wrapped notices, whole headers and whole licence
+texts count as well (``notices.py``); the best score of all decides.
 
 A file without a notice takes the licence of the nearest directory above it that
 has a licence file: files are joined to licence directories on each of their
@@ -25,6 +26,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrid.llm.catalog import query, table
+from daygrid.llm.notices import whole_notices
 from daygrid.stage import stage
 
 LEAST_COSINE = 0.8
@@ -91,7 +93,8 @@ def notices(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE)
     scored = dots.join(norms, "sentence").select(
         "sentence", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = _best(scored, "sentence")
-    return _best(said.join(best, "sentence").select("path", "license", "score"), "path")
+    lines = said.join(best, "sentence").select("path", "license", "score")
+    return _best(lines.unionByName(whole_notices(files, template_terms, templates, least)), "path")
 
 
 def _best(df: DataFrame, key: str) -> DataFrame:
@@ -166,6 +169,6 @@ def op10(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     few = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")) <= SHORT_FILE
     files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text",
-                        F.when(F.col("text").rlike(WORD), few).otherwise(False).alias("is_license_file"))
+                        few.alias("is_license_file"))
     found = license_scan(files)
     return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "license", "origin", "score")

@@ -1,4 +1,5 @@
 from daygrid.llm.licenses import license_scan
+from daygrid.llm.notices import full_texts
 
 
 def test_headers_files_and_nearest_directory(spark):
@@ -20,3 +21,24 @@ def test_headers_files_and_nearest_directory(spark):
     assert license_scan(files.limit(0)).count() == 0
     alone = license_scan(files.where("path = 'd/e.py'")).first()
     assert (alone["license"], alone["origin"]) == (None, "none")
+
+
+def test_whole_notices(spark):
+    mit = next(text for name, text in full_texts() if name == "MIT")
+    gnu = ("This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version.")
+    cases = {
+        "tag.py": ("# SPDX-License-Identifier: MIT\nx = 1", "MIT"),
+        "tag.c": ("/* SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0-or-later) AND MIT */", "Apache-2.0"),
+        "tag.md": ("The line SPDX-License-Identifier: ISC says it and more.", "ISC"),
+        "gpl.py": ("#!/bin/sh\n#\n" + "\n".join("# " + line for line in gnu) + "\n#\ncode", "GPL-3.0"),
+        "mpl.c": ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+                  " * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;", "MPL-2.0"),
+        "bsd.go": ("// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage a", "BSD-3-Clause"),
+        "opening": ("Copyright (c) 2020 A. Body\n\n" + mit.split("\n\n")[0], "MIT"),
+        "head.js": ("/*\n" + "".join(f" * {line}\n" for line in mit.split("\n")) + " */\n" + "let x = 1;\n" * 500, "MIT"),
+        "prose": ("A long story of gardens, with a licence to drive and a copy of the map. " * 50, None),
+    }
+    cases |= {f"{name}/LICENSE": ("Copyright (c) 2021 Some Body\n\n" + text, name) for name, text in full_texts()}
+    files = spark.createDataFrame([(p, t, False) for p, (t, _) in cases.items()], "path string, text string, is_license_file boolean")
+    assert {r["path"]: r["license"] for r in license_scan(files).where("origin in ('header', 'none')").collect()} == {p: n for p, (_, n) in cases.items()}
