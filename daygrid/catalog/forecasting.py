@@ -16,13 +16,11 @@ from daygrid.operators.learning import (
     direct_task, minmax_inverse, minmax_scale, split_by_cut_date, split_by_fraction, split_by_target_date,
     split_last_rows, standardize, time_series_folds, zscore)
 from daygrid.operators.models import (
-    ablation, boosted_trees, direct_arx, direct_forecast, feature_importance, grid_search)
-from daygrid.operators.windows import calendar_features, lead_target
-from daygrid.plans.experiment import run_experiment
-from daygrid.plans.features import CALENDAR, build_features, feature_columns
+    FULL_GRID, HORIZONS, ablation, boosted_trees, direct_arx, direct_forecast, feature_importance, grid_search)
+from daygrid.operators.windows import lead_target
+from daygrid.plans.experiment import MODELS, run_experiment
+from daygrid.plans.features import CALENDAR, LINEAR_FEATURES, build_features, feature_columns
 
-# A small search and few trees keep the check short; every table row still takes part.
-FEW_TREES = {"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3}
 CUT = "2000-01-01"
 
 _NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM panel)"
@@ -159,30 +157,31 @@ def _features(spark, sf_dir):
 
 @query("direct_forecast_gbt")
 def forecast_gbt(spark, sf_dir):
-    return direct_forecast(_features(spark, sf_dir), [], "day", "y", feature_columns(), TEST, horizons=(1, 7), params=FEW_TREES)
+    return direct_forecast(_features(spark, sf_dir), [], "day", "y", feature_columns(), TEST)
 
 
 @query("feature_importance")
 def importance(spark, sf_dir):
     task = direct_task(_features(spark, sf_dir), [], "day", "y", 1, *TEST)
-    _, model = boosted_trees(task, [], feature_columns(), 1, FEW_TREES)
+    _, model = boosted_trees(task, [], feature_columns(), 1)
     return feature_importance(model, feature_columns(), spark)
 
 
 @query("grid_search")
 def search(spark, sf_dir):
     task = direct_task(_features(spark, sf_dir), [], "day", "y", 1, *TEST)
-    means, _ = grid_search(task, [], feature_columns(), {"n_estimators": [2], "max_depth": [2, 3]}, n_splits=3)
+    means, _ = grid_search(task, [], feature_columns(), FULL_GRID)
     return means
 
 
 @query("direct_arx")
 def arx(spark, sf_dir):
-    """One linear model per priority on its own history and the calendar."""
-    days = stage(calendar_features(panel(spark, sf_dir), "day"))
+    """One linear model per priority on its own history, the weather and the calendar."""
+    shared = _features(spark, sf_dir).select("day", *[c for c in LINEAR_FEATURES if c != "y"])
+    days = stage(panel(spark, sf_dir).join(shared, "day"))
     out = None
-    for h in (1, 7):
-        part = direct_arx(direct_task(days, ["key"], "day", "y", h, *TEST), ["key"], ["y", "month_sin", "month_cos"], h)
+    for h in HORIZONS:
+        part = direct_arx(direct_task(days, ["key"], "day", "y", h, *TEST), ["key"], LINEAR_FEATURES, h)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -212,7 +211,7 @@ def arx_one(spark, sf_dir):
 
 @query("ablation")
 def ablated(spark, sf_dir):
-    _, metrics = ablation(_features(spark, sf_dir), [], "day", "y", feature_columns(), CALENDAR, TEST, FEW_TREES)
+    _, metrics = ablation(_features(spark, sf_dir), [], "day", "y", feature_columns(), CALENDAR, TEST)
     return metrics
 
 
@@ -227,3 +226,12 @@ def experiment(spark, sf_dir):
         stage(series(spark, sf_dir)), [], "day", "y", ["y"], ["arx", "persistence"], [1, 3, 7, 14],
         (date(1996, 1, 1), date(2000, 7, 1)), (date(2000, 8, 1), date(2001, 7, 31)))
     return rounded(metrics)
+
+
+@query("run_experiment_trees")
+def experiment_trees(spark, sf_dir):
+    """All three models on the feature table, at all horizons."""
+    _, metrics = run_experiment(
+        _features(spark, sf_dir), [], "day", "y", feature_columns(), MODELS, HORIZONS,
+        (date(1996, 1, 1), date(2000, 7, 1)), (date(2000, 8, 1), date(2001, 7, 31)), arx_features=LINEAR_FEATURES)
+    return metrics

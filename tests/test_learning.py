@@ -304,3 +304,39 @@ def test_direct_forecast_rejects_unknown_models(spark, panel):
     with pytest.raises(ValueError):
         direct_forecast(panel, ["key"], "day", "y", ["x"], TEST, models=["nope"], horizons=[1])
     assert split_by_cut_date(panel, "day", "2022-06-01").where("split = 'train'").count() == 2 * 151
+
+
+def test_registered_models_have_the_full_parameters(monkeypatch):
+    """No fit here: only what the queries ask for."""
+    from daygrid.catalog import forecasting
+    from daygrid.operators.models import FULL_GRID, HORIZONS, SELECTED, grid_points
+
+    asked = {}
+
+    def seen(name, result):
+        def fake(*args, **named):
+            asked.setdefault(name, []).append((args, named))
+            return result
+        return fake
+
+    table = type("Table", (), {"select": lambda self, *c: self, "join": lambda self, *a: self, "unionByName": lambda self, o: self})()
+    for name, result in (("_features", table), ("panel", table), ("stage", table), ("direct_task", table), ("direct_forecast", table),
+                         ("boosted_trees", (table, None)), ("feature_importance", table), ("grid_search", (table, {})),
+                         ("direct_arx", table), ("ablation", (table, table)), ("run_experiment", (table, table))):
+        monkeypatch.setattr(forecasting, name, seen(name, result))
+    for build in (forecasting.forecast_gbt, forecasting.importance, forecasting.search, forecasting.arx, forecasting.ablated,
+                  forecasting.experiment_trees):
+        build(None, "")
+    (args, named), = asked["direct_forecast"]
+    assert len(args) == 6 and not named  # all horizons, the selected parameters
+    (args, named), = asked["boosted_trees"]
+    assert len(args) == 4 and not named
+    (args, named), = asked["ablation"]
+    assert len(args) == 7 and not named
+    (args, named), = asked["grid_search"]
+    assert args[3] == FULL_GRID and not named and len(grid_points(args[3])) == 288  # five folds
+    assert [args[3] for args, _ in asked["direct_arx"]] == list(HORIZONS)
+    assert all(len(args[2]) == 6 for args, _ in asked["direct_arx"])
+    (args, named), = asked["run_experiment"]
+    assert "boosted_trees" in args[5] and tuple(args[6]) == HORIZONS and "params" not in named
+    assert SELECTED["n_estimators"] == 300
