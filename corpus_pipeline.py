@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from daygrid.llm import bpe, decontamination, near_duplicates, pii, quality_rules
 from daygrid.llm.catalog import table
@@ -31,12 +31,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates; of equal rows of one id, one stays.
+    """One document of every group of near-duplicates, that with the smallest id; of equal rows of one id, one stays.
 
-    A document without an id is in no group and stays.
+    Rows are told apart by a 64-bit hash of id and text, so that an id may have several
+    texts.  A document without an id is in no group and stays.
     """
-    dropped = stage(near_duplicates.near_duplicates(docs, width=5).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    docs = docs.select(*COLUMNS, key.alias("row_key"))
+    rows = stage(docs.where("row_key is not null").groupBy("row_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    found = near_duplicates.near_duplicates(docs.select(F.col("row_key").alias("doc_id"), "text"), width=5)
+    found = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("row_key")).agg(F.min("component_id").alias("component_id"))
+    members = stage(rows.join(found, "row_key"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "row_key")).alias("first")).select("first.row_key")
+    dropped = stage(members.join(first, "row_key", "left_anti").select("row_key"))
+    twice = stage(members.where("n > 1").select("row_key"))
+    rest = docs.join(dropped.union(twice), "row_key", "left_anti").select(*COLUMNS)
+    if twice.isEmpty():
+        return rest
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = (docs.join(twice, "row_key", "left_semi").join(dropped, "row_key", "left_anti")
+            .groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("o")).select("doc_id", "text", "o.*"))
+    return rest.unionByName(once).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,13 @@ def test_edge_rows(spark, edge_docs, tmp_path):
             step(spark, rows, FOLDER).count()
     rest = corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER)
     assert sorted(str(r["doc_id"]) for r in rest.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, None, None]))
+
+
+def test_repeated_ids(spark):
+    one, other = ("the quick brown fox jumps over the lazy dog again and again", "a plain story of gardens and of the people who live near them")
+    third = "nothing at all like the rest is written down on this page today"
+    rows = [(5, one), (5, one), (5, one), (3, other), (4, third), (4, other), (7, ""), (7, ""), (8, None), (8, None), (9, one), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rest = corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in rest.collect()))) == sorted(map(str, [
+        (5, one), (3, other), (4, third), (7, ""), (8, None), (None, one), (None, one)]))
