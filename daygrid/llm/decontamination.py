@@ -9,7 +9,8 @@ partitions whose items could fit into it.  No contained item escapes, however
 long the document is.  Candidates are verified by exact shingle containment.
 
 The sketches travel to the tasks only while the counted shingles of all items
-stay below ``MOST_SENT``; beyond it the lookup is a shuffled join on the hash.
+stay below ``MOST_SENT``; beyond it the lookup is a shuffled join on the
+values of the sketches, and only the pairs it finds are verified.
 
 Defined results: an item without words is in no document; one with fewer words
 than a shingle is found only as a whole document of the same words; null texts
@@ -122,19 +123,24 @@ def _sent(docs: DataFrame, known: DataFrame, width: int, share) -> DataFrame:
 
 
 def _joined(docs: DataFrame, known: DataFrame, width: int, share) -> DataFrame:
-    """Any number of items: document shingles meet item shingles in a join that adaptive execution may split."""
-    numbered = known.withColumn("text_key", F.xxhash64(F.array_sort("hashes")))
-    sketch = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
+    """Any number of items: document shingles meet sketch values in a join, and only the pairs found are verified."""
+    numbered = stage(known.withColumn("text_key", F.xxhash64(F.array_sort("hashes"))))
+    bodies = numbered.dropDuplicates(["text_key"]).select("text_key", "n", "hashes")
+    most = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     unsigned = F.transform("hashes", lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # the order of unsigned hashes
-    in_order = numbered.select("key", "n", "text_key", sketch.alias("sketch"), F.posexplode(F.array_sort(unsigned)).alias("at", "u"))
-    long_items = in_order.select(F.col("key").alias("item_id"), F.col("n").alias("n_item"), "text_key",
-                                 (F.col("at") < F.col("sketch")).alias("in_sketch"),
-                                 F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h"))
-    long_docs = _long_sets(docs, "doc_id", width).select(F.col("key").alias("doc_id"), F.explode("hashes").alias("h"))
-    return (long_docs.join(long_items, "h").groupBy("doc_id", "item_id", "text_key", "n_item")
-            .agg(F.countDistinct("h").alias("n_shared"), F.max("in_sketch").alias("candidate"))
-            .where(F.col("candidate") & (F.col("n_shared") * share[1] >= F.col("n_item") * share[0]))
-            .select("doc_id", "item_id", "n_item", "n_shared"))
+    sketches = bodies.select("text_key", F.col("n").alias("n_item"), F.explode(
+        F.slice(F.array_sort(unsigned), F.lit(1), most.cast("int"))).alias("u"))
+    sketches = sketches.select("text_key", "n_item", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h"))
+    sets = stage(_long_sets(docs, "doc_id", width))
+    long_docs = sets.select(F.col("key").alias("doc_id"), F.col("n").alias("n_doc"), F.explode("hashes").alias("h"))
+    fits = F.col("n_doc") * share[1] >= F.col("n_item") * share[0]
+    pairs = stage(long_docs.join(sketches, "h").where(fits).select("doc_id", "text_key").distinct())
+    whole = pairs.join(bodies.select("text_key", F.col("n").alias("n_item"), F.col("hashes").alias("item")), "text_key")
+    both = whole.join(sets.select("key", "hashes"), F.col("doc_id").eqNullSafe(F.col("key")))
+    found = (both.select("doc_id", "text_key", "n_item", F.size(F.array_intersect("hashes", "item")).cast("long").alias("n_shared"))
+             .where(F.col("n_shared") * share[1] >= F.col("n_item") * share[0]))
+    return found.join(numbered.select("text_key", F.col("key").alias("item_id")), "text_key").select(
+        "doc_id", "item_id", "n_item", "n_shared")
 
 
 OP4 = f"""

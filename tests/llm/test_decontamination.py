@@ -41,3 +41,13 @@ def test_same_as_brute_force(tables, most_sent):
 def test_empty_tables(tables, no_docs, spark):
     assert contained_items(no_docs, tables[3]).count() == 0
     assert contained_items(tables[2], spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("most_sent", [10**6, 0])
+def test_an_item_spread_over_rows_of_one_id_is_in_none(spark, most_sent):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words[:22])), (1, " ".join(words[18:])), (2, " ".join(["a", *words, "b"])), (None, " ".join(words))],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words)), (None, " ".join(words))], "item_id long, text string")
+    got = {tuple(r) for r in contained_items(docs, items, most_sent=most_sent).collect()}
+    assert got == {(d, i, 36, 36) for d in (2, None) for i in (7, 8, None)}
