@@ -8,12 +8,12 @@ import pytest
 from daygrid.llm import registered
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
