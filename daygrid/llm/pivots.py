@@ -43,6 +43,8 @@ SHARDS = 64  # sub-groups in which pairs of blocks are listed
 TOGETHER = 32  # queries whose bounds are computed together
 STEP = 128  # candidates evaluated before the first look at the next bound; doubled every time
 EXACT = float(1 << 53)  # doubles hold all whole numbers up to here
+PACKED = float(1 << 46)  # bounds below leave room for a candidate's number in 64 bits
+ROUNDED = 1e-6  # more than the error of distances in 24 bits, against the largest
 LONG = np.iinfo(np.int64)
 
 
@@ -96,35 +98,45 @@ def inner_products(vectors: np.ndarray, one: np.ndarray, largest: float) -> np.n
     return np.array([min(max(sum(int(a) * b for a, b in zip(row, ours)), LONG.min), LONG.max) for row in theirs], np.int64)
 
 
+def bound_order(bounds: np.ndarray, live: np.ndarray, largest: float) -> np.ndarray:
+    """The live candidates, largest bound first.  Sorted numbers that carry the candidate are quicker than an index sort."""
+    if largest < PACKED:
+        return np.sort((-bounds[live].astype(np.int64) << 16) | live) & 0xFFFF
+    return live[np.argsort(-bounds[live], kind="stable")]
+
+
 def eliminate(asked: Block, rows: Block, beat: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, candidates, scores): the ``k`` best of ``rows`` for each query, of those that reach ``beat``."""
-    widest, by_pivot = float(np.sqrt(rows.squares.max())), np.ascontiguousarray(rows.table.T)
+    widest, farthest = float(np.sqrt(rows.squares.max())), max(float(asked.table.max(initial=0)), float(rows.table.max(initial=0)))
+    kind = np.float32 if farthest < 1e30 else np.float64
+    by_pivot = np.ascontiguousarray(rows.table.T, kind)
     for at in range(0, len(asked.ids), TOGETHER):
-        apart = np.zeros((min(TOGETHER, len(asked.ids) - at), len(rows.ids)))
+        apart = np.zeros((min(TOGETHER, len(asked.ids) - at), len(rows.ids)), kind)
         one = np.empty_like(apart)
-        for ours, theirs in zip(asked.table[at:at + TOGETHER].T, by_pivot):
+        for ours, theirs in zip(asked.table[at:at + TOGETHER].T.astype(kind), by_pivot):
             np.subtract(ours[:, None], theirs[None, :], out=one)
             np.maximum(apart, np.abs(one, out=one), out=apart)
         both = asked.squares[at:at + TOGETHER, None] + rows.squares[None, :]
-        bounds = np.maximum((both - apart ** 2) / 2 + (1e-9 * both + 1e-6), LONG.min)  # rounding never lowers a bound below the score
+        # Scores are whole numbers, and rounding (of distances, to 24 bits) never lowers a bound below the score.
+        apart = np.maximum(apart.astype(np.float64) - ROUNDED * farthest, 0)
+        bounds = np.maximum(np.floor((both - apart ** 2) / 2 + 1e-9 * both), LONG.min)
         for i in range(len(bounds)):
             q, bound = at + i, bounds[i]
-            live = np.flatnonzero(bound >= beat[q])
-            live = live[np.argsort(-bound[live], kind="stable")]
             largest = float(np.sqrt(asked.squares[q])) * widest
+            live = bound_order(bound, np.flatnonzero(bound >= beat[q]), max(largest, float(both[i].max())))
             found, scores, least, done, step = live[:0], np.zeros(0, np.int64), beat[q], 0, STEP
             while done < len(live) and bound[live[done]] >= least:
                 now = live[done:done + step]
-                found = np.concatenate([found, now])
-                scores = np.concatenate([scores, inner_products(rows.vectors[now], asked.vectors[q], largest)])
+                new = inner_products(rows.vectors[now], asked.vectors[q], largest)
+                reach = new >= least
+                found, scores = np.concatenate([found, now[reach]]), np.concatenate([scores, new[reach]])
                 done, step = done + step, step * 2
-                best = np.lexsort((rows.ids[found], -scores.astype(np.float64) if largest < EXACT else ~scores))[:k]
-                found, scores = found[best], scores[best]
-                if len(scores) == k:
+                if len(scores) >= k:
+                    best = np.lexsort((rows.ids[found], ~scores))[:k]
+                    found, scores = found[best], scores[best]
                     least = max(least, float(scores[-1]))
-            reach = scores >= beat[q]
-            if reach.any():
-                yield q, found[reach], scores[reach]
+            if len(scores):
+                yield q, found, scores
 
 
 def prepared(rows: DataFrame, asked: Column) -> DataFrame:
