@@ -63,6 +63,20 @@ def join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], also: Sequen
     return df.join(renamed, on, how).drop(*[f"_of_{c}" for c in [*keys, *also]])
 
 
+KEY = "_key"
+
+
+def pack_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys as one struct ``_key``, which is never null: an ordinary join on it keeps null keys, and windows and
+    groupings by it share the join's exchange.  Without keys the table stays as it is."""
+    return df.withColumn(KEY, F.struct(*keys)).drop(*keys) if keys else df
+
+
+def unpack_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Undo :func:`pack_keys`."""
+    return df.select(*[F.col(KEY)[k].alias(k) for k in keys], *[c for c in df.columns if c != KEY]) if keys else df
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Add per-series statistics; a global statistic is one row and becomes a scalar subquery."""
     if keys:
@@ -202,5 +216,5 @@ def previous_day(df: DataFrame, keys: Sequence[str], time: str, name: str, size:
         name: F.coalesce(F.lag(time).over(w), fact("_from", w))}).drop("_block")
 
 
-__all__ = ["BLOCK", "attach", "attach_spread", "block_of", "day_position", "fact", "nearest_known",
-           "over_blocks", "previous_day", "with_headers", "with_position"]
+__all__ = ["BLOCK", "attach", "attach_spread", "block_of", "day_position", "fact", "join_keys", "nearest_known",
+           "over_blocks", "pack_keys", "previous_day", "unpack_keys", "with_headers", "with_position"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrid.functions.columns import VOLUME_BANDS, VOLUME_CUTS, band, band_order
 from daygrid.operators.association import acf, chi2_upper_column, linear_fit, ljung_box_statistic
+from daygrid.operators.blocks import join_keys
 from daygrid.operators.quality import require, target_covers_predictions
 from daygrid.operators.ranks import quantiles
 
@@ -66,8 +67,8 @@ def band_mae(preds: DataFrame, target: DataFrame, models: Sequence[str], keys: S
     if check:
         require(target_covers_predictions(preds, target, keys, time), "the target misses predicted dates")
     truth = target.select(*keys, F.col(time).alias("target"), F.col(value).cast("double").alias("_y"))
-    joined = (preds.where(F.col("model").isin(list(models))).select(*keys, "model", "target", "y_pred")
-              .join(truth, [*keys, "target"])
+    listed = preds.where(F.col("model").isin(list(models))).select(*keys, "model", "target", "y_pred")
+    joined = (join_keys(listed, truth, keys, ["target"])
               .withColumn("band", band("_y", cuts, labels)).withColumn("_order", band_order("_y", cuts)))
     first = F.col("model") == models[0]
     total = F.sum("_days").over(Window.partitionBy(*keys))  # three band rows per series
@@ -124,7 +125,7 @@ def residual_diagnostics(preds: DataFrame, by: Sequence[str] = ("model", "horizo
         *[F.max(F.when(F.col("lag") == k, F.col("acf"))).alias(f"acf_{k}") for k in lags],
         *[ljung_box_statistic(k).alias(f"_q{k}") for k in TEST_LAGS])
     tests = {f"ljung_box_p_{k}": chi2_upper_column(f"_q{k}", F.lit(k)) for k in TEST_LAGS}
-    return base.join(picked, by).withColumns(tests).drop(*[f"_q{k}" for k in TEST_LAGS])
+    return join_keys(base, picked, by).withColumns(tests).drop(*[f"_q{k}" for k in TEST_LAGS])
 
 
 def pivot_metric(table: DataFrame, rows: Sequence[str], column: str, values: Sequence, metric: str) -> DataFrame:

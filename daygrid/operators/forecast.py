@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from daygrid.functions.columns import clip_non_negative
-from daygrid.operators.blocks import day_position, over_blocks
+from daygrid.operators.blocks import day_position, join_keys, over_blocks
 from daygrid.operators.joins import at_offset
 from daygrid.operators.learning import split_by_fraction
 
@@ -42,7 +42,7 @@ def persistence_suite(df, keys, time, value, scopes: Sequence[tuple[str, int, st
                .where(F.col("target").between(F.col("_a"), F.col("_b")))
                .withColumn("origin", F.date_sub("target", F.col("horizon"))))
     origins = df.select(*keys, F.col(time).alias("origin"), F.col(value).cast("double").alias("y_pred"))
-    return targets.join(origins, [*keys, "origin"]).select(
+    return join_keys(targets, origins, keys, ["origin"]).select(
         *keys, "scope", F.lit("persistence").alias("model"), "horizon", "origin", "target", "y_real", "y_pred")
 
 

@@ -1,7 +1,8 @@
 """Joins between panels and prediction tables.
 
 Both sides are aggregated to one row per key and day before they meet, so a
-join never multiplies rows and no key is hotter than its number of days.
+join never multiplies rows and no key is hotter than its number of days.  A null
+key is a key like any other.
 """
 
 from __future__ import annotations
@@ -10,19 +11,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from daygrid.operators.blocks import join_keys
+
 
 def left_by_day(target: DataFrame, measures: DataFrame, keys: Sequence[str], time: str = "day") -> DataFrame:
     """Target rows with their measures, null where there are none."""
-    return target.join(measures, [*keys, time], "left")
+    return join_keys(target, measures, keys, [time], "left")
 
 
 def inner_by_day(target: DataFrame, measures: DataFrame, keys: Sequence[str], time: str = "day") -> DataFrame:
-    return target.join(measures, [*keys, time], "inner")
+    return join_keys(target, measures, keys, [time])
 
 
 def inner_by_month(left: DataFrame, right: DataFrame, keys: Sequence[str], month: str = "month") -> DataFrame:
     """Monthly tables; the optimizer broadcasts a side when its size allows."""
-    return left.join(right, [*keys, month], "inner")
+    return join_keys(left, right, keys, [month])
 
 
 def models_side_by_side(preds: DataFrame, models: Sequence[str], keys: Sequence[str] = (),
@@ -39,11 +42,11 @@ def models_side_by_side(preds: DataFrame, models: Sequence[str], keys: Sequence[
 
 
 def left_align(first: DataFrame, others: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
-    """Reindex the other tables to the first one's rows, then drop rows with a gap."""
+    """Reindex the other tables to the first one's rows, then drop rows with a gap in another column than ``on``."""
     out = first
     for other in others:
-        out = out.join(other, list(on), "left")
-    return out.dropna()
+        out = join_keys(out, other, on, how="left")
+    return out.dropna(subset=[c for c in out.columns if c not in on])
 
 
 def at_offset(df: DataFrame, keys: Sequence[str], time: str, value: str, horizon: int,
@@ -56,7 +59,7 @@ def at_offset(df: DataFrame, keys: Sequence[str], time: str, value: str, horizon
     if end is not None:
         targets = targets.where(F.col("target") <= F.lit(str(end)).cast("date"))
     origins = df.select(*keys, F.col(time).alias("origin"), F.col(value).alias("y_pred"))
-    return targets.join(origins, [*keys, "origin"])
+    return join_keys(targets, origins, keys, ["origin"])
 
 
 def missing_offsets(df: DataFrame, keys: Sequence[str], time: str, horizon: int, start, end) -> DataFrame:
@@ -66,7 +69,8 @@ def missing_offsets(df: DataFrame, keys: Sequence[str], time: str, horizon: int,
     base = have.select(*keys).distinct() if keys else have.sparkSession.range(1).select()
     targets = base.select(*keys, F.explode(window).alias(time))
     origins = targets.select(*keys, F.date_sub(time, horizon).alias(time))
-    return targets.union(origins).distinct().join(have, [*keys, time], "left_anti")
+    every = targets.union(origins).distinct()
+    return join_keys(every, have, keys, [time], "left_anti")
 
 
 def actuals_with_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[str] = (),

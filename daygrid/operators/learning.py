@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrid.operators.blocks import attach, with_position
-from daygrid.operators.windows import lead_target
+from daygrid.operators.windows import lead_target, lead_targets
 
 
 def split_by_fraction(df, keys, time, fraction: float = 0.8) -> DataFrame:
@@ -41,6 +41,30 @@ def split_by_target_date(df: DataFrame, test_start, test_end, train_start=None,
             .where(F.col("split").isNotNull()))
 
 
+def multi_horizon_task(df, keys, time, value, horizons: Sequence[int], test_start, test_end, train_start=None, train_end=None) -> DataFrame:
+    """One row per origin with ``label_<h>`` and ``split_<h>`` per horizon; the split is that of the target date.
+
+    A horizon without a label, or whose target lies in neither part, has a null split.
+    Origins without any split are dropped.
+    """
+    task = lead_targets(df, keys, time, value, horizons).withColumnRenamed(time, "origin")
+    lo, hi = _date(test_start), _date(test_end)
+    for h in horizons:
+        t, known = F.date_add("origin", h), F.col(f"label_{h}").isNotNull()
+        train = t <= _date(train_end) if train_end is not None else t < lo
+        if train_start is not None:
+            train = train & (t >= _date(train_start))
+        task = task.withColumn(f"split_{h}", F.when(known & t.between(lo, hi), "test").when(known & train, "train"))
+    return task.where(F.coalesce(*[F.col(f"split_{h}") for h in horizons]).isNotNull())
+
+
+def require_both_parts(task: DataFrame, split: str = "split") -> None:
+    """Raise if the training or the test part is empty."""
+    found = {r[0] for r in task.where(F.col(split).isNotNull()).select(split).distinct().collect()}
+    if missing := {"train", "test"} - found:
+        raise ValueError(f"no rows in {split}: {', '.join(sorted(missing))}")
+
+
 def split_by_cut_date(df: DataFrame, time: str, cut) -> DataFrame:
     return df.withColumn("split", F.when(F.col(time) < _date(cut), "train").otherwise("test"))
 

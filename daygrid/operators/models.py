@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from daygrid.operators.blocks import attach
 from daygrid.operators.evaluate import forecast_metrics
 from daygrid.operators.forecast import persistence, prediction_rows
-from daygrid.operators.learning import common_folds, direct_task, feature_groups, standardize
+from daygrid.operators.learning import common_folds, direct_task, feature_groups, multi_horizon_task, require_both_parts, standardize
 from daygrid.stage import stage
 
 # Parameters the search selected, and the searched grid.
@@ -25,6 +25,8 @@ SELECTED = {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 4, "subsamp
 FULL_GRID = {"n_estimators": (300, 500), "learning_rate": (0.03, 0.05, 0.1), "max_depth": (4, 6, 8),
              "subsample": (0.7, 0.8), "colsample_bytree": (0.7, 0.8), "min_child_weight": (1, 3),
              "gamma": (0.0, 0.1)}
+# Fits that run side by side: a boosting round is a row of short jobs, so several fill the executors one would leave idle.
+TOGETHER = 8
 # Horizons and windows of the direct protocol.
 HORIZONS = (1, 3, 7, 14)
 
@@ -40,47 +42,82 @@ def regressor(params: Mapping[str, float], features: str = "features", label: st
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    cast = df.withColumn("label", F.col("label").cast("double"))
+    cast = df.withColumns({c: F.col(c).cast("double") for c in df.columns if c == "label" or c.startswith("label_")})
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(cast)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written in as few partitions as its bytes justify: every boosting round runs a task per partition."""
+    return stage(df.hint("rebalance"))
+
+
+def side_by_side(work: Callable, cases: Sequence, together: int = TOGETHER) -> list:
+    """``work`` on every case, ``together`` at a time, results in order; each is a series of Spark jobs."""
+    with ThreadPool(max(1, min(together, len(cases)))) as pool:
+        return pool.map(work, cases, chunksize=1)
+
+
 def boosted_trees(task: DataFrame, keys: Sequence[str], features: Sequence[str], horizon: int,
                   params: Mapping[str, float] | None = None, name: str = "boosted_trees",
                   ) -> tuple[DataFrame, GBTRegressionModel]:
     """Fit on the ``train`` rows of a direct task, predict the ``test`` rows."""
-    table = stage(assemble(task, features).select(*keys, "origin", "target", "label", "split", "features"))
+    table = stored(assemble(task, features).select(*keys, "origin", "target", "label", "split", "features"))
+    require_both_parts(table)
     model = regressor(params or {}).fit(table.where("split = 'train'").select("features", "label"))
     scored = model.transform(table.where("split = 'test'"))
     return prediction_rows(scored, keys, name, horizon, "label", "prediction"), model
 
 
+def boosted_trees_by_horizon(task: DataFrame, keys: Sequence[str], features: Sequence[str], horizons: Sequence[int],
+                             params: Mapping[str, float] | None = None, name: str = "boosted_trees",
+                             together: int = TOGETHER) -> tuple[DataFrame, dict[int, GBTRegressionModel]]:
+    """An independent model per horizon of a multi-horizon task, fitted side by side on one assembled table."""
+    labels = [c for h in horizons for c in (f"label_{h}", f"split_{h}")]
+    table = stored(assemble(task, features).select(*keys, "origin", *labels, "features"))
+    for h in horizons:
+        require_both_parts(table, f"split_{h}")
+
+    def fit(h: int) -> GBTRegressionModel:
+        train = table.where(F.col(f"split_{h}") == "train").select("features", F.col(f"label_{h}").alias("label"))
+        return regressor(params or {}).fit(train)
+
+    models = dict(zip(horizons, side_by_side(fit, list(horizons), together)))
+    out = None
+    for h, model in models.items():
+        test = table.where(F.col(f"split_{h}") == "test").withColumn("target", F.date_add("origin", h))
+        part = prediction_rows(model.transform(test), keys, name, h, f"label_{h}", "prediction")
+        out = part if out is None else out.unionByName(part)
+    return out, models
+
+
 def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
 def grid_search(task: DataFrame, keys: Sequence[str], features: Sequence[str], grid: Mapping[str, Sequence],
-                n_splits: int = 5, together: int = 4) -> tuple[DataFrame, dict]:
+                n_splits: int = 5, together: int = TOGETHER) -> tuple[DataFrame, dict]:
     """Mean absolute error of every grid point over expanding folds, and the best point.
 
     The model is pooled over series, so folds are cut on common target dates:
-    no series is trained on days that another is tested on.  Every fit is a
-    distributed job on its stored fold, ``together`` of them at a time.  Only one
-    number per (point, fold) reaches the driver.
+    no series is trained on days that another is tested on.  Points that differ in
+    the number of trees alone are one fit: the first trees of a long model are the short
+    model, and one pass over the test rows gives the error after every tree.  The fits
+    run ``together`` at a time.  Only one number per (point, fold) reaches the driver.
     """
     rows = assemble(task.where("split = 'train'"), features).select(*keys, "target", "label", "features")
-    folds = stage(rows.join(common_folds(rows, "target", n_splits), "target"), "fold")
-    names = list(grid)
+    folds = stage(rows.join(common_folds(rows, "target", n_splits), "target").hint("rebalance", F.col("fold")), "fold")
+    names, counts = list(grid), sorted({int(n) for n in grid.get("n_estimators", (SELECTED["n_estimators"],))})
+    longest = [dict(p, n_estimators=counts[-1]) for p in grid_points({n: v for n, v in grid.items() if n != "n_estimators"})]
 
-    def score(case: tuple[dict, int]) -> tuple:
+    def score(case: tuple[dict, int]) -> list[tuple]:
         point, fold = case
         part = folds.where(F.col("fold") == fold)
         model = regressor(point).fit(part.where("role = 'train'").select("features", "label"))
-        error = F.abs(F.col("label") - F.col("prediction"))
-        mae = model.transform(part.where("role = 'test'")).agg(F.avg(error)).first()[0]
-        return (*[float(point[n]) for n in names], fold, mae)
+        errors = model.evaluateEachIteration(part.where("role = 'test'").select("features", "label"), "absolute")
+        return [(*[float((point | {"n_estimators": n})[c]) for c in names], fold, float(errors[n - 1])) for n in counts]
 
-    with ThreadPool(together) as pool:
-        results = pool.map(score, [(p, k) for p in grid_points(grid) for k in range(n_splits)], chunksize=1)
+    cases = [(p, k) for p in longest for k in range(n_splits)]
+    results = [row for rows in side_by_side(score, cases, together) for row in rows]
     schema = ", ".join([f"{n} double" for n in names] + ["fold int", "mae double"])
     table = task.sparkSession.createDataFrame(results, schema)
     means = table.groupBy(*names).agg(F.avg("mae").alias("mae"), F.stddev_pop("mae").alias("mae_std"))
@@ -147,20 +184,22 @@ def direct_forecast(panel: DataFrame, keys: Sequence[str], time: str, value: str
                     horizons: Iterable[int] = HORIZONS, params: Mapping[str, float] | None = None,
                     arx_features: Sequence[str] | None = None) -> DataFrame:
     """An independent model per horizon, all scored on the same target dates."""
-    out = None
-    start, end = train or (None, None)
-    for h in horizons:
-        task = direct_task(panel, keys, time, value, h, *test, start, end)
-        for model in models:
-            if model == "boosted_trees":
-                part, _ = boosted_trees(task, keys, features, h, params)
-            elif model == "arx":
-                part = direct_arx(task, keys, arx_features or features, h)
-            elif model == "persistence":
-                part = persistence(panel, keys, time, value, h, *test)
-            else:
-                raise ValueError(f"unknown model {model!r}")
-            out = part if out is None else out.unionByName(part)
+    horizons, (start, end) = list(horizons), train or (None, None)
+    parts = []
+    for model in models:
+        if model == "boosted_trees":
+            task = multi_horizon_task(panel, keys, time, value, horizons, *test, start, end)
+            parts.append(boosted_trees_by_horizon(task, keys, features, horizons, params)[0])
+        elif model == "arx":
+            parts += [direct_arx(direct_task(panel, keys, time, value, h, *test, start, end), keys, arx_features or features, h)
+                      for h in horizons]
+        elif model == "persistence":
+            parts += [persistence(panel, keys, time, value, h, *test) for h in horizons]
+        else:
+            raise ValueError(f"unknown model {model!r}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -182,15 +221,16 @@ def ablation(panel: DataFrame, keys: Sequence[str], time: str, value: str, featu
     groups = feature_groups(features, {"history": own, "calendar": lambda c: c in calendar,
                                        "weather": lambda c: not own(c) and c not in calendar})
     task = direct_task(panel, keys, time, value, horizon, *test)
-    table = stage(assemble(task, features).select(*keys, "origin", "target", "label", "split", "features"))
-    out, sizes = None, {}
-    for variant, parts in ABLATION.items():
-        names = [f for p in parts for f in groups[p]]
-        sizes[variant] = len(names)
-        sliced = VectorSlicer(inputCol="features", outputCol="subset", names=names).transform(table)
-        model = regressor(params or {}, features="subset").fit(
-            sliced.where("split = 'train'").select("subset", "label"))
-        part = prediction_rows(model.transform(sliced.where("split = 'test'")), keys, variant, horizon,
+    table = stored(assemble(task, features).select(*keys, "origin", "target", "label", "split", "features"))
+    require_both_parts(table)
+    names = {variant: [f for p in parts for f in groups[p]] for variant, parts in ABLATION.items()}
+    sizes = {variant: len(own) for variant, own in names.items()}
+    sliced = {variant: VectorSlicer(inputCol="features", outputCol="subset", names=own).transform(table) for variant, own in names.items()}
+    fit = lambda variant: regressor(params or {}, features="subset").fit(
+        sliced[variant].where("split = 'train'").select("subset", "label"))
+    out = None
+    for variant, model in zip(names, side_by_side(fit, list(names))):
+        part = prediction_rows(model.transform(sliced[variant].where("split = 'test'")), keys, variant, horizon,
                                "label", "prediction")
         out = part if out is None else out.unionByName(part)
     sizes["persistence"] = 1
@@ -201,5 +241,5 @@ def ablation(panel: DataFrame, keys: Sequence[str], time: str, value: str, featu
 
 
 __all__ = ["ABLATION", "FULL_GRID", "HORIZONS", "SELECTED", "ablation", "assemble", "boosted_trees",
- "direct_arx", "direct_forecast", "feature_importance", "grid_points",
-           "grid_search", "regressor"]
+           "boosted_trees_by_horizon", "direct_arx", "direct_forecast", "feature_importance", "grid_points",
+           "grid_search", "regressor", "side_by_side"]

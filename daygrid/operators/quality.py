@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrid.functions.columns import SENTINEL_LIMIT, all_of, any_of
-from daygrid.operators.blocks import previous_day
+from daygrid.operators.blocks import KEY, join_keys, pack_keys, previous_day, unpack_keys
 
 
 class QualityError(ValueError):
@@ -193,7 +193,8 @@ def prediction_coverage(
           & (F.col("last_target") == hi) & (F.col("wrong_delta") == 0)
           & (F.col("first_origin") >= F.date_sub(F.lit(str(cutoff)).cast("date"), 1))
           & F.col("expected"))
-    return (seen.join(grid, [*keys, "model", "horizon"], "full_outer")
+    on = [*([KEY] if keys else []), "model", "horizon"]
+    return (unpack_keys(pack_keys(seen, keys).join(pack_keys(grid, keys), on, "full_outer"), keys)
             .select(*keys, "model", "horizon",
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
                     "first_target", "last_target", "first_origin",
@@ -221,7 +222,7 @@ def common_dates(preds: DataFrame, models: Sequence[str], expected: int, by: Seq
 def target_covers_predictions(preds: DataFrame, target: DataFrame, keys: Sequence[str] = (), time: str = "day") -> DataFrame:
     """Predicted dates without a canonical target."""
     have = target.select(*keys, F.col(time).alias("target"))
-    return preds.select(*keys, "target").distinct().join(have, [*keys, "target"], "left_anti")
+    return join_keys(preds.select(*keys, "target").distinct(), have, keys, ["target"], "left_anti")
 
 
 def no_leakage(train: DataFrame, test: DataFrame, keys: Sequence[str] = (), by: Sequence[str] = ("horizon",)) -> DataFrame:
@@ -229,7 +230,7 @@ def no_leakage(train: DataFrame, test: DataFrame, keys: Sequence[str] = (), by:
     cols = [*keys, *by]
     last = train.groupBy(*cols).agg(F.max("target").alias("last_train_target"))
     first = test.groupBy(*cols).agg(F.min("origin").alias("first_test_origin"))
-    both = last.join(first, cols, "full")
+    both = unpack_keys(pack_keys(last, cols).join(pack_keys(first, cols), KEY, "full"), cols)
     leaks = F.col("last_train_target") > F.col("first_test_origin")
     return both.where(F.coalesce(leaks, F.lit(True)))
 

@@ -13,22 +13,22 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from daygrid.functions.columns import all_of
-from daygrid.operators.blocks import attach_spread
+from daygrid.operators.blocks import KEY, attach_spread, join_keys, pack_keys, unpack_keys
 
 BUCKETS = 64
 
 
 def value_histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Distinct non-null values with their counts ``cnt``; groups with a null key are left out."""
+    """Distinct non-null values with their counts ``cnt``; a null key is a group like any other."""
     count = F.sum(weight) if weight else F.count(F.lit(1))
     # Stated here, not left to the joins, so that every branch reads one and the same exchange.
-    known = all_of([F.col(c).isNotNull() for c in (*keys, value)])
-    return df.where(known).groupBy(*keys, value).agg(count.alias("cnt"))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count.alias("cnt"))
 
 
 def running_counts(hist: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Add ``before`` (rows with a smaller value) and ``total`` (rows of the group)."""
+    given, keys = keys, [KEY] if keys else []
+    hist = pack_keys(hist, given)
     shares = [i / buckets for i in range(1, buckets)]
     # The count takes part so that all branches read the same exchange.
     limits = hist.groupBy(*keys).agg(
@@ -46,9 +46,10 @@ def running_counts(hist: DataFrame, keys: Sequence[str], value: str, buckets: in
         F.sum("_sum").over(group).alias("total"))
     inside = (Window.partitionBy(*keys, "_bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (cut.join(offsets, [*keys, "_bucket"])
-            .withColumn("before", F.col("_offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-            .drop("_bucket", "_offset"))
+    out = (cut.join(offsets, [*keys, "_bucket"])
+           .withColumn("before", F.col("_offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+           .drop("_bucket", "_offset"))
+    return unpack_keys(out, given)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
@@ -89,7 +90,7 @@ def ranked_points(points: DataFrame, keys: Sequence[str], x: str, y: str) -> Dat
     cells = out = points.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("cnt"))
     for axis in (x, y):
         ranked = running_counts(value_histogram(cells, keys, axis, "cnt"), keys, axis)
-        out = out.join(ranked.select(
+        out = join_keys(out, ranked.select(
             *keys, axis, *(["total"] if axis == x else []), F.col("before").alias(f"{axis}_before"),
-            (F.col("before") + (F.col("cnt") + 1) / 2).alias(f"{axis}_rank")), [*keys, axis])
+            (F.col("before") + (F.col("cnt") + 1) / 2).alias(f"{axis}_rank")), keys, [axis])
     return out

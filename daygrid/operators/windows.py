@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from daygrid.functions.columns import NO_DIRECTION
-from daygrid.operators.blocks import BLOCK, attach, day_position, nearest_known, over_blocks
+from daygrid.operators.blocks import BLOCK, attach, day_position, join_keys, nearest_known, over_blocks
 from daygrid.operators.ranks import quantiles
 
 
@@ -234,7 +234,7 @@ def decompose_additive(df, keys, time, value, period: int = 365, size: int = BLO
     # Without keys the phase table has at most ``period`` rows.
     if not keys:
         seasonal = F.broadcast(seasonal)
-    return (with_trend.join(seasonal, [*keys, "_phase"], "left").drop("_phase")
+    return (join_keys(with_trend, seasonal, keys, ["_phase"], "left").drop("_phase")
             .withColumn("residual", F.col("observed") - F.col("trend") - F.col("seasonal"))
             .select(*keys, time, "observed", "trend", "seasonal", "residual"))
 
@@ -267,6 +267,12 @@ def lead_target(df, keys, time, value, horizon: int, size: int = BLOCK) -> DataF
             .withColumn("target", F.date_add(time, horizon)))
 
 
+def lead_targets(df, keys, time, value, horizons: Sequence[int], size: int = BLOCK) -> DataFrame:
+    """``label_<h> = y[t+h]`` for every horizon, null where the target day is missing; all share one exchange."""
+    return over_blocks(df, keys, day_position(time), lambda w: {
+        f"label_{h}": F.first(value).over(w.rangeBetween(h, h)) for h in horizons}, ahead=max(horizons), size=size)
+
+
 def sequence_windows(df, keys, time, features: Sequence[str], value, length: int = 14, horizon: int = 1,
                      size: int = BLOCK) -> DataFrame:
     """Windows of ``length`` rows ending at the origin, with the value ``horizon`` days on.
@@ -290,6 +296,6 @@ def sequence_windows(df, keys, time, features: Sequence[str], value, length: int
 
 __all__ = [
     "calendar_features", "causal_columns", "causal_fill", "decompose_additive", "ema",
-    "fill_with_train_median", "interpolate_linear", "interpolate_time", "lags", "lead_target",
+    "fill_with_train_median", "interpolate_linear", "interpolate_time", "lags", "lead_target", "lead_targets",
     "renormalise_direction", "rolling_mean", "rolling_std", "sequence_windows", "undefined_directions",
 ]

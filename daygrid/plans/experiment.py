@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from daygrid.operators.association import pearson_with
 from daygrid.operators.evaluate import forecast_metrics
+from daygrid.operators.joins import inner_by_month
 from daygrid.operators.models import HORIZONS, direct_forecast
 from daygrid.operators.quality import (
     check_experiment, experiment_bounds, prediction_coverage, require, same_actuals_across_models, same_dates_across_models)
@@ -44,8 +45,7 @@ def correlation_table(daily: DataFrame, keys: Sequence[str], time: str, variable
     table = pearson_with(scales, target, variables, [*keys, "scale"])
     if monthly:
         other, name = monthly
-        joined = (scales.where("scale = 'month'").select(*keys, F.col("bin").alias("month"), target)
-                  .join(other, [*keys, "month"]))
+        joined = inner_by_month(scales.where("scale = 'month'").select(*keys, F.col("bin").alias("month"), target), other, keys)
         table = table.unionByName(
             pearson_with(joined, target, [name], keys).withColumn("scale", F.lit("month")))
     lookup = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])

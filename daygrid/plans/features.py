@@ -44,4 +44,4 @@ def build_features(base: DataFrame, keys: Sequence[str], time: str = "day", targ
     whole = calendar_features(renormalise_direction(filled), time)
     table = causal_columns(whole, keys, time, lag=([target, *smoothed], LAG_DAYS), ema=(smoothed, EMA_SPANS),
                            std=(smoothed, STD_WINDOW), size=size)
-    return table.dropna()
+    return table.dropna(subset=[c for c in table.columns if c not in keys])

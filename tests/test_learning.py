@@ -18,10 +18,10 @@ from daygrid.operators.forecast import (
     baseline_table, moving_average_forecast, persistence, persistence_suite, recut_predictions, union_model_results)
 from daygrid.operators.joins import missing_offsets, models_side_by_side
 from daygrid.operators.learning import (
-    direct_task, feature_groups, minmax_inverse, minmax_scale, minmax_stats, split_by_cut_date, split_by_fraction,
-    split_last_rows, standardize, time_series_folds, zscore)
+    direct_task, feature_groups, minmax_inverse, minmax_scale, minmax_stats, multi_horizon_task, split_by_cut_date,
+    split_by_fraction, split_last_rows, standardize, time_series_folds, zscore)
 from daygrid.operators.models import (
-    ablation, boosted_trees, direct_arx, direct_forecast, feature_importance, grid_search)
+    ablation, boosted_trees, boosted_trees_by_horizon, direct_arx, direct_forecast, feature_importance, grid_search, regressor, side_by_side)
 from daygrid.operators.quality import QualityError, no_leakage
 from daygrid.plans.experiment import run_experiment
 from daygrid.plans.features import CALENDAR, feature_columns
@@ -47,10 +47,10 @@ def test_split_fractions_per_key(spark):
 
 
 def test_split_by_target_date(spark):
-    task = direct_task(series(spark, 900, "2022-12-01"), [], "day", "y", 14, "2024-06-14", "2025-05-31", train_end="2024-05-31")
+    task = direct_task(series(spark, 913, "2022-12-01"), [], "day", "y", 14, "2024-06-14", "2025-05-31", train_end="2024-05-31")
     test = task.where("split = 'test'")
     r = test.agg(F.count("*"), F.min("target"), F.max("target"), F.min(F.datediff("target", "origin")), F.max(F.datediff("target", "origin"))).first()
-    assert tuple(r) == (339, dt.date(2024, 6, 14), dt.date(2025, 5, 18), 14, 14)
+    assert tuple(r) == (352, dt.date(2024, 6, 14), dt.date(2025, 5, 31), 14, 14)
     by = task.withColumn("horizon", F.lit(14))
     assert no_leakage(by.where("split = 'train'"), by.where("split = 'test'")).count() == 0
     late = by.withColumn("origin", F.date_sub("origin", 40))
@@ -280,6 +280,64 @@ def test_boosted_trees_learn(spark, panel):
     assert len(names) == 3 and names[0] in ("x", "y")
 
 
+FEW = {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 2, "subsample": 0.7, "colsample_bytree": 0.7}
+
+
+def test_horizons_fitted_together_equal_single_fits(spark, panel):
+    task = multi_horizon_task(panel, ["key"], "day", "y", (1, 7), *TEST, *TRAIN)
+    preds, models = boosted_trees_by_horizon(task, ["key"], ["y", "x", "noise"], (1, 7), FEW)
+    assert set(models) == {1, 7}
+    order = ["horizon", "key", "target"]
+    for h in (1, 7):
+        single, _ = boosted_trees(direct_task(panel, ["key"], "day", "y", h, *TEST, *TRAIN), ["key"], ["y", "x", "noise"], h, FEW)
+        assert rows(single.select("key", "horizon", "origin", "target", "y_real", "model"), *order) == rows(
+            preds.where(F.col("horizon") == h).select("key", "horizon", "origin", "target", "y_real", "model"), *order)
+    truth = panel.select("key", F.col("day").alias("target"), F.col("y").cast("double").alias("truth"))
+    joined = preds.join(truth, ["key", "target"])
+    assert joined.count() == preds.count() == 2 * 2 * 53  # every target day of the window, every series and horizon
+    assert joined.where((F.col("y_real") != F.col("truth")) | (F.datediff("target", "origin") != F.col("horizon")) | (F.col("y_pred") < 0)).count() == 0
+    for r in forecast_metrics(preds, ["horizon"]).collect():
+        kept = preds.where(F.col("horizon") == r.horizon).toPandas()
+        assert r.n == len(kept) and r.mae == pytest.approx((kept.y_real - kept.y_pred).abs().mean())
+
+
+def test_side_by_side_keeps_the_order():
+    assert side_by_side(lambda x: x * x, list(range(20)), together=3) == [x * x for x in range(20)]
+
+
+def test_empty_parts_are_refused(spark, panel):
+    late = (dt.date(2030, 1, 1), dt.date(2030, 2, 1))
+    with pytest.raises(ValueError, match="test"):
+        boosted_trees(direct_task(panel, ["key"], "day", "y", 1, *late, *TRAIN), ["key"], ["x"], 1, FEW)
+    early = (dt.date(2000, 1, 1), dt.date(2000, 2, 1))
+    with pytest.raises(ValueError, match="train"):
+        direct_forecast(panel, ["key"], "day", "y", ["x"], TEST, early, params=FEW, horizons=[1, 3])
+
+
+def test_prefix_scores_equal_separate_fits(spark, panel):
+    """One long fit scores every number of trees as a fit of that many trees does."""
+    from daygrid.operators.learning import common_folds
+    from daygrid.operators.models import assemble
+
+    task = direct_task(panel, ["key"], "day", "y", 1, *TEST, *TRAIN)
+    grid = {"n_estimators": [2, 5], "learning_rate": [0.3], "max_depth": [2], "subsample": [0.7], "colsample_bytree": [0.7]}
+    means, best = grid_search(task, ["key"], ["y", "x"], grid, n_splits=2)
+    rows_ = assemble(task.where("split = 'train'"), ["y", "x"]).select("key", "target", "label", "features")
+    folds_ = rows_.join(common_folds(rows_, "target", 2), "target").cache()
+    for n in (2, 5):
+        errors = []
+        for k in range(2):
+            part = folds_.where(F.col("fold") == k).repartition(1)
+            model = regressor({**FEW, "n_estimators": n}).fit(part.where("role = 'train'").orderBy("target", "key").select("features", "label"))
+            long = regressor({**FEW, "n_estimators": 5}).fit(part.where("role = 'train'").orderBy("target", "key").select("features", "label"))
+            test = part.where("role = 'test'").select("features", "label")
+            mae = model.transform(test).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
+            assert long.evaluateEachIteration(test, "absolute")[n - 1] == pytest.approx(mae)
+            errors.append(mae)
+        assert means.where(F.col("n_estimators") == n).first().mae == pytest.approx(sum(errors) / 2, rel=0.5)
+    assert means.count() == 2 and best["n_estimators"] in (2.0, 5.0)
+
+
 def test_grid_search_prefers_more_trees(spark, panel):
     task = direct_task(panel, ["key"], "day", "y", 1, *TEST, *TRAIN)
     means, best = grid_search(task, ["key"], ["y", "x"], {"n_estimators": [1, 6], "learning_rate": [0.3], "max_depth": [2]}, n_splits=2)

@@ -11,7 +11,8 @@ from daygrid.operators.distribution import density
 from daygrid.operators.evaluate import residual_diagnostics
 from daygrid.operators.learning import common_folds, direct_task
 from daygrid.operators.models import direct_arx, search_and_refit
-from daygrid.operators.quality import QualityError, experiment_violations, no_leakage
+from daygrid.operators import association, distribution, evaluate, forecast, joins, ranks, windows
+from daygrid.operators.quality import QualityError, experiment_violations, no_leakage, prediction_coverage, target_covers_predictions
 from daygrid.operators.windows import ema, lead_target, sequence_windows
 from daygrid.sources.readers import scan_drop_malformed, scan_events_csv, scan_hourly_csv, unique_events
 
@@ -124,3 +125,67 @@ def test_averages_refuse_missing_values(spark):
     df = spark.createDataFrame([(day(1), 1.0), (day(2), None), (day(3), 2.0)], "day date, y double")
     with pytest.raises(Exception, match="missing values"):
         ema(df, [], "day", ["y"], [3]).collect()
+
+
+# --- a null key is a series like any other -----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def keyed(spark):
+    """Two equal series of 40 days, one under "a", one under a null key, with extra payload."""
+    values = [float((7 * i * i + 3 * i) % 23) for i in range(40)]
+    return spark.createDataFrame(
+        [(k, d, v, float(i % 5)) for k in ("a", None) for i, (d, v) in enumerate(zip(days("2024-01-01", 40), values))],
+        "k string, day date, y double, x double")
+
+
+def alike(df):
+    """The null key has rows, and they are those of "a"."""
+    cols = [c for c in df.columns if c != "k"]
+    short = lambda v: round(v, 9) if isinstance(v, float) else v
+    null, known = (sorted((tuple(map(short, r)) for r in df.where(which).select(*cols).collect()), key=str) for which in ("k IS NULL", "k = 'a'"))
+    assert null == known and null
+
+
+def forecasts(keyed):
+    from daygrid.operators.forecast import moving_average_forecast, persistence
+
+    return persistence(keyed, ["k"], "day", "y", 2).unionByName(moving_average_forecast(keyed, ["k"], "day", "y", 3))
+
+
+NULL_KEY_CASES = {
+    "left_by_day": lambda d: joins.left_by_day(d.select("k", "day", "y"), d.select("k", "day", "x"), ["k"]),
+    "inner_by_day": lambda d: joins.inner_by_day(d.select("k", "day", "y"), d.select("k", "day", "x"), ["k"]),
+    "inner_by_month": lambda d: joins.inner_by_month(*[d.groupBy("k", F.trunc("day", "MM").alias("month")).agg(F.sum(c).alias(c)) for c in "yx"], ["k"]),
+    "left_align": lambda d: joins.left_align(d.select("k", "day", "y"), [d.select("k", "day", "x")], ["k", "day"]),
+    "at_offset": lambda d: joins.at_offset(d, ["k"], "day", "y", 3),
+    "persistence_suite": lambda d: forecast.persistence_suite(d, ["k"], "day", "y", [("all", 2, "2024-01-10", "2024-02-05")]),
+    "persistence": lambda d: forecast.persistence(d, ["k"], "day", "y", 3),
+    "box_stats": lambda d: distribution.box_stats(d, ["k"], "y"),
+    "fliers": lambda d: distribution.fliers(d.unionByName(d.limit(0)).withColumn("y", F.when(F.col("x") == 0, F.col("y") * 90).otherwise(F.col("y"))), ["k"], "y"),
+    "histogram": lambda d: distribution.histogram(d, "y", 5, ["k"]),
+    "center": lambda d: distribution.center(d, "y", ["k"]),
+    "density": lambda d: distribution.density(d, "y", 10, ["k"]),
+    "decompose_additive": lambda d: windows.decompose_additive(d, ["k"], "day", "y", 7),
+    "quantiles": lambda d: ranks.quantiles(d, ["k"], "y", {"q": 0.3}),
+    "spearman_matrix": lambda d: association.spearman_matrix(d, ["y", "x"], ["k"]),
+    "kendall_matrix": lambda d: association.kendall_matrix(d, ["y", "x"], ["k"]),
+    "band_mae": lambda d: evaluate.band_mae(forecasts(d).where("model = 'persistence'"), d, ["persistence"], ["k"], cuts=(5, 12)),
+    "residual_diagnostics": lambda d: evaluate.residual_diagnostics(forecasts(d), ["k", "model", "horizon"]),
+    "models_side_by_side": lambda d: joins.models_side_by_side(forecasts(d).where("target > '2024-01-03'"), ["persistence", "mean_3d"], ["k"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(NULL_KEY_CASES))
+def test_null_keys_in_every_panel_operator(spark, keyed, name):
+    alike(NULL_KEY_CASES[name](keyed))
+
+
+def test_null_keys_in_checks(spark, keyed):
+    preds = forecasts(keyed).where("model = 'persistence'")
+    assert target_covers_predictions(preds, keyed, ["k"]).count() == 0
+    seen = prediction_coverage(preds, ["persistence"], [2], "2024-01-03", "2024-02-09", "2024-01-01", ["k"])
+    assert seen.count() == 2 and seen.where("ok").count() == 2
+    part = preds.withColumn("horizon", F.lit(2))
+    assert no_leakage(part.where("target < '2024-01-20'"), part.where("origin >= '2024-01-20'"), ["k"]).count() == 0
+    assert joins.missing_offsets(keyed, ["k"], "day", 1, "2024-01-02", "2024-02-09").count() == 0
