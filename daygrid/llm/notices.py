@@ -141,10 +141,25 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return paragraphs, runs
 
 
+CLOSING = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+OPENING = re.compile("(?=(" + "|".join(map(re.escape, CLOSING)) + "))")  # looking ahead, so that marks may overlap
+
+
 def block_comments(text: str) -> list[str]:
     """Bodies of block comments and of strings in triple quotes."""
-    found = re.findall(r"/\*(.*?)\*/|<!--(.*?)-->|\"\"\"(.*?)\"\"\"|'''(.*?)'''", text, re.S)
-    return [" ".join(MARK.sub("", line) for line in "".join(f).split("\n")) for f in found]
+    found, at, unclosed = [], 0, set()
+    for m in OPENING.finditer(text):
+        mark = m.group(1)
+        if m.start() < at or mark in unclosed:
+            continue
+        begin = m.start() + len(mark)
+        end = text.find(CLOSING[mark], begin)
+        if end < 0:
+            unclosed.add(mark)  # nor can a later one be closed: each closing mark is looked for past the end only once
+        else:
+            found.append(text[begin:end])
+            at = end + len(CLOSING[mark])
+    return [" ".join(MARK.sub("", line) for line in body.split("\n")) for body in found]
 
 
 def best_notice(text: str | None, sentences: Family, headers: Family, texts: Family, known: dict[str, str]) -> tuple[str | None, float | None]:

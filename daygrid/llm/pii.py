@@ -23,7 +23,8 @@ added; an empty table gives no rows; other columns are ignored by
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from math import exp, inf, log
 
 import pyarrow as pa
@@ -121,10 +122,34 @@ def _number_features(kind: str, span: str, groups: list[int], left: str, right:
     return out
 
 
+def union_of(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted disjoint ranges that cover the same characters."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _outside(tokens: list[tuple[int, int, str]], closed: list[tuple[int, int]]) -> list[bool]:
+    """Whether each token lies outside the closed ranges; both are sorted, so one walk does."""
+    out, k = [], 0
+    for start, end, _ in tokens:
+        while k < len(closed) and closed[k][1] <= start:
+            k += 1
+        out.append(k == len(closed) or closed[k][0] >= end)
+    return out
+
+
 def candidates(text: str, closed: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int, str, int, int, list[str]]]]:
-    """Number of tokens, and the candidate segments (token range, kind, character range, features) of a window."""
+    """Number of tokens, and the candidate segments (token range, kind, character range, features) of a window.
+
+    ``closed`` are sorted disjoint ranges that no segment may touch.
+    """
     tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
-    open_ = [not any(a < e and s < b for a, b in closed) for s, e, _ in tokens]
+    open_ = _outside(tokens, closed)
     out = []
     for i, (start, _, first) in enumerate(tokens):
         if not open_[i] or not (first.isdigit() or first in ("+", "(")):
@@ -230,9 +255,10 @@ def _score(features: list[str], weights: dict[str, float]) -> float:
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
     if not weights:
         return []
-    out = []
+    out, taken = [], union_of((a, b) for _, a, b in base)
     for at, part in windows(text):
-        closed = [(a - at, b - at) for _, a, b in base if a < at + len(part) and b > at]
+        first = bisect_right(taken, at, key=lambda span: span[1])
+        closed = [(a - at, b - at) for a, b in taken[first:bisect_left(taken, at + len(part), key=lambda span: span[0])]]
         n, segments = candidates(part, closed)
         if not segments:
             continue

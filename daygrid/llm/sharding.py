@@ -17,7 +17,7 @@ no rows; other columns are ignored by :func:`assign` and kept by :func:`write_sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrid.llm.catalog import query, table
 from daygrid.stage import stage
@@ -49,11 +49,15 @@ def _leaves(cells: DataFrame, fine: int, above: int, limit: int) -> DataFrame:
     return cells.select("cell").join(first, "cell", "left")
 
 
-def assign(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, depth, shard, page) of every row; ``shard`` is the bucket's prefix as a string of bits."""
+def assign(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(key, n_bytes, depth, shard, page) of every row; ``shard`` is the bucket's prefix as a string of bits.
+
+    ``row``, a column of stored numbers that tell all rows apart, is carried along.
+    """
+    own = [F.col(row).alias("row")] if row else []
     rows = stage(docs.select(  # three numbers a row: the texts are read once
         F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        hash_bits(key, text).alias("bits")))
+        hash_bits(key, text).alias("bits"), *own))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     fine = min(BITS, max(1, -(-total // limit)).bit_length() + FINER)
     above, placed, left = 0, None, rows
@@ -72,7 +76,8 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     return _with_pages(bucket, limit).select(
         F.col("key").alias(key), "n_bytes", F.col("depth").cast("long").alias("depth"),
         F.when(F.col("depth") == 0, F.lit("")).otherwise(
-            F.lpad(F.conv(F.col("bucket").cast("string"), 10, 2), F.col("depth").cast("int"), F.lit("0"))).alias("shard"), "page")
+            F.lpad(F.conv(F.col("bucket").cast("string"), 10, 2), F.col("depth").cast("int"), F.lit("0"))).alias("shard"), "page",
+        *([F.col("row").alias(row)] if row else []))
 
 
 def _with_pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -80,18 +85,38 @@ def _with_pages(rows: DataFrame, limit: int) -> DataFrame:
     same = rows.groupBy("depth", "bucket").agg(F.sum("n_bytes").alias("total"), F.count("*").alias("n"))
     full = stage(same.where((F.col("total") > limit) & (F.col("n") > 1)).select("depth", "bucket"))
     plain = rows.join(full, ["depth", "bucket"], "left_anti").withColumn("page", F.lit(0).cast("long"))
-    groups = rows.join(full, ["depth", "bucket"]).groupBy("key", "n_bytes", "bits", "depth", "bucket").agg(F.count("*").alias("n"))
+    met = rows.join(full, ["depth", "bucket"])
     each = F.greatest(F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))), F.lit(1))
-    dealt = (groups.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-             .withColumn("page", F.floor(F.col("i") / each).cast("long")))
+    if "row" in rows.columns:
+        counted = _numbered(met, ["key", "n_bytes", "bits", "depth", "bucket"])
+    else:
+        groups = met.groupBy("key", "n_bytes", "bits", "depth", "bucket").agg(F.count("*").alias("n"))
+        counted = groups.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dealt = counted.withColumn("page", F.floor(F.col("i") / each).cast("long"))
     return plain.unionByName(dealt.select(*plain.columns))
 
 
+SLICE = 1 << 16  # row numbers of a slice
+
+
+def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``i``, the place among the rows alike in ``by``: counted in slices of row numbers, whose totals are carried over."""
+    rows = stage(rows.withColumn("slice", F.floor(F.col("row") / SLICE)))
+    alike = [F.hash(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c == "key" else F.col(c) for c in by]
+    rows = rows.withColumn("alike", F.struct(*alike))
+    counts = rows.groupBy("alike", "slice").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("alike").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("alike", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("alike", "slice").orderBy("row")
+    return rows.join(before, ["alike", "slice"]).withColumn("i", F.col("before") + F.row_number().over(inside) - 1)
+
+
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> None:
-    """One folder of JSON lines per shard; every column of ``docs`` is kept.  Keys must be unique."""
-    shards = assign(docs, limit, key, text).select(
-        key, F.concat_ws("-", F.format_string("s%s", "shard"), F.col("page").cast("string")).alias("_shard"))
-    docs.join(shards, key).repartition("_shard").write.partitionBy("_shard").json(path)
+    """One folder of JSON lines per shard; every row and column of ``docs`` is kept, whatever its key."""
+    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    shards = assign(held, limit, key, text, "_row").select(
+        "_row", F.concat_ws("-", F.format_string("s%s", "shard"), F.col("page").cast("string")).alias("_shard"))
+    held.join(shards, "_row").drop("_row").repartition("_shard").write.partitionBy("_shard").json(path)
 
 
 OP6 = f"""

@@ -42,3 +42,21 @@ def test_whole_notices(spark):
     cases |= {f"{name}/LICENSE": ("Copyright (c) 2021 Some Body\n\n" + text, name) for name, text in full_texts()}
     files = spark.createDataFrame([(p, t, False) for p, (t, _) in cases.items()], "path string, text string, is_license_file boolean")
     assert {r["path"]: r["license"] for r in license_scan(files).where("origin in ('header', 'none')").collect()} == {p: n for p, (_, n) in cases.items()}
+
+
+def test_block_comments_take_linear_time():
+    import random
+    import re
+    import time
+
+    from daygrid.llm import notices
+
+    slow = lambda text: ["".join(f) for f in re.findall(r"/\*(.*?)\*/|<!--(.*?)-->|\"\"\"(.*?)\"\"\"|'''(.*?)'''", text, re.S)]
+    rng = random.Random(3)
+    for _ in range(500):
+        text = "".join(rng.choices(["/*", "*/", "/", "*", "<!--", "-->", '"', '"""', "'''", "'", "a", "b "], k=rng.randint(0, 14)))
+        assert notices.block_comments(text) == [" ".join(notices.MARK.sub("", x) for x in body.split("\n")) for body in slow(text)]
+    for text in ("/* open " * 300_000, "<!-- " * 300_000 + "-->", '"" ' * 300_000 + "/*" * 200_000):
+        start = time.process_time()
+        notices.block_comments(text)
+        assert time.process_time() - start < 10

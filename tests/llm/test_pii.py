@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from daygrid.llm import pii
 from daygrid.llm.pii import (
     KINDS, added_spans, base_spans, best_path, find_spans, luhn, marginals, masked, redact, train, windows)
 
@@ -91,3 +92,31 @@ def test_tables(make, edge_docs, no_docs, weights):
     out = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert out[90] is None and out[91] == "é😀 <IP>" and "@" not in out[3] and "<CARD>" in out[3]
     assert masked("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a<IP>f"
+
+
+def test_dense_spans_take_linear_time(weights):
+    """Texts full of base spans: ten times the text, about ten times the time; a 2 MB log takes seconds."""
+    import time
+
+    line = lambda i: f"10.{i % 200}.{i * 7 % 250}.{i % 99} visited by user{i}@mail.example.org on line {i}\n"
+    took = []
+    for n in (3_000, 30_000):
+        text = "".join(map(line, range(n)))
+        start = time.process_time()
+        base = base_spans(text)
+        pii.added_spans(text, base, weights)
+        took.append(time.process_time() - start)
+        assert len(base) == 2 * n
+    assert took[1] < 40 and took[1] < 25 * max(took[0], 0.2)
+
+
+def test_closed_ranges(weights):
+    rng = random.Random(9)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 6)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        tokens, at = [], 0
+        while at < 70:
+            end = at + rng.randint(1, 4)
+            tokens.append((at, end, "x"))
+            at = end
+        assert pii._outside(tokens, pii.union_of(spans)) == [not any(a < e and s < b for a, b in spans) for s, e, _ in tokens]

@@ -33,6 +33,15 @@ def test_edge_rows(spark, edge_docs, tmp_path):
     assert sorted(str(r["doc_id"]) for r in rest.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, None, None]))
 
 
+def test_decontamination_by_row(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    clean = "a plain story of gardens and of the people who live near them"
+    rows = [(None, item), (1, item), (2, clean), (2, item), (None, clean), (3, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rest = corpus_pipeline.decontamination_stage(spark, docs, FOLDER)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in rest.collect()))) == sorted(map(str, [(2, clean), (None, clean), (3, None), (None, None)]))
+
+
 def test_repeated_ids(spark):
     one, other = ("the quick brown fox jumps over the lazy dog again and again", "a plain story of gardens and of the people who live near them")
     third = "nothing at all like the rest is written down on this page today"

@@ -30,6 +30,17 @@ def test_repeated_rows_go_to_pages(make):
     assert len(out) == 58 and sorted(pages.values()) == [700, 1000, 1000, 1000, 1000, 1000]
 
 
+def test_files_lose_no_row(make, tmp_path):
+    rows = [(None, "x" * 90), (None, "y"), (1, "x" * 90), (1, "x" * 90), (1, None), (2, "z" * 40)] + [(7, "same " * 20)] * 130
+    write_shards(make(rows), str(tmp_path / "s"), 1000)
+    files = defaultdict(list)
+    for p in (tmp_path / "s").rglob("*.json"):
+        files[p.parent] += [json.loads(x) for x in p.read_text().splitlines()]
+    found = [(r.get("doc_id"), r.get("text")) for lines in files.values() for r in lines]
+    assert sorted(found, key=str) == sorted(rows, key=str)
+    assert all(sum(len(r.get("text") or "") for r in lines) <= 1000 for lines in files.values())
+
+
 def test_edges_and_files(make, edge_docs, no_docs, tmp_path):
     assert assign(edge_docs, 500).count() == 11
     assert assign(no_docs, 500).count() == 0
