@@ -7,6 +7,7 @@ predecessor kept.
 * quality rules: documents that fail the base rule or score too low are dropped;
 * near-duplicates: the document with the smallest id of each group stays;
 * benchmark decontamination: documents that contain a benchmark item are dropped;
+  rows are told apart by id and text, so a null id or one of several texts loses no clean row;
 * personal data: spans are replaced by their kind, and ``n_chars`` is counted again;
 * byte-pair encoding: number and digest of the ids, digest of the text read back.
 """
@@ -55,10 +56,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; the verdict is on the row, so null and repeated ids are rows like any other."""
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
-    leaking = stage(decontamination.contained_items(docs, items).select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(leaking, "doc_id", "left_anti").select(*COLUMNS)
+    key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull())
+    rows = docs.select(*COLUMNS, key.alias("row_key"))
+    found = decontamination.contained_items(rows.select(F.col("row_key").alias("doc_id"), "text"), items)
+    leaking = stage(found.select(F.col("doc_id").alias("row_key")).distinct())
+    return rows.join(leaking, "row_key", "left_anti").select(*COLUMNS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
