@@ -119,20 +119,30 @@ def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key: str
     held.join(shards, "_row").drop("_row").repartition("_shard").write.partitionBy("_shard").json(path)
 
 
-OP6 = f"""
+SMALL_SHARD_BYTES = 1 << 16  # splits small tables too
+
+
+def _assign_sql(limit: int) -> str:
+    return f"""
 WITH rows AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
                      CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS bits
               FROM documents),
 buckets AS (SELECT CAST(d AS INTEGER) AS d, bits >> (60 - CAST(d AS INTEGER)) AS p, sum(n_bytes) AS total, min(bits) = max(bits) AS same
             FROM rows, (SELECT unnest(range(0, 41)) AS d) GROUP BY 1, 2),
 leaves AS (SELECT doc_id, n_bytes, bits, min(d) AS depth FROM rows JOIN buckets ON p = bits >> (60 - d)
-           WHERE total <= {SHARD_BYTES} OR same GROUP BY 1, 2, 3)
+           WHERE total <= {limit} OR same GROUP BY 1, 2, 3)
 SELECT doc_id, n_bytes, CAST(depth AS BIGINT) AS depth,
        CASE WHEN depth = 0 THEN '' ELSE lpad(format('{{:b}}', bits >> (60 - depth)), depth, '0') END AS shard, CAST(0 AS BIGINT) AS page
 FROM leaves"""
 
 
-@query("op6_sharding", OP6)
+@query("op6_sharding", _assign_sql(SHARD_BYTES))
 def op6(spark, sf_dir) -> DataFrame:
     """The shard of every document."""
     return assign(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("sharding_64k", _assign_sql(SMALL_SHARD_BYTES))
+def small_shards(spark, sf_dir) -> DataFrame:
+    """The same for shards of 64 KiB, so that buckets split at every size of the tables."""
+    return assign(table(spark, sf_dir, "documents", "doc_id", "text"), SMALL_SHARD_BYTES)

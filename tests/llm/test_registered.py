@@ -12,7 +12,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def test_one_query_per_operator():
-    numbers = sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES)
+    numbers = sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 14))
 
 
