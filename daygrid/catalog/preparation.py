@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daygrid.catalog.registry import (
     BASE, COMMON_TEST, MODELS, PANEL, PREDICTIONS, RARE, READINGS, SERIES, SPARSE, TEST,
-    base, near_sql, panel, predictions, query, rare_readings, readings, rounded, series, sparse, stage, table)
+    base, near_sql, panel, predictions, query, rare_readings, readings, rounded, series, sparse, stage, table, SQL_DIR)
 from daygrid.functions.columns import VOLUME_BANDS, band, band_order, clip_non_negative
 from daygrid.operators.calendar import complete_calendar, expected_row_count, reindex_calendar
 from daygrid.operators.forecast import union_model_results
@@ -77,16 +77,24 @@ def source_profile_by_key(spark, sf_dir):
     return rounded(target_profile(stage(panel(spark, sf_dir)), "y", ["key"]))
 
 
-@query("source_manifest")
+@query("source_manifest", f"""
+WITH {SERIES}, f AS (SELECT size AS length FROM read_blob('{SQL_DIR}/orders.parquet'))
+SELECT 'run' AS run_id, 'unique orders per day' AS target, (SELECT count(*) FROM orders) AS raw_rows, min(day) AS "start", max(day) AS "end",
+  CAST(sum(y) AS BIGINT) AS events, count(*) AS days, count_if(y = 0)::BIGINT AS zero_days, {near_sql('avg(y)')} AS daily_mean,
+  max(y) AS daily_max, {near_sql('quantile_cont(y, 0.5)')} AS daily_median, (SELECT count(*) FROM f) AS files,
+  (SELECT CAST(sum(length) AS BIGINT) FROM f) AS bytes FROM series""")
 def manifest(spark, sf_dir):
     raw = table(spark, sf_dir, "orders", "o_orderkey").agg(F.count(F.lit(1)))
     files = fingerprint_files(spark, sf_dir, "orders.parquet")
-    return source_manifest(stage(series(spark, sf_dir)), "y", "day", raw, files, "unique orders per day")
+    summary, _ = source_manifest(stage(series(spark, sf_dir)), "y", "day", raw, files, "unique orders per day", "run")
+    return rounded(summary)
 
 
-@query("fingerprint_files")
+@query("fingerprint_files", " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS file, size AS length, sha256(content) AS sha256 FROM read_blob('{SQL_DIR}/{t}.parquet')"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")))
 def fingerprints(spark, sf_dir):
-    return fingerprint_files(spark, sf_dir, "*.parquet")
+    return fingerprint_files(spark, sf_dir, "{region,nation,customer,supplier,part,orders,lineitem,events}.parquet")
 
 
 @query("union_model_results", f"""

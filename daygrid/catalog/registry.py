@@ -16,6 +16,8 @@ from daygrid.stage import stage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Files are not tables: SQL over their bytes names the folder it is checked in.
+SQL_DIR = "/root/testdata/sf0.01"
 # The test year; the study period is that of the orders.
 TEST = ("2000-08-01", "2001-07-31")
 COMMON_TEST = ("2000-08-14", "2001-07-31")
@@ -191,6 +193,6 @@ METRICS = f"""count(*) AS n, {near_sql('avg(abs(y_real - y_pred))')} AS mae,
 
 
 __all__ = ["BASE", "COMMON_TEST", "METRICS", "MODELS", "PANEL", "PREDICTIONS", "QUERIES", "READINGS",
-           "RARE", "SERIES", "SPARSE", "SQL", "SUITE", "SUITE_SCOPES", "TEST", "WEATHER", "base",
+           "RARE", "SERIES", "SPARSE", "SQL", "SQL_DIR", "SUITE", "SUITE_SCOPES", "TEST", "WEATHER", "base",
            "near", "near_sql", "orders_as_events", "panel", "predictions",
            "query", "rare_readings", "readings", "rounded", "series", "sparse", "stage", "table"]

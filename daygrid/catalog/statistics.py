@@ -13,6 +13,7 @@ from daygrid.operators.association import (
     acf, cross_correlation, kendall_matrix, linear_fit, ljung_box, ordered_labels, pacf, pearson_matrix, pearson_with,
     spearman_matrix, top_correlations)
 from daygrid.operators.evaluate import error_trend, pivot_metric
+from daygrid.operators.quality import numeric_columns
 from daygrid.operators.shape import monthly_balance
 from daygrid.plans.experiment import correlation_table
 
@@ -126,6 +127,25 @@ def kendall(spark, sf_dir):
     return rounded(kendall_matrix(base(spark, sf_dir), ["y", "temp", "rain"]), 5)
 
 
+_NUMBERS = ("y", "temp", "rain", "speed_mean", "speed_max", "gust", "n_records", "dir_sin", "dir_cos")
+
+
+@query("pearson_matrix_all", f"WITH {BASE} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS var_a, '{b}' AS var_b, {_corr(a, b)} AS r FROM base"
+    for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i:]))
+def every_pearson(spark, sf_dir):
+    """Every numeric column of the base with every other."""
+    days = base(spark, sf_dir)
+    return rounded(pearson_matrix(days, numeric_columns(days)), 5)
+
+
+@query("spearman_matrix_all", f"WITH {BASE} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS var_a, '{b}' AS var_b, {_corr('ry', 'rx')} AS rho FROM {_ranked(a, b, 'base')}" for a, b in combinations(_NUMBERS, 2)))
+def every_spearman(spark, sf_dir):
+    days = base(spark, sf_dir)
+    return rounded(spearman_matrix(days, numeric_columns(days)), 5)
+
+
 @query("cross_correlation", f"""
 WITH {BASE}, n AS (SELECT CAST(rain AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, row_number() OVER (ORDER BY day) AS i
                    FROM base WHERE rain IS NOT NULL),

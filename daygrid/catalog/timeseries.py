@@ -191,7 +191,8 @@ def sequences(spark, sf_dir):
 # --- the feature table ---------------------------------------------------------------------
 
 
-def _feature_sql() -> str:
+def _feature_ctes() -> str:
+    """Base, filled and shifted days, and the averages, as common table expressions."""
     measures = ("temp", "rain", "speed_mean", "speed_max", "gust")
     fill = lambda c: f"""CASE WHEN {c} IS NOT NULL THEN {c}
       WHEN p0_{c} IS NOT NULL AND p1_{c} IS NOT NULL THEN v0_{c} + (v1_{c} - v0_{c}) / (p1_{c} - p0_{c}) * (i - p0_{c})
@@ -204,10 +205,7 @@ def _feature_sql() -> str:
     smoothed = list(SMOOTHED)
     lag_cols = ", ".join(f"lag({c}, {k}) OVER o AS {c}_lag_{k}" for c in ("y", *smoothed) for k in LAG_DAYS)
     std_cols = ", ".join(f"CASE WHEN count({c}) OVER s7 = 7 THEN stddev_samp({c}) OVER s7 END AS {c}_std_7d" for c in smoothed)
-    exact = {"y", "month", "weekday", "day_of_year", "month_sin", "month_cos", *[f"y_lag_{k}" for k in LAG_DAYS]}
-    picked = ", ".join(c if c in exact else f"{near_sql(c)} AS {c}" for c in feature_columns())
-    return f"""
-WITH RECURSIVE {BASE},
+    return f"""{BASE},
 n AS (SELECT *, CAST(day - DATE '1970-01-01' AS BIGINT) AS i FROM base),
 near AS (SELECT *, {around} FROM n {_FRAMES}),
 filled0 AS (SELECT day, y, {", ".join(fill(c) for c in names)} FROM near),
@@ -215,9 +213,17 @@ filled AS (SELECT day, y, {", ".join(measures)}, dir_sin / sqrt(dir_sin*dir_sin
                   dir_cos / sqrt(dir_sin*dir_sin + dir_cos*dir_cos) AS dir_cos, {_CALENDAR} FROM filled0),
 shifted AS (SELECT *, {lag_cols}, {std_cols} FROM filled
             WINDOW o AS (ORDER BY day), s7 AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
-{_ema_sql('filled', smoothed, False)}
-SELECT day, {picked} FROM shifted JOIN emas USING (day)
-WHERE y_lag_7 IS NOT NULL AND rain_std_7d IS NOT NULL AND temp_lag_7 IS NOT NULL"""
+{_ema_sql('filled', smoothed, False)}"""
+
+
+FEATURE_CTES = _feature_ctes()
+COMPLETE = "y_lag_7 IS NOT NULL AND rain_std_7d IS NOT NULL AND temp_lag_7 IS NOT NULL"
+
+
+def _feature_sql() -> str:
+    exact = {"y", "month", "weekday", "day_of_year", "month_sin", "month_cos", *[f"y_lag_{k}" for k in LAG_DAYS]}
+    picked = ", ".join(c if c in exact else f"{near_sql(c)} AS {c}" for c in feature_columns())
+    return f"WITH RECURSIVE {FEATURE_CTES} SELECT day, {picked} FROM shifted JOIN emas USING (day) WHERE {COMPLETE}"
 
 
 @query("feature_table", _feature_sql())

@@ -62,12 +62,15 @@ def ring_sums(errors: DataFrame, keys: Sequence[str], time: str, values: Sequenc
 
     The first rows are repeated after the end, so a block may run over it; the
     sum of a block is then the difference of two entries.  A series has one
-    row per date, which bounds the arrays.
+    row per date, which bounds the arrays; a repeated date would shift every block
+    and is an error.
     """
     series = Window.partitionBy(*keys)
+    again = F.lag(time).over(series.orderBy(time)) == F.col(time)
+    once = F.when(again, F.raise_error(F.lit("bootstrap: a date occurs twice in a series")).cast("bigint")).otherwise(0)
     placed = errors.select(
         *keys, *[F.col(v).cast("double").alias(v) for v in values],
-        (F.row_number().over(series.orderBy(time)) - 1).cast("bigint").alias("_pos"),
+        (F.row_number().over(series.orderBy(time)) - 1 + once).cast("bigint").alias("_pos"),
         F.count(F.lit(1)).over(series).alias("n"))
     turns = F.when(F.col("_pos") < F.least(F.lit(block_length), "n"), F.array(F.col("_pos"), F.col("_pos") + F.col("n"))) \
         .otherwise(F.array(F.col("_pos")))

@@ -73,6 +73,12 @@ def _train(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train")
 
 
+def fitted_rows(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """What statistics of the training rows were fitted on: (keys, first_day, last_day, rows); kept beside them."""
+    return _train(df).groupBy(*keys).agg(
+        F.min(time).alias("first_day"), F.max(time).alias("last_day"), F.count(F.lit(1)).alias("rows"))
+
+
 def minmax_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return _train(df).groupBy(*keys).agg(*[
         a for c in cols for a in (F.min(c).cast("double").alias(f"_lo_{c}"), F.max(c).cast("double").alias(f"_hi_{c}"))])

@@ -25,6 +25,8 @@ SELECTED = {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 4, "subsamp
 FULL_GRID = {"n_estimators": (300, 500), "learning_rate": (0.03, 0.05, 0.1), "max_depth": (4, 6, 8),
              "subsample": (0.7, 0.8), "colsample_bytree": (0.7, 0.8), "min_child_weight": (1, 3),
              "gamma": (0.0, 0.1)}
+# Boosting rounds between two checkpoints of the residuals: their lineage stays short, and few rounds wait for a write.
+ROUNDS = 50
 # Fits that run side by side: a boosting round is a row of short jobs, so several fill the executors one would leave idle.
 TOGETHER = 8
 # Horizons and windows of the direct protocol.
@@ -38,7 +40,7 @@ def regressor(params: Mapping[str, float], features: str = "features", label: st
         featuresCol=features, labelCol=label, predictionCol="prediction", seed=seed,
         maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
         subsamplingRate=float(p["subsample"]), featureSubsetStrategy=str(float(p["colsample_bytree"])),
-        minInstancesPerNode=int(p["min_child_weight"]), minInfoGain=float(p["gamma"]))
+        minInstancesPerNode=int(p["min_child_weight"]), minInfoGain=float(p["gamma"]), checkpointInterval=ROUNDS)
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -235,6 +235,24 @@ def no_leakage(train: DataFrame, test: DataFrame, keys: Sequence[str] = (), by:
     return both.where(F.coalesce(leaks, F.lit(True)))
 
 
+def fitted_leakage(fitted: DataFrame, split: DataFrame, keys: Sequence[str] = (), time: str = "day") -> DataFrame:
+    """Series whose statistics (``fitted``: first_day, last_day, rows) were not fitted on exactly the training rows of ``split``.
+
+    A day on or after the first test day, another number of rows, a series without
+    statistics and one without training rows are all reported.
+    """
+    is_train = F.col("split") == "train"
+    parts = split.groupBy(*keys).agg(
+        F.count_if(is_train).alias("train_rows"), F.min(F.when(is_train, F.col(time))).alias("train_first"),
+        F.max(F.when(is_train, F.col(time))).alias("train_last"), F.min(F.when(F.col("split") == "test", F.col(time))).alias("test_first"))
+    on = [KEY] if keys else []
+    left, right = (pack_keys(df, keys) for df in (parts, fitted))
+    both = unpack_keys(left.join(right, on, "full") if on else left.join(right, F.lit(True), "full"), keys)
+    same = ((F.col("rows") == F.col("train_rows")) & (F.col("first_day") == F.col("train_first"))
+            & (F.col("last_day") == F.col("train_last")) & (F.col("last_day") < F.coalesce("test_first", F.date_add("last_day", 1))))
+    return both.where(~F.coalesce(same, F.lit(False)))
+
+
 LEAST_TRAIN_DAYS, LEAST_TEST_DAYS = 180, 7  # fixed values
 
 

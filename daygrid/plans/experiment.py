@@ -15,6 +15,7 @@ from daygrid.operators.quality import (
     check_experiment, experiment_bounds, prediction_coverage, require, same_actuals_across_models, same_dates_across_models)
 from daygrid.operators.rollup import multi_scale
 from daygrid.plans.base import ROLLUP
+from daygrid.sources.sinks import append_run, expected_predictions
 from daygrid.stage import stage
 
 MODELS = ("boosted_trees", "arx", "persistence")
@@ -23,8 +24,11 @@ MODELS = ("boosted_trees", "arx", "persistence")
 def run_experiment(panel: DataFrame, keys: Sequence[str], time: str, value: str, features: Sequence[str],
                    models: Sequence[str], horizons: Sequence[int], train: tuple[date, date], test: tuple[date, date],
                    params: Mapping[str, float] | None = None, arx_features: Sequence[str] | None = None,
-                   ) -> tuple[DataFrame, DataFrame]:
-    """Validate, train every (model, horizon), check the results, and return predictions and metrics, both sorted."""
+                   folder: str | None = None, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Validate, train every (model, horizon), check the results, and return predictions and metrics, both sorted.
+
+    With ``folder`` the run is stored there with its contract.
+    """
     check_experiment(models, horizons, train, test, MODELS, HORIZONS)
     require(experiment_bounds(panel, keys, time, value, train, test), "series too short for the experiment")
     preds = stage(direct_forecast(panel, keys, time, value, features, test, train, models, horizons, params, arx_features))
@@ -34,6 +38,10 @@ def run_experiment(panel: DataFrame, keys: Sequence[str], time: str, value: str,
     off = prediction_coverage(preds, models, horizons, *test, train[1], keys)
     require(off.where((F.col("wrong_delta") > 0) | (F.col("n") == 0) | ~F.col("expected")), "predictions missing or of a wrong date")
     metrics = forecast_metrics(preds, [*keys, "model", "horizon"])
+    if folder:
+        contract = expected_predictions(panel.sparkSession, models, horizons, *test, panel.select(*keys) if keys else None)
+        settings = {"models": list(models), "horizons": list(horizons), "train": train, "test": test, "features": list(features), "params": dict(params or {})}
+        append_run(preds, metrics, settings, folder, run_id, contract)
     return preds.orderBy("horizon", "model", *keys, "target"), metrics.orderBy(*keys, "horizon", "mae")
 
 

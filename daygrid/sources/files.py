@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from daygrid.operators.blocks import attach
 from daygrid.operators.quality import QualityError
 from daygrid.operators.rollup import target_profile
 
@@ -81,17 +82,18 @@ def fingerprint_files(spark: SparkSession, folder: str, glob: str = "*", block:
 
 
 def source_manifest(daily: DataFrame, value: str, time: str, raw_rows: DataFrame, files: DataFrame,
-                    definition: str) -> DataFrame:
-    """One JSON document: period, target definition, counts, profile and file digests.
+                    definition: str, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """Summary and file digests of a run, two tables that share ``run_id``.
 
-    ``raw_rows`` is a one-row count of the event source; the file list has one
-    entry per input file.
+    The summary is one row: target definition, period, rows of the event source (``raw_rows``, a
+    one-row count), profile of the target, number and bytes of the files.  The
+    list has one row per input file, however many there are.
     """
     profile = target_profile(daily, value)
     period = daily.agg(F.min(time).alias("start"), F.max(time).alias("end"))
-    digests = files.agg(F.array_sort(F.collect_list(F.struct("file", "length", "sha256"))).alias("files"))
-    packed = lambda df: df.select(F.struct(*df.columns)).scalar()
-    return daily.sparkSession.range(1).select(F.to_json(F.struct(
-        F.lit(definition).alias("target"), packed(period).alias("period"),
-        raw_rows.scalar().alias("raw_rows"), packed(profile).alias("profile"),
-        packed(digests)["files"].alias("files"))).alias("manifest"))
+    sizes = files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    one = daily.sparkSession.range(1).select(
+        F.lit(run_id).alias("run_id"), F.lit(definition).alias("target"), raw_rows.scalar().alias("raw_rows"))
+    for part in (period, profile, sizes):
+        one = attach(one, part, [])
+    return one, files.select(F.lit(run_id).alias("run_id"), "file", "length", "sha256")

@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from daygrid.operators.blocks import join_keys
+from daygrid.operators.quality import require
 
 
 def write_outputs(products: Mapping[str, DataFrame], folder: str, partition_by: Mapping[str, Sequence[str]] | None = None,
@@ -21,17 +24,43 @@ def write_outputs(products: Mapping[str, DataFrame], folder: str, partition_by:
         (writer.partitionBy(*columns) if columns else writer).save(f"{folder}/{name}")
 
 
-def append_run(predictions: DataFrame, metrics: DataFrame, config: Mapping, folder: str, run_id: str | None = None) -> str:
+def expected_predictions(spark: SparkSession, models: Sequence[str], horizons: Sequence[int], start, end,
+                         series: DataFrame | None = None) -> DataFrame:
+    """The contract of a run: every (series, model, horizon, target day) that has to be stored."""
+    grid = (series if series is not None else spark.range(1).select()).distinct()
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(int(h)).alias("horizon")) for m in models for h in horizons])
+    return grid.select("*", F.inline(pairs)).select(
+        "*", F.explode(F.sequence(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"))).alias("target"))
+
+
+def missing_from(stored: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected rows without a stored one; a null is a value like any other."""
+    return join_keys(expected, stored.select(*expected.columns), expected.columns, how="left_anti")
+
+
+def append_run(predictions: DataFrame, metrics: DataFrame, config: Mapping, folder: str, run_id: str | None = None,
+               expected: DataFrame | None = None) -> str:
     """Store a run under its own id; an existing run is never overwritten.
 
-    The configuration is written last: a run counts only when all three tables
-    are there, so a broken-off run is never read.
+    ``expected`` is stored with the run and compared with what was stored, not with
+    what was meant to be: rows of it that the written predictions lack, or pairs that the written
+    metrics lack, are an error.  The configuration is written last: a run counts only
+    when all tables are there and the contract holds, so a broken run is never read.
     """
     run = run_id or f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}_{uuid.uuid4().hex[:8]}"
     spark = predictions.sparkSession
     settings = spark.range(1).select(F.lit(json.dumps(dict(config), default=str, ensure_ascii=False)).alias("config"))
-    for name, df in (("predictions", predictions), ("metrics", metrics), ("config", settings)):
-        df.write.mode("errorifexists").parquet(f"{folder}/{name}/run_id={run}")
+    place = lambda name: f"{folder}/{name}/run_id={run}"
+    for name, df in (("predictions", predictions), ("metrics", metrics), ("contract", expected)):
+        if df is not None:
+            df.write.mode("errorifexists").parquet(place(name))
+    if expected is not None:
+        contract = spark.read.parquet(place("contract"))
+        require(missing_from(spark.read.parquet(place("predictions")), contract), "stored predictions miss expected rows")
+        stored = spark.read.parquet(place("metrics"))
+        pairs = contract.select(*[c for c in contract.columns if c in stored.columns]).distinct()
+        require(missing_from(stored, pairs), "stored metrics miss expected pairs")
+    settings.write.mode("errorifexists").parquet(place("config"))
     return run
 
 

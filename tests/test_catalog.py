@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from daygrid import catalog
+from daygrid.catalog.registry import SQL_DIR
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -26,7 +27,7 @@ def db():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, db, name):
     df = catalog.QUERIES[name](spark, FOLDER)
-    result = db.sql(SQL[name])
+    result = db.sql(SQL[name].replace(SQL_DIR, FOLDER))
     assert sorted(df.columns) == sorted(result.columns)
     columns = sorted(df.columns)
     order = [result.columns.index(c) for c in columns]

@@ -180,6 +180,13 @@ def test_union_and_recut(spark):
 # --- bootstrap --------------------------------------------------------------------------------------
 
 
+def test_repeated_dates_are_refused(spark):
+    df = spark.createDataFrame([(d, 1.0, 2.0) for d in (*days("2024-01-01", 9), dt.date(2024, 1, 4))], "target date, y_real double, a double")
+    with pytest.raises(Exception, match="occurs twice"):
+        bootstrap_intervals(df, ["a"], resamples=5, block_length=3).collect()
+    assert bootstrap_intervals(df.distinct(), ["a"], resamples=5, block_length=3).first().bias == -1.0
+
+
 def test_block_indices_are_consecutive_and_repeatable(spark):
     lengths = spark.createDataFrame([(20,)], "n bigint")
     first = block_indices(lengths, 4, 5).orderBy("resample", "place").collect()
@@ -378,7 +385,7 @@ def test_registered_models_have_the_full_parameters(monkeypatch):
         return fake
 
     table = type("Table", (), {"select": lambda self, *c: self, "join": lambda self, *a: self, "unionByName": lambda self, o: self})()
-    for name, result in (("_features", table), ("panel", table), ("stage", table), ("direct_task", table), ("direct_forecast", table),
+    for name, result in (("_features", table), ("panel", table), ("stage", table), ("rounded", table), ("direct_task", table), ("direct_forecast", table),
                          ("boosted_trees", (table, None)), ("feature_importance", table), ("grid_search", (table, {})),
                          ("direct_arx", table), ("ablation", (table, table)), ("run_experiment", (table, table))):
         monkeypatch.setattr(forecasting, name, seen(name, result))

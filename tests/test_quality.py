@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import days, rows
 from daygrid.operators.calendar import complete_calendar, expected_row_count, reindex_calendar
 from daygrid.operators.quality import (
-    QualityError, apply_domain_rules, as_integer_target, check_experiment, check_outputs, conflicting_duplicates,
+    QualityError, apply_domain_rules, fitted_leakage, as_integer_target, check_experiment, check_outputs, conflicting_duplicates,
     date_gaps, dedup_events, drop_conflicts, duplicate_keys, integer_target, invalid_keys, null_counts, numeric_columns,
     numeric_target, prediction_coverage, read_sentinel, require, require_columns, require_non_empty, require_one_to_one,
     same_dates_across_models)
@@ -19,7 +19,8 @@ from daygrid.sources.files import fingerprint_files, select_station_files, sourc
 from daygrid.sources.readers import (
     check_daily_base, load_multi_horizon_results, scan_drop_malformed, scan_events_csv, scan_hourly_csv, scan_parquet,
     unique_events)
-from daygrid.sources.sinks import append_run, read_runs, write_outputs
+from daygrid.operators.learning import fitted_rows
+from daygrid.sources.sinks import append_run, expected_predictions, missing_from, read_runs, write_outputs
 
 HOURLY = "day date, hour string, rain double, temp double, wind_dir double, gust double, wind_speed double"
 D1 = dt.date(2024, 1, 1)
@@ -210,9 +211,12 @@ def test_fingerprints_and_manifest(spark, tmp_path):
     assert rows(fingerprint_files(spark, str(tmp_path), "part-*", block=1000), "file") == [
         (f"{p}/part-0", len(p) * 5000, hashlib.sha256(p.encode() * 5000).hexdigest()) for p in ("a b", "c")]
     daily = spark.createDataFrame([(D1, 2), (dt.date(2024, 1, 2), 0)], "day date, y bigint")
-    doc = json.loads(source_manifest(daily, "y", "day", spark.range(3).agg(F.count("*")), files, "events per day").first()[0])
-    assert doc["raw_rows"] == 3 and doc["profile"]["zero_days"] == 1 and doc["period"]["start"] == "2024-01-01"
-    assert doc["files"][0]["sha256"] == hashlib.sha256(b"hello").hexdigest()
+    files = fingerprint_files(spark, str(tmp_path))  # a listing is as old as its table
+    summary, listed = source_manifest(daily, "y", "day", spark.range(3).agg(F.count("*")), files, "events per day", "r7")
+    doc = summary.first()
+    assert doc["raw_rows"] == 3 and doc["zero_days"] == 1 and doc["start"] == D1 and doc["run_id"] == "r7"
+    assert doc["files"] == listed.count() == 3 and doc["bytes"] == 5 + 4 * 5000
+    assert rows(listed, "file")[-1] == ("r7", "f.bin", 5, hashlib.sha256(b"hello").hexdigest())
 
 
 def test_runs_are_never_overwritten(spark, tmp_path):
@@ -228,6 +232,34 @@ def test_runs_are_never_overwritten(spark, tmp_path):
     assert metrics.count() == 1 and back.count() == 6
 
 
+def test_broken_runs_stay_invisible(spark, tmp_path):
+    """A run whose stored rows miss one of the contract has no marker, so nobody reads it."""
+    p = preds(spark)
+    m = spark.createDataFrame([(r.model, r.horizon, 1.0) for r in p.select("model", "horizon").distinct().collect()], "model string, horizon int, mae double")
+    whole = p.select("model", "horizon", "target")
+    run = append_run(p, m, {}, str(tmp_path), "good", whole)
+    late = whole.withColumn("target", F.date_add("target", 400))
+    for broken, metrics, contract in ((p.limit(1), m, whole), (p, m, late), (p, m.limit(0), whole)):
+        with pytest.raises(QualityError, match="stored"):
+            append_run(broken, metrics, {}, str(tmp_path), expected=contract)
+    for name in ("predictions", "metrics", "contract"):
+        assert {r.run_id for r in read_runs(spark, str(tmp_path), name).collect()} == {run}
+    grid = expected_predictions(spark, ["a", "b"], [1, 7], "2024-01-01", "2024-01-03", spark.createDataFrame([("x",), (None,), ("x",)], "k string"))
+    assert grid.count() == 2 * 2 * 2 * 3 and grid.columns == ["k", "model", "horizon", "target"]
+    assert missing_from(grid, grid).count() == 0 and missing_from(grid.where("k = 'x'"), grid).count() == 12
+
+
+def test_statistics_fitted_on_other_rows_are_found(spark):
+    days_ = spark.createDataFrame([(k, dt.date(2024, 1, 1 + i), float(i)) for k in ("a", None) for i in range(20)], "k string, day date, y double")
+    split = days_.withColumn("split", F.when(F.col("y") < 15, "train").otherwise("test"))
+    fitted = fitted_rows(split, ["k"], "day")
+    assert fitted_leakage(fitted, split, ["k"]).count() == 0 == fitted_leakage(fitted_rows(split, [], "day"), split).count()
+    everything = fitted_rows(split.withColumn("split", F.lit("train")), ["k"], "day")
+    assert fitted_leakage(everything, split, ["k"]).count() == 2 and fitted_leakage(fitted.where("k = 'a'"), split, ["k"]).count() == 1
+    assert fitted_leakage(fitted.withColumn("rows", F.col("rows") - 1), split, ["k"]).count() == 2
+    assert fitted_leakage(fitted, split.withColumn("split", F.lit("test")), ["k"]).count() == 2
+
+
 def test_daily_base_checks(spark):
     target = spark.createDataFrame([(D1, 1), (dt.date(2024, 1, 2), 2)], "day date, y bigint")
     weather = spark.createDataFrame([(D1, 3.0, 1.0)], "day date, rain double, dir_angle double")
