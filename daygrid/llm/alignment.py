@@ -310,7 +310,7 @@ def frequent(counts: DataFrame, most: int = SENT) -> DataFrame:
 
 
 def with_pair_counts(found: DataFrame, base: int, most: int = SENT) -> DataFrame:
-    """Digests with n_best, the links whose pair is the most frequent of its B id, and count_sum, the counts of all links."""
+    """Stored digests with n_best, the links whose pair is the most frequent of its B id, and count_sum, the counts of all links."""
     counts = stage(pair_counts(found, base))
     often = stage(frequent(counts, most))
     each = found.select("row", F.inline(F.arrays_zip("pairs", "times"))).withColumnRenamed("pairs", "pair")
