@@ -7,14 +7,15 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from daygrid.catalog.registry import (
-    METRICS, MODELS, PREDICTIONS, SUITE, SUITE_SCOPES, near_sql, predictions, query, rounded, series, stage)
+    METRICS, MODELS, PREDICTIONS, SUITE, SUITE_SCOPES, TEST, near_sql, predictions, query, rounded, series, stage, table)
 from daygrid.catalog.statistics import _GAMMA_TAIL
 from daygrid.operators.bootstrap import (
     block_indices, block_sensitivity, bootstrap_differences, bootstrap_intervals)
 from daygrid.operators.evaluate import (
     band_mae, best_by_group, forecast_metrics, monthly_metrics, residual_diagnostics, residual_table, winner_counts)
-from daygrid.operators.forecast import persistence_suite
+from daygrid.operators.forecast import moving_average_forecast, persistence, persistence_suite
 from daygrid.operators.joins import models_side_by_side
+from daygrid.plans.base import daily_target
 
 RESAMPLES = 10_000
 PAIRS = list(combinations(MODELS, 2))
@@ -178,6 +179,41 @@ def sensitivity(spark, sf_dir):
     return rounded(block_sensitivity(_wide(spark, sf_dir), PAIRS, resamples=RESAMPLES))
 
 
+_NATION_MEANS = ", ".join(f"""m{length} AS (SELECT a.nation, r, sum(z.d - a.d) / any_value(a.n) AS d
+  FROM (SELECT n, r, ('0x' || substr(md5(concat_ws(':', 42, r, j)), 1, 12))::BIGINT % n AS s, least({length}, n - j * {length}) AS size
+        FROM (SELECT DISTINCT n FROM placed), range({RESAMPLES}) t(r), range(1000) u(j) WHERE j * {length} < n) b
+  JOIN prefix a ON a.n = b.n AND a.pos = s JOIN prefix z ON z.nation = a.nation AND z.pos = s + size GROUP BY ALL)""" for length in (7, 30))
+
+
+@query("block_sensitivity_by_nation", f"""
+WITH counts AS (SELECT c_nationkey AS nation, CAST(o_orderdate AS DATE) AS day, count(*) AS c
+                FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+cal AS (SELECT nation, CAST(d AS DATE) AS day FROM (SELECT DISTINCT nation FROM counts),
+        (SELECT unnest(generate_series((SELECT min(day) FROM counts), (SELECT max(day) FROM counts), INTERVAL 1 DAY)) AS d)),
+daily AS (SELECT nation, day, coalesce(c, 0) AS y FROM cal LEFT JOIN counts USING (nation, day)),
+models AS (SELECT nation, day AS target, y, lag(y) OVER (PARTITION BY nation ORDER BY day) AS a,
+                  avg(y) OVER (PARTITION BY nation ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS b FROM daily),
+loss AS (SELECT nation, target, abs(y - a) - abs(y - b) AS d FROM models
+         WHERE target BETWEEN DATE '{TEST[0]}' - CAST(nation AS INTEGER) AND DATE '{TEST[1]}'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY target) - 1 AS pos, count(*) OVER (PARTITION BY nation) AS n FROM loss),
+ring AS (SELECT * FROM placed UNION ALL SELECT * REPLACE (pos + n AS pos) FROM placed),
+prefix AS (SELECT nation, n, pos, coalesce(sum(d) OVER (PARTITION BY nation ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM ring),
+point AS (SELECT nation, avg(d) AS delta FROM loss GROUP BY 1), {_NATION_MEANS}
+""" + " UNION ALL ".join(f"""SELECT CAST(nation AS BIGINT) AS nation, 'persistence' AS model_a, 'mean_7d' AS model_b, CAST({length} AS BIGINT) AS block_days,
+  {near_sql('any_value(delta)')} AS delta_mae, {near_sql('quantile_cont(d, 0.025)')} AS low, {near_sql('quantile_cont(d, 0.975)')} AS high,
+  quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_zero FROM m{length} JOIN point USING (nation) GROUP BY nation""" for length in (7, 30)))
+def sensitivity_by_nation(spark, sf_dir):
+    """One series per nation, each with a test window (and so a ring) of another length."""
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderdate")
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    events = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), F.col("o_orderdate").alias("start"))
+    daily = stage(daily_target(events, ["nation"]))
+    long = persistence(daily, ["nation"], "day", "y").unionByName(moving_average_forecast(daily, ["nation"], "day", "y", 7))
+    cut = long.where(f"target BETWEEN date_sub(DATE '{TEST[0]}', int(nation)) AND DATE '{TEST[1]}'")
+    wide = models_side_by_side(cut, ["persistence", "mean_7d"], ["nation"])
+    return rounded(block_sensitivity(wide, [("persistence", "mean_7d")], ["nation"], resamples=RESAMPLES, block_lengths=(7, 30)))
+
+
 @query("block_indices", f"""
 WITH {_WIDE} SELECT r AS resample, CAST(sum(pos) AS BIGINT) AS index_sum, count(*) AS n FROM (
   SELECT b.r, (b.s + o) % (SELECT count(*) FROM wide) AS pos FROM {_starts_sql(7)} b, range(7) q(o) WHERE o < size) GROUP BY r""")

@@ -4,19 +4,30 @@ The mean of a resample is a sum of block sums, and a block sum is a difference
 of two running sums.  So a resample needs only its block starts and the running
 sums of the series; the resampled series itself is never built.  All models and
 all pairs share the same starts (a paired design).
+
+A series is shuffled once and stays where it is: its running sums are closed for
+the longest block and serve all block lengths, and the resamples are drawn beside
+them.  The digests behind the starts depend on (seed, resample, block) alone, so a
+task computes them once for all of its series, whatever their lengths.
+
+Defined results: one row per date and series, a repeated date is an error; missing
+errors add nothing to a sum but keep their place; a null key is a series like any
+other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from daygrid.functions.columns import unpivot
-from daygrid.operators.blocks import attach
 
-# Resamples computed together from one copy of a series' sums.
+# Resamples drawn together: bounds the arrays of a long series.
 CHUNK = 250
+# Digests a task keeps for its next series (32 MB); those beyond are computed again.
+MOST_KEPT = 1 << 22
 # Two-sided 95% percentile interval.
 INTERVAL = (0.025, 0.975)
 
@@ -57,61 +68,102 @@ def block_indices(lengths: DataFrame, resamples: int, block_length: int, seed: i
                     F.pmod(F.col("start") + F.col("_o"), F.col("n")).alias("index")))
 
 
-def ring_sums(errors: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], block_length: int) -> DataFrame:
-    """One row per series: its length ``n`` and, per value, the running sums over the closed ring.
+def _resampler(keys, time, values, resamples, lengths, seed, summary, rooted):
+    """The function of one series; it names nothing of this package, which workers need not hold.
 
-    The first rows are repeated after the end, so a block may run over it; the
-    sum of a block is then the difference of two entries.  A series has one
-    row per date, which bounds the arrays; a repeated date would shift every block
-    and is an error.
+    ``summary`` gives one row per block length with point and interval of every
+    value, otherwise one row per resample.
     """
-    series = Window.partitionBy(*keys)
-    again = F.lag(time).over(series.orderBy(time)) == F.col(time)
-    once = F.when(again, F.raise_error(F.lit("bootstrap: a date occurs twice in a series")).cast("bigint")).otherwise(0)
-    placed = errors.select(
-        *keys, *[F.col(v).cast("double").alias(v) for v in values],
-        (F.row_number().over(series.orderBy(time)) - 1 + once).cast("bigint").alias("_pos"),
-        F.count(F.lit(1)).over(series).alias("n"))
-    turns = F.when(F.col("_pos") < F.least(F.lit(block_length), "n"), F.array(F.col("_pos"), F.col("_pos") + F.col("n"))) \
-        .otherwise(F.array(F.col("_pos")))
-    ring = placed.withColumn("_at", F.explode(turns))
-    before = series.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ring.select(*keys, "n", "_at", *[F.coalesce(F.sum(v).over(before), F.lit(0.0)).alias(v) for v in values])
-    packed = sums.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_at", *values))).alias("_ring"))
-    return packed.select(*keys, "n", *[F.col("_ring")[v].alias(v) for v in values])
+    chunk, most, levels, kept = CHUNK, MOST_KEPT, INTERVAL, {}
+
+    def digests(first, last, blocks):
+        import hashlib
+
+        import numpy as np
+
+        known = kept.get(first)
+        have = 0 if known is None else known.shape[1]
+        if have < blocks:
+            more = np.array([[int.from_bytes(hashlib.md5(b"%d:%d:%d" % (seed, r, b)).digest()[:6], "big") for b in range(have, blocks)]
+                             for r in range(first, last)], dtype=np.int64)
+            known = more if known is None else np.concatenate([known, more], axis=1)
+            if sum(d.size for at, d in kept.items() if at != first) + known.size <= most:
+                kept[first] = known
+        return known[:, :blocks]
+
+    def run(series):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        series = series.sort_by(time).combine_chunks()
+        n, at = series.num_rows, series[time]
+        if pc.any(pc.equal(at.slice(1), at.slice(0, n - 1))).as_py():
+            raise ValueError("bootstrap: a date occurs twice in a series")
+        again = min(max(lengths), n)
+        sums = []
+        for v in values:
+            e = series[v].fill_null(0.0).to_numpy()
+            sums.append(np.concatenate([[0.0], np.cumsum(np.concatenate([e, e[:again]]))]))
+        parts = []
+        for length in lengths:
+            blocks = -(-n // length)
+            sizes = np.minimum(length, n - length * np.arange(blocks))
+            means = np.empty((len(values), resamples))
+            for first in range(0, resamples, chunk):
+                last = min(first + chunk, resamples)
+                start = digests(first, last, blocks) % n
+                stop = start + sizes
+                for i, total in enumerate(sums):
+                    means[i, first:last] = (total[stop] - total[start]).sum(axis=1) / n
+            rows = 1 if summary else resamples
+            own = series.select(keys).take(pa.array(np.zeros(rows, dtype=np.int64))).columns if keys else []
+            columns = [*own, pa.array(np.full(rows, n, dtype=np.int64))]
+            if not summary:
+                parts.append(pa.table([*columns, pa.array(np.arange(rows, dtype=np.int32)), *[pa.array(m) for m in means]], names=names))
+                continue
+            columns.append(pa.array([length], pa.int64()))
+            for v, m in zip(values, means):
+                point = pc.mean(series[v]).as_py()
+                if v in rooted:
+                    m, point = np.sqrt(np.maximum(m, 0.0)), None if point is None else point ** 0.5
+                low, high = np.percentile(m, [100 * p for p in levels])
+                columns += [pa.array([point], pa.float64()), pa.array([low]), pa.array([high])]
+            parts.append(pa.table(columns, names=names))
+        return pa.concat_tables(parts)
+
+    names = [*keys, "n", *(["block_days", *[f"{v}{end}" for v in values for end in ("", "_low", "_high")]] if summary else ["resample", *values])]
+    return run, names
+
+
+def _by_series(errors: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], resamples: int,
+               lengths: Sequence[int], seed: int, summary: bool, rooted: Sequence[str] = ()) -> DataFrame:
+    for length in lengths:
+        _check_sizes(resamples, length)
+    rows = errors.select(*keys, time, *[F.col(v).cast("double").alias(v) for v in values])
+    run, names = _resampler(list(keys), time, list(values), resamples, [int(x) for x in lengths], seed, summary, frozenset(rooted))
+    kinds = {"n": T.LongType(), "block_days": T.LongType(), "resample": T.IntegerType()}
+    schema = T.StructType([rows.schema[c] if c in keys else T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def bootstrap_means(errors: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], resamples: int,
                     block_length: int, seed: int = 42) -> DataFrame:
-    """Mean of every value column in every resample: (keys, resample, values).
+    """Mean of every value column in every resample: (keys, n, resample, values).
 
-    ``errors`` has one complete row per series and date.  A series shorter
-    than a block is resampled as one block cut to its own length.  The series'
-    sums travel to ``CHUNK`` resamples at a time; nothing else is shuffled.
+    ``errors`` has one complete row per series and date, which bounds a group.  A
+    series shorter than a block is resampled as one block cut to its own length.
     """
-    _check_sizes(resamples, block_length)
-    rings = ring_sums(errors, keys, time, values, block_length)
-    chunks = rings.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // CHUNK))))
-    first = F.col("_chunk") * CHUNK
-    last = F.least(first + CHUNK, F.lit(resamples)) - 1
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / block_length) - 1)
-    drawn = (chunks.repartition(*keys, "_chunk")
-             .withColumn("resample", F.explode(F.sequence(first, last)))
-             .withColumn("_from", F.transform(
-                 blocks, lambda b: block_start(F.lit(seed), F.col("resample"), b, F.col("n"))))
-             .withColumn("_to", F.transform("_from", lambda s, i: s + block_size(i, F.col("n"), block_length))))
+    return _by_series(errors, keys, time, values, resamples, [block_length], seed, summary=False)
 
-    def total(v: str) -> Column:
-        pick = lambda at: F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.get(F.col(v), i.cast("int")))
-        return pick("_to") - pick("_from")
 
-    return drawn.select(*keys, "n", "resample", *[(total(v) / F.col("n")).alias(v) for v in values])
+def bootstrap_summary(errors: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], resamples: int,
+                      block_lengths: Sequence[int], seed: int = 42, rooted: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, block_days) and per value its mean and 95% interval (``v``, ``v_low``, ``v_high``).
 
-
-def _interval(value: Column) -> Column:
-    """Percentile interval; a group holds one number per resample."""
-    return F.percentile(value, F.array(*[F.lit(p) for p in INTERVAL]))
+    Values in ``rooted`` are reported as roots of their means.
+    """
+    return _by_series(errors, keys, time, values, resamples, block_lengths, seed, True, rooted)
 
 
 def bootstrap_intervals(wide: DataFrame, models: Sequence[str], keys: Sequence[str] = (), time: str = "target",
@@ -119,45 +171,30 @@ def bootstrap_intervals(wide: DataFrame, models: Sequence[str], keys: Sequence[s
     """95% intervals of MAE, RMSE and bias per model from a side-by-side table (y_real, one column per model)."""
     e = {m: F.col("y_real") - F.col(m) for m in models}
     rows = wide.select(*keys, time, *[c for i, m in enumerate(models) for c in (
-        F.abs(e[m]).alias(f"abs{i}"), (e[m] * e[m]).alias(f"sq{i}"), e[m].alias(f"res{i}"))])
-    values = [f"{kind}{i}" for i in range(len(models)) for kind in ("abs", "sq", "res")]
-    means = bootstrap_means(rows, keys, time, values, resamples, block_length, seed)
-    limits = means.groupBy(*keys).agg(*[c for i in range(len(models)) for c in (
-        _interval(F.col(f"abs{i}")).alias(f"mae{i}"), _interval(F.sqrt(f"sq{i}")).alias(f"rmse{i}"),
-        _interval(F.col(f"res{i}")).alias(f"bias{i}"))])
-    points = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[c for i in range(len(models)) for c in (
-        F.avg(f"abs{i}").alias(f"pmae{i}"), F.sqrt(F.avg(f"sq{i}")).alias(f"prmse{i}"),
-        F.avg(f"res{i}").alias(f"pbias{i}"))])
-    both = attach(points, limits, keys)
-    return unpivot(both, list(keys), [({"model": m}, {"n": "n"} | {
-        name: text for kind in ("mae", "rmse", "bias") for name, text in (
-            (kind, f"p{kind}{i}"), (f"{kind}_low", f"{kind}{i}[0]"), (f"{kind}_high", f"{kind}{i}[1]"))})
+        F.abs(e[m]).alias(f"mae{i}"), (e[m] * e[m]).alias(f"rmse{i}"), e[m].alias(f"bias{i}"))])
+    values = [f"{kind}{i}" for i in range(len(models)) for kind in ("mae", "rmse", "bias")]
+    found = bootstrap_summary(rows, keys, time, values, resamples, [block_length], seed,
+                              rooted=[f"rmse{i}" for i in range(len(models))])
+    return unpivot(found, list(keys), [({"model": m}, {"n": "n"} | {
+        f"{kind}{end}": f"{kind}{i}{end}" for kind in ("mae", "rmse", "bias") for end in ("", "_low", "_high")})
         for i, m in enumerate(models)])
 
 
-def bootstrap_differences(wide: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = (),
-                          time: str = "target", resamples: int = 10_000, block_length: int = 7,
-                          seed: int = 42) -> DataFrame:
-    """Paired MAE differences a - b with intervals; a negative value favours a."""
+def block_sensitivity(wide: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = (),
+                      time: str = "target", resamples: int = 10_000, block_lengths: Sequence[int] = (7, 14, 30),
+                      seed: int = 42) -> DataFrame:
+    """Paired MAE differences a - b with intervals for several block lengths, from one pass; a negative value favours a."""
     loss = lambda m: F.abs(F.col("y_real") - F.col(m))
     values = [f"d{i}" for i in range(len(pairs))]
     rows = wide.select(*keys, time, *[(loss(a) - loss(b)).alias(v) for v, (a, b) in zip(values, pairs)])
-    means = bootstrap_means(rows, keys, time, values, resamples, block_length, seed)
-    limits = means.groupBy(*keys).agg(*[_interval(F.col(v)).alias(f"i{v}") for v in values])
-    points = rows.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
-    both = attach(points, limits, keys)
-    return unpivot(both, list(keys), [({"model_a": a, "model_b": b}, {
-        "delta_mae": v, "low": f"i{v}[0]", "high": f"i{v}[1]",
-        "excludes_zero": f"i{v}[0] > 0 OR i{v}[1] < 0"}) for v, (a, b) in zip(values, pairs)])
+    found = bootstrap_summary(rows, keys, time, values, resamples, block_lengths, seed)
+    return unpivot(found, list(keys), [({"model_a": a, "model_b": b}, {
+        "delta_mae": v, "low": f"{v}_low", "high": f"{v}_high", "excludes_zero": f"{v}_low > 0 OR {v}_high < 0",
+        "block_days": "block_days"}) for v, (a, b) in zip(values, pairs)])
 
 
-def block_sensitivity(wide: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = (),
-                      time: str = "target", resamples: int = 10_000, block_lengths: Sequence[int] = (7, 14, 30),
-                      seed: int = 42) -> DataFrame:
-    """:func:`bootstrap_differences` repeated for several block lengths."""
-    out = None
-    for length in block_lengths:
-        part = bootstrap_differences(wide, pairs, keys, time, resamples, length, seed).withColumn(
-            "block_days", F.lit(int(length)).cast("bigint"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def bootstrap_differences(wide: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = (),
+                          time: str = "target", resamples: int = 10_000, block_length: int = 7,
+                          seed: int = 42) -> DataFrame:
+    """:func:`block_sensitivity` for one block length."""
+    return block_sensitivity(wide, pairs, keys, time, resamples, [block_length], seed).drop("block_days")

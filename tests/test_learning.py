@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import days, rows
 from daygrid.operators.bootstrap import (
-    block_indices, block_sensitivity, block_starts, bootstrap_differences, bootstrap_intervals)
+    block_indices, block_sensitivity, block_starts, bootstrap_differences, bootstrap_intervals, bootstrap_means)
 from daygrid.operators.evaluate import (
     band_mae, best_by_group, forecast_metrics, metrics_by_split, monthly_metrics, pivot_metric, residual_diagnostics,
     winner_counts)
@@ -239,6 +239,31 @@ def test_bootstrap_by_key_with_different_lengths(spark):
     assert sorted(r.block_days for r in table.collect()) == [3, 5]
 
 
+def test_bootstrap_shuffles_a_series_once(spark):
+    _, one = wide(spark, 30)
+    keyed = one.withColumn("key", F.lit(None).cast("int")).unionByName(one.withColumn("key", F.lit(7)))
+    pairs = [("a", "b"), ("b", "a")]
+    for df in (block_sensitivity(keyed, pairs, ["key"], resamples=300, block_lengths=(3, 7, 40)), bootstrap_intervals(keyed, ["a", "b"], ["key"], resamples=300)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and plan.count("Join") == 0
+    table = block_sensitivity(keyed, pairs, ["key"], resamples=300, block_lengths=(3, 7, 40)).collect()
+    cells = lambda key: sorted((r.block_days, r.model_a, r.delta_mae, r.low, r.high) for r in table if r.key == key)
+    assert len(table) == 12 and cells(None) == cells(7)
+    alone = [r for length in (3, 7, 40) for r in bootstrap_differences(one, pairs, resamples=300, block_length=length).collect()]
+    assert sorted((r.low, r.high) for r in alone) == sorted(c[3:] for c in cells(7))
+
+
+def test_resample_means_and_edges(spark):
+    pdf, df = wide(spark, 23)
+    means = bootstrap_means(df, [], "target", ["a"], 260, 7).orderBy("resample").collect()
+    idx = np.array([r["index"] for r in block_indices(spark.createDataFrame([(23,)], "n bigint"), 260, 7).orderBy("resample", "place").collect()])
+    assert [r.a for r in means] == pytest.approx(list(pdf.a.to_numpy()[idx.reshape(260, 23)].mean(axis=1)))
+    assert bootstrap_intervals(df.limit(0), ["a"], resamples=5).count() == 0
+    gaps = df.withColumn("a", F.when(F.col("a") < 50, F.col("a")))
+    known = pdf[pdf.a < 50]
+    assert bootstrap_intervals(gaps, ["a"], resamples=5).first().mae == pytest.approx((known.y_real - known.a).abs().mean())
+
+
 def test_side_by_side_drops_incomplete_dates(spark):
     data = [("a", 1, d, d, 1.0, 2.0) for d in days("2024-01-01", 3)] + [("b", 1, d, d, 9.0, 3.0) for d in days("2024-01-02", 3)]
     got = rows(models_side_by_side(spark.createDataFrame(data, PRED), ["a", "b"]).select("y_real", "a", "b"))
