@@ -17,7 +17,7 @@ from daygrid.operators.joins import (
     models_side_by_side)
 from daygrid.operators.learning import direct_task
 from daygrid.operators.quality import (
-    apply_domain_rules, common_dates, conflicting_duplicates, date_gaps, dedup_events,
+    Guard, apply_domain_rules, common_dates, conflicting_duplicates, date_gaps, dedup_events,
     drop_conflicts, duplicate_keys, experiment_bounds, integer_target, invalid_keys, no_leakage, null_counts,
     numeric_target, prediction_coverage, read_sentinel, same_actuals_across_models, same_dates_across_models,
     require, require_one_to_one, target_covers_predictions)
@@ -25,7 +25,7 @@ from daygrid.operators.rollup import daily_count, target_profile
 from daygrid.operators.shape import (
     aligned_series, drop_incomplete, filter_equal, filter_period, filter_year, last_year_window, monthly_balance,
     rename_and_label, scatter_table, threshold_contingency)
-from daygrid.plans.base import clean_hourly, daily_base, daily_target, daily_weather
+from daygrid.plans.base import clean_hourly, daily_base, daily_weather
 from daygrid.sources.files import fingerprint_files, source_manifest
 from daygrid.sources.readers import scan_events_csv, scan_hourly_csv, unique_events
 from daygrid.sources.sinks import write_outputs
@@ -458,11 +458,13 @@ def ingest(spark, sf_dir):
     early = F.year("day") < 1998
     write_outputs({"events_a": orders.where("o_orderkey % 2 = 0"), "events_b": orders.where("o_orderkey % 2 <> 0").select("o_orderdate", "o_orderkey"),
                    "hours_a": hourly.where(early), "hours_b": hourly.where(~early).select("g", "r", "t", "hour", "day")}, folder, fmt="csv")
-    events = unique_events(scan_events_csv(spark, [f"{folder}/events_a", f"{folder}/events_b"], "o_orderkey", "o_orderdate"), "1900-01-01", "2999-12-31")
+    events = unique_events(scan_events_csv(spark, [f"{folder}/events_a", f"{folder}/events_b"], "o_orderkey", "o_orderdate"), "1900-01-01", "2999-12-31", events_guard := Guard())
     read = scan_hourly_csv(spark, [f"{folder}/hours_a", f"{folder}/hours_b"], {"t": "temp", "r": "rain", "g": "gust"}, "day", "hour")
-    clean = clean_hourly(read.withColumns({"wind_dir": F.lit(None).cast("double"), "wind_speed": F.lit(1.0)}), [])
-    weather = stage(daily_weather(clean, []))
-    target = stage(daily_target(events, []))
+    clean = clean_hourly(read.withColumns({"wind_dir": F.lit(None).cast("double"), "wind_speed": F.lit(1.0)}), [], hours_guard := Guard())
+    weather = hours_guard.stage(daily_weather(clean, []))
+    # The daily counts are the write that carries the rules; the calendar reads them twice.
+    counts = events_guard.stage(daily_count(events.withColumn("day", F.to_date("start")), [], "day"))
+    target = stage(complete_calendar(counts, [], "day", fill={"y": 0}))
     require_one_to_one(target, weather, ["day"])
     built = stage(daily_base(target, weather, []))
     require(expected_row_count(built, [], "day"), "the daily base has gaps")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from daygrid.functions.columns import SENTINEL_LIMIT, all_of, any_of
 from daygrid.operators.blocks import KEY, join_keys, pack_keys, previous_day, unpack_keys
+from daygrid.stage import stage
 
 
 class QualityError(ValueError):
@@ -21,6 +23,46 @@ def require(violations: DataFrame, message: str, examples: int = 5) -> None:
         raise QualityError(f"{message}; examples={[tuple(r) for r in rows]}")
 
 
+class Guard:
+    """Rules that the write of a result checks by the way, without a pass of their own.
+
+    :meth:`watch` adds counters of the violations to a step of the plan; :meth:`stage`
+    writes a result that was built on the watched steps, and raises when a rule
+    was broken.  A guard belongs to one write.
+    """
+
+    def __init__(self) -> None:
+        self._watched: list[tuple[Observation, list[str], str | None]] = []
+
+    def watch(self, df: DataFrame, rules: dict[str, Column], shown: Sequence[str], empty: str | None = None) -> DataFrame:
+        """``rules`` name what is wrong where a condition holds; ``shown`` columns make the example, ``empty`` refuses a table without rows."""
+        seen = Observation()
+        example = F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})
+        counters = [c for i, broken in enumerate(rules.values()) for c in (
+            F.count_if(broken).alias(f"n{i}"), F.min(F.when(broken, example)).alias(f"example{i}"))]
+        self._watched.append((seen, list(rules), empty))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counters)
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        stored = stage(df)
+        for seen, messages, empty in self._watched:
+            try:
+                found = seen.get
+            except Py4JJavaError:
+                # Of a table the optimizer knows to be empty nothing runs, and the counters have no values.
+                if not stored.isEmpty():
+                    raise
+                found = {"rows": 0}
+            if not found["rows"]:
+                if empty:
+                    raise QualityError(empty)
+                continue
+            for i, message in enumerate(messages):
+                if found[f"n{i}"]:
+                    raise QualityError(f"{message}; rows={found[f'n{i}']}, example={found[f'example{i}']}")
+        return stored
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
     if missing:
@@ -68,6 +110,20 @@ def collapse_identical(df: DataFrame, cols: Sequence[str], values: Sequence[str]
     return df.select(*cols, *values).distinct()
 
 
+def collapse_versions(df: DataFrame, cols: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per key and ``_conflict``: whether its copies differ, a null being a value of its own.
+
+    Smallest, largest and number of known values combine on the map side, so a
+    key is shuffled as one row per task, once for the check and the result.
+    """
+    seen = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"), *[c for i, v in enumerate(values) for c in (
+        F.min(v).alias(f"_low{i}"), F.max(v).alias(f"_high{i}"), F.count(v).alias(f"_known{i}"))])
+    differ = [c for i in range(len(values)) for c in (
+        F.coalesce(F.col(f"_low{i}") != F.col(f"_high{i}"), F.lit(False)),
+        (F.col(f"_known{i}") > 0) & (F.col(f"_known{i}") < F.col("_copies")))]
+    return seen.select(*cols, *[F.col(f"_low{i}").alias(v) for i, v in enumerate(values)], any_of(differ).alias("_conflict"))
+
+
 def drop_conflicts(df: DataFrame, cols: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Keys whose copies agree, collapsed to one row; keys with conflicts are left out."""
     versions = df.select(*cols, *values).distinct()

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from daygrid.functions.columns import any_of
 from daygrid.operators.calendar import complete_calendar
 from daygrid.operators.joins import left_by_day
-from daygrid.operators.quality import apply_domain_rules, conflicting_duplicates, collapse_identical, invalid_keys, require
+from daygrid.operators.quality import Guard, apply_domain_rules, collapse_versions, require
 from daygrid.operators.rollup import Measure, daily_count, daily_measures
 
 # How each hourly reading becomes a daily measure.
@@ -30,14 +31,20 @@ def daily_target(events: DataFrame, keys: Sequence[str], start=None, end=None) -
     return complete_calendar(counts, keys, "day", fill={"y": 0}, start=start, end=end)
 
 
-def clean_hourly(hourly: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
-    """Refuse bad keys and conflicting copies, collapse identical ones, null impossible readings."""
+def clean_hourly(hourly: DataFrame, keys: Sequence[str], guard: Guard | None = None) -> DataFrame:
+    """Refuse bad keys and conflicting copies, collapse identical ones, null impossible readings.
+
+    One shuffle of the raw rows serves the checks and the result.  With a ``guard``
+    they run in the write of the result, without one in a job of their own, at once.
+    """
     identity = [*keys, "day", "hour"]
-    if check:
-        require(invalid_keys(hourly, identity), "null day or hour")
-        require(conflicting_duplicates(hourly, identity, READINGS), "conflicting copies of an hour")
-    single = collapse_identical(hourly, identity, READINGS)
-    return apply_domain_rules(single, READINGS, non_negative=("rain", "gust", "wind_speed"),
+    single = collapse_versions(hourly, identity, READINGS)
+    rules = {"null day or hour": any_of([F.col(c).isNull() for c in identity]), "conflicting copies of an hour": F.col("_conflict")}
+    if guard:
+        single = guard.watch(single, rules, identity)
+    else:
+        require(single.where(any_of(list(rules.values()))), "null day or hour, or conflicting copies of an hour")
+    return apply_domain_rules(single.drop("_conflict"), READINGS, non_negative=("rain", "gust", "wind_speed"),
                               ranges={"wind_dir": (0.0, 360.0)})
 
 

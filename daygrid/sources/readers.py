@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from daygrid.functions.columns import scan_clean
 from daygrid.operators.quality import (
-    dedup_events, duplicate_keys, invalid_keys, read_sentinel, require, require_columns, require_non_empty)
+    Guard, dedup_events, duplicate_keys, invalid_keys, read_sentinel, require, require_columns, require_non_empty)
 from daygrid.operators.shape import filter_period
 
 
@@ -41,12 +41,20 @@ def scan_events_csv(spark: SparkSession, paths: Sequence[str], event_id: str, st
                       F.expr(f"try_cast(`{start}` AS timestamp_ntz)").alias("start"))
 
 
-def unique_events(events: DataFrame, start, end) -> DataFrame:
-    """Valid events, one per id, inside the period; null ids or starts are refused."""
-    require_non_empty(events, "the event source holds no records")
-    # Before copies collapse: a good copy must not hide an unreadable one.
-    require(invalid_keys(events, ["event_id", "start"]), "null event ids or unreadable starts")
-    return filter_period(dedup_events(events, ["event_id"], "start"), "start", start, end)
+def unique_events(events: DataFrame, start, end, guard: Guard | None = None) -> DataFrame:
+    """Valid events, one per id, inside the period; null ids or starts are refused, also those beside a good copy.
+
+    With a ``guard`` the rules run in the write of the result, and the source is read and shuffled once.
+    """
+    if guard is None:
+        require_non_empty(events, "the event source holds no records")
+        # Before copies collapse: a good copy must not hide an unreadable one.
+        require(invalid_keys(events, ["event_id", "start"]), "null event ids or unreadable starts")
+        return filter_period(dedup_events(events, ["event_id"], "start"), "start", start, end)
+    single = events.groupBy("event_id").agg(F.min("start").alias("start"), F.count_if(F.col("start").isNull()).alias("_unreadable"))
+    rules = {"null event ids or unreadable starts": F.col("event_id").isNull() | (F.col("_unreadable") > 0)}
+    single = guard.watch(single, rules, ["event_id", "start"], empty="the event source holds no records")
+    return filter_period(single.drop("_unreadable"), "start", start, end)
 
 
 def scan_hourly_csv(spark: SparkSession, paths: Sequence[str], names: dict[str, str], day: str, hour: str,
