@@ -8,11 +8,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from daygrid.catalog.registry import (
-    METRICS, PANEL, PREDICTIONS, SERIES, SPARSE, SUITE, SUITE_SCOPES, TEST, base, near_sql, panel, predictions,
+    COMMON_TEST, METRICS, MODELS as BASELINES, PANEL, PREDICTIONS, SERIES, SPARSE, SUITE, SUITE_SCOPES, TEST, base, near_sql, panel, predictions,
     query, rounded, series, sparse, stage)
 from daygrid.catalog.timeseries import COMPLETE, FEATURE_CTES
 from daygrid.operators.blocks import join_keys
-from daygrid.operators.evaluate import metrics_by_split
+from daygrid.operators.evaluate import forecast_metrics, metrics_by_split
 from daygrid.operators.forecast import (
     baseline_table, moving_average_forecast, persistence, persistence_suite, recut_predictions)
 from daygrid.operators.learning import (
@@ -22,9 +22,10 @@ from daygrid.operators.models import (
     FULL_GRID, HORIZONS, ablation, boosted_trees, direct_arx, direct_forecast, feature_importance, grid_search)
 from daygrid.operators.quality import QualityError, fitted_leakage
 from daygrid.operators.windows import lead_target
-from daygrid.plans.experiment import MODELS, run_experiment
+from daygrid.plans.experiment import MODELS, recut_experiment, run_experiment
 from daygrid.plans.features import CALENDAR, LINEAR_FEATURES, build_features, feature_columns
-from daygrid.sources.sinks import append_run, read_runs
+from daygrid.sources.readers import load_multi_horizon_results
+from daygrid.sources.sinks import append_run, read_runs, write_outputs
 from daygrid.stage import checkpoint_root
 
 CUT = "2000-01-01"
@@ -154,6 +155,29 @@ def recut(spark, sf_dir):
         F.avg(F.abs(F.col("y_real") - F.col("y_pred"))).alias("mae")))
 
 
+@query("load_multi_horizon_results", f"""
+WITH {SUITE}, common AS (SELECT * FROM suite WHERE scope = 'common_352'),
+errors AS (SELECT model, horizon, {METRICS} FROM common GROUP BY ALL)
+SELECT model, CAST(horizon AS BIGINT) AS horizon, origin, target, y_real, y_pred, n, mae FROM common JOIN errors USING (model, horizon)""")
+def multi_horizon_results(spark, sf_dir):
+    """Predictions of four horizons and their metrics are stored, read back and held against pairs and period."""
+    folder = f"{checkpoint_root(spark)}/results-{uuid.uuid4().hex}"
+    suite = persistence_suite(stage(series(spark, sf_dir)), [], "day", "y", SUITE_SCOPES)
+    preds = stage(suite.where("scope = 'common_352'").drop("scope"))
+    write_outputs({"predictions": preds, "metrics": forecast_metrics(preds, ["model", "horizon"])}, folder, {"predictions": ["horizon"]})
+    metrics, back = load_multi_horizon_results(spark, folder, ["persistence"], HORIZONS, COMMON_TEST)
+    found = back.join(metrics.select("model", "horizon", "n", "mae"), ["model", "horizon"])
+    return rounded(found.select("model", "horizon", "origin", "target", "y_real", "y_pred", "n", "mae"))
+
+
+@query("recut_experiment", f"""
+WITH {PREDICTIONS} SELECT model, CAST(horizon AS BIGINT) AS horizon, {METRICS} FROM preds
+WHERE target BETWEEN DATE '2000-09-01' AND DATE '2000-12-31' GROUP BY ALL""")
+def recut_metrics(spark, sf_dir):
+    """A new test period: complete there, evaluated anew, nothing refitted."""
+    return rounded(recut_experiment(predictions(spark, sf_dir), [], BASELINES, [1], "2000-09-01", "2000-12-31")[1])
+
+
 # --- trained models (checked by tests, not by SQL) -----------------------------------------------
 
 

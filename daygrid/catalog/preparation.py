@@ -23,12 +23,12 @@ from daygrid.operators.quality import (
     require, require_one_to_one, target_covers_predictions)
 from daygrid.operators.rollup import daily_count, target_profile
 from daygrid.operators.shape import (
-    aligned_series, drop_incomplete, filter_equal, filter_period, filter_year, last_year_window, monthly_balance,
+    aligned_series, drop_incomplete, equal_to, filter_period, filter_year, last_year_window, monthly_balance,
     rename_and_label, scatter_table, threshold_contingency)
 from daygrid.plans.base import clean_hourly, daily_base, daily_weather
 from daygrid.sources.files import fingerprint_files, source_manifest
-from daygrid.sources.readers import scan_events_csv, scan_hourly_csv, unique_events
-from daygrid.sources.sinks import write_outputs
+from daygrid.sources.readers import load_daily_base, scan_drop_malformed, scan_events_csv, scan_hourly_csv, unique_events
+from daygrid.sources.sinks import check_stored, write_outputs
 from daygrid.stage import checkpoint_root
 
 LINE = ["l_orderkey", "l_linenumber"]
@@ -353,8 +353,9 @@ def leakage(spark, sf_dir):
 SELECT CAST(year(l_shipdate) AS BIGINT) AS year, CAST(month(l_shipdate) AS BIGINT) AS month, count(*) AS n FROM lineitem
 WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND l_tax = 0.02 AND l_discount = 0.05 GROUP BY ALL""")
 def balance(spark, sf_dir):
-    rows = filter_equal(table(spark, sf_dir, "lineitem"),
-                        {"l_returnflag": "N", "l_linestatus": "O", "l_tax": 0.02, "l_discount": 0.05})
+    """The filter is on the stored columns, so all four equalities reach the file."""
+    chosen = equal_to({"l_returnflag": "N", "l_linestatus": "O", "l_tax": 0.02, "l_discount": 0.05})
+    rows = table(spark, sf_dir, "lineitem", "l_shipdate", where=chosen)
     return rows.groupBy(F.year("l_shipdate").cast("bigint").alias("year"),
                         F.month("l_shipdate").cast("bigint").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -471,6 +472,33 @@ def ingest(spark, sf_dir):
     return rounded(built.select("day", "y", "temp", "rain", "gust", "n_records"))
 
 
+@query("drop_malformed", f"""
+SELECT lpad(CAST(o_custkey AS VARCHAR), 14, '0') AS tax_id, CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n, {near_sql('sum(o_totalprice)')} AS value
+FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 GROUP BY ALL""")
+def malformed(spark, sf_dir):
+    """Orders written as CSV with unreadable months and values among them; such lines are skipped, ids keep their zeros."""
+    folder = f"{checkpoint_root(spark)}/malformed-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate", "o_totalprice")
+    month = F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(F.month("o_orderdate").cast("string"))
+    value = F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    lines = orders.select(
+        F.lpad(F.col("o_custkey").cast("string"), 14, "0").alias("tax_id"), F.col("o_orderpriority").alias("modality"), F.col("o_orderstatus").alias("flow"),
+        F.lit("item").alias("item"), F.lit("detail").alias("detail"), F.year("o_orderdate").alias("year"), month.alias("month"), value.alias("value"))
+    write_outputs({"balance": lines}, folder, fmt="csv")
+    read = scan_drop_malformed(spark, [f"{folder}/balance"])
+    return rounded(read.groupBy("tax_id", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")))
+
+
+@query("load_daily_base", f"WITH {BASE} SELECT day, y, {near_sql('temp')} AS temp, {near_sql('rain')} AS rain, n_records FROM base")
+def load_base(spark, sf_dir):
+    """The base is stored, its folder checked, and read back under its rules."""
+    folder = f"{checkpoint_root(spark)}/base-{uuid.uuid4().hex}"
+    write_outputs({"daily": base(spark, sf_dir)}, folder)
+    check_stored(spark, folder, ["daily"])
+    loaded = load_daily_base(spark, f"{folder}/daily", [], "day", ["y", "temp", "rain"])
+    return rounded(loaded.select("day", "y", "temp", "rain", "n_records"))
+
+
 @query("calendar_complete", """
 WITH counts AS (SELECT o_orderpriority AS key, CAST(o_orderdate AS DATE) AS day, count(*) AS c FROM orders GROUP BY ALL),
 cal AS (SELECT key, CAST(d AS DATE) AS day FROM (SELECT DISTINCT key FROM counts),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -259,6 +260,21 @@ def prediction_coverage(
                     F.coalesce(ok, F.lit(False)).alias("ok")))
 
 
+def require_complete_results(preds: DataFrame, models: Sequence[str], horizons: Sequence[int], start, end,
+                             keys: Sequence[str] = ()) -> None:
+    """Long predictions hold every (model, horizon) of the lists on every day from ``start`` to ``end``, and no other row."""
+    values = ["model", "horizon", "origin", "target", "y_real", "y_pred"]
+    require_columns(preds, [*keys, *values])
+    require(preds.where(any_of([F.col(c).isNull() for c in values])), "predictions with missing values")
+    require(duplicate_keys(preds, [*keys, "model", "horizon", "target"]), "a model predicts a date twice")
+    first = F.lit(str(start)).cast("date")
+    wrong = preds.where(~F.col("target").between(first, F.lit(str(end)).cast("date")))
+    require(wrong, "predictions outside the test period")
+    cutoff = date.fromisoformat(str(start)) - timedelta(days=max(horizons, default=1) - 1)  # origins follow from the horizons
+    require(prediction_coverage(preds, models, horizons, start, end, cutoff, keys).where(~F.col("ok")),
+            "predictions missing, of a wrong date or of a pair that is not expected")
+
+
 def same_actuals_across_models(preds: DataFrame, by: Sequence[str] = ("horizon",), tolerance: float = 1e-3) -> DataFrame:
     """Target dates on which the models were scored against different truths."""
     spread = F.max("y_real") - F.min("y_real")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrid.functions.columns import all_of, between_days, month_date, unit_scale, within_period
 from daygrid.operators.blocks import attach, with_position
@@ -16,9 +16,13 @@ def filter_period(df: DataFrame, ts: str, start, end) -> DataFrame:
     return df.where(between_days(ts, start, end) if is_date else within_period(ts, start, end))
 
 
+def equal_to(values: Mapping[str, object]) -> Column:
+    """Conjunction of equalities; as the ``where`` of a scan it reaches the file."""
+    return all_of([F.col(c) == F.lit(v) for c, v in values.items()])
+
+
 def filter_equal(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    """Conjunction of equalities."""
-    return df.where(all_of([F.col(c) == F.lit(v) for c, v in values.items()]))
+    return df.where(equal_to(values))
 
 
 def filter_year(df: DataFrame, time: str, year: int) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from daygrid.operators.association import pearson_with
 from daygrid.operators.evaluate import forecast_metrics
+from daygrid.operators.forecast import recut_predictions
 from daygrid.operators.joins import inner_by_month
 from daygrid.operators.models import HORIZONS, direct_forecast
 from daygrid.operators.quality import (
-    check_experiment, experiment_bounds, prediction_coverage, require, same_actuals_across_models, same_dates_across_models)
+    check_experiment, experiment_bounds, prediction_coverage, require, require_complete_results, same_actuals_across_models,
+    same_dates_across_models)
 from daygrid.operators.rollup import multi_scale
 from daygrid.plans.base import ROLLUP
 from daygrid.sources.sinks import append_run, expected_predictions
@@ -45,6 +47,14 @@ def run_experiment(panel: DataFrame, keys: Sequence[str], time: str, value: str,
     return preds.orderBy("horizon", "model", *keys, "target"), metrics.orderBy(*keys, "horizon", "mae")
 
 
+def recut_experiment(preds: DataFrame, keys: Sequence[str], models: Sequence[str], horizons: Sequence[int],
+                     start, end) -> tuple[DataFrame, DataFrame]:
+    """Stored predictions on a new test period, checked for completeness there, and their metrics; nothing is refitted."""
+    part = recut_predictions(preds, start, end)
+    require_complete_results(part, models, horizons, start, end, keys)
+    return part, forecast_metrics(part, [*keys, "model", "horizon"])
+
+
 def correlation_table(daily: DataFrame, keys: Sequence[str], time: str, variables: Sequence[str],
                       labels: Mapping[str, str], direction: tuple[str, str] | None = None,
                       monthly: tuple[DataFrame, str] | None = None, target: str = "y") -> DataFrame:
@@ -60,4 +70,4 @@ def correlation_table(daily: DataFrame, keys: Sequence[str], time: str, variable
     return table.withColumn("label", F.try_element_at(lookup, F.col("variable")))
 
 
-__all__ = ["MODELS", "correlation_table", "run_experiment"]
+__all__ = ["MODELS", "correlation_table", "recut_experiment", "run_experiment"]

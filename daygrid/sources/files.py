@@ -44,23 +44,34 @@ def select_station_files(spark: SparkSession, folder: str, glob: str, year_patte
     return [r.path for r in rows]
 
 
-def _digests(block: int):
-    """The worker function: reads each listed file in blocks, so memory does not grow with a file."""
+def _opener():
+    """A function for workers: a listed file as a stream, its bytes as they are stored or ``unpacked``."""
 
-    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+    def stream(path: str, unpacked: bool = False):
         import re
         from urllib.parse import quote
 
         from pyarrow.fs import FileSystem
 
+        local = re.sub("^file:/+", "/", path)
+        system, place = FileSystem.from_uri(local if local.startswith("/") else quote(path, safe=":/"))
+        return system.open_input_stream(place, compression="detect" if unpacked else None)
+
+    return stream
+
+
+def _digests(block: int):
+    """The worker function: reads each listed file in blocks, so memory does not grow with a file."""
+    opened = _opener()
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
         for frame in frames:
             found = []
             for path in frame["path"]:
-                local = re.sub("^file:/+", "/", path)
-                system, place = FileSystem.from_uri(local if local.startswith("/") else quote(path, safe=":/"))
                 total = hashlib.sha256()
-                with system.open_input_stream(place) as stream:
+                with opened(path) as stream:
                     while data := stream.read(block):
                         total.update(data)
                 found.append(total.hexdigest())
@@ -69,6 +80,35 @@ def _digests(block: int):
     return digest
 
 
+def _first_lines(block: int):
+    """The worker function: the first line of each listed file that is not blank, read no further than that."""
+    opened = _opener()
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                with opened(path, unpacked=True) as stream:
+                    data = stream.read(block).lstrip()
+                    while b"\n" not in data and (more := stream.read(block)):
+                        data = (data + more).lstrip()
+                found.append(data.split(b"\n", 1)[0].rstrip())
+            yield frame.assign(header=found)[["header", "path"]]
+
+    return read
+
+
+def files_by_header(spark: SparkSession, paths: Sequence[str], block: int = 1 << 16) -> list[list[str]]:
+    """The files behind ``paths`` (files, folders or patterns), those with one first line together, in one job.
+
+    Files without any line are left out.  Only names reach the driver, as with every scan.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).select("path")
+    lines = files.repartition(F.xxhash64("path")).mapInPandas(_first_lines(block), "header binary, path string")
+    groups = lines.where(F.length("header") > 0).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [row["paths"] for row in groups.orderBy("header").collect()]
+
+
 def fingerprint_files(spark: SparkSession, folder: str, glob: str = "*", block: int = BLOCK_BYTES) -> DataFrame:
     """(file, length, sha256) of every file under a folder, whatever its size; ``file`` is the path below the folder.
 

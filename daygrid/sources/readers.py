@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,8 +11,10 @@ from pyspark.sql import types as T
 
 from daygrid.functions.columns import scan_clean
 from daygrid.operators.quality import (
-    Guard, dedup_events, duplicate_keys, invalid_keys, read_sentinel, require, require_columns, require_non_empty)
+    Guard, dedup_events, duplicate_keys, invalid_keys, read_sentinel, require, require_columns, require_complete_results,
+    require_non_empty)
 from daygrid.operators.shape import filter_period
+from daygrid.sources.files import files_by_header
 
 
 def scan_parquet(spark: SparkSession, path: str | Sequence[str], cols: Sequence[str] | None = None,
@@ -28,8 +31,16 @@ def scan_parquet(spark: SparkSession, path: str | Sequence[str], cols: Sequence[
 
 
 def _by_header(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Text columns of CSV files that each have a header; files are matched by name, whatever the order of their columns."""
-    tables = [spark.read.option("header", True).csv(path) for path in paths]
+    """Text columns of CSV files that each have a header; files are matched by name, whatever the order of their columns.
+
+    Files with one header are one scan, so thousands of yearly files stay a plan of a few scans.
+    """
+    reader = lambda: spark.read.option("header", True)
+    literal = lambda path: re.sub(r"([\[\]{}*?\\])", r"\\\1", path)  # a listed name is no pattern
+    groups = [[literal(p) for p in group] for group in files_by_header(spark, paths)]
+    if not groups:
+        return reader().csv(list(paths))
+    tables = [reader().schema(reader().csv(group[0]).schema).csv(group) for group in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=False), tables)
 
 
@@ -100,11 +111,18 @@ def load_daily_base(spark: SparkSession, path: str, keys: Sequence[str], time: s
     return check_daily_base(scan_parquet(spark, path), keys, time, required)
 
 
-def load_multi_horizon_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Metrics and long predictions written by :func:`daygrid.sources.sinks.write_outputs`."""
+def load_multi_horizon_results(spark: SparkSession, folder: str, models: Sequence[str] = (), horizons: Sequence[int] = (),
+                               test: tuple | None = None, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Metrics and long predictions written by :func:`daygrid.sources.sinks.write_outputs`.
+
+    With ``models``, ``horizons`` and ``test`` the predictions have to be exactly those: every day of
+    the test period once for every pair (and series), nothing missing, nothing else.
+    """
     metrics = spark.read.parquet(f"{folder}/metrics")
     preds = require_columns(spark.read.parquet(f"{folder}/predictions"),
                             ["model", "horizon", "origin", "target", "y_real", "y_pred"])
+    if test is not None:
+        require_complete_results(preds, models, horizons, *test, keys)
     return metrics, preds
 
 

@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from daygrid.operators.blocks import join_keys
-from daygrid.operators.quality import require
+from daygrid.operators.quality import QualityError, require
 
 
 def write_outputs(products: Mapping[str, DataFrame], folder: str, partition_by: Mapping[str, Sequence[str]] | None = None,
@@ -24,6 +25,23 @@ def write_outputs(products: Mapping[str, DataFrame], folder: str, partition_by:
         (writer.partitionBy(*columns) if columns else writer).save(f"{folder}/{name}")
 
 
+def check_stored(spark: SparkSession, folder: str, required: Sequence[str]) -> None:
+    """Every required product is stored under ``folder`` as parquet and holds rows; the error lists all that are not."""
+    missing, empty = [], []
+    for name in sorted(set(required)):
+        try:
+            found = spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            missing.append(name)
+            continue
+        if found.isEmpty():
+            empty.append(name)
+    if missing or empty:
+        raise QualityError(f"missing products: {missing}; empty products: {empty}")
+
+
 def expected_predictions(spark: SparkSession, models: Sequence[str], horizons: Sequence[int], start, end,
                          series: DataFrame | None = None) -> DataFrame:
     """The contract of a run: every (series, model, horizon, target day) that has to be stored."""

@@ -1,6 +1,7 @@
 """Violations, guards and sources."""
 
 import datetime as dt
+import gzip
 import hashlib
 import json
 
@@ -15,12 +16,13 @@ from daygrid.operators.quality import (
     numeric_target, prediction_coverage, read_sentinel, require, require_columns, require_non_empty, require_one_to_one,
     same_dates_across_models)
 from daygrid.plans.base import clean_hourly, daily_base, daily_target, daily_weather
-from daygrid.sources.files import fingerprint_files, select_station_files, source_manifest
+from daygrid.plans.experiment import recut_experiment
+from daygrid.sources.files import files_by_header, fingerprint_files, select_station_files, source_manifest
 from daygrid.sources.readers import (
     check_daily_base, load_multi_horizon_results, scan_drop_malformed, scan_events_csv, scan_hourly_csv, scan_parquet,
     unique_events)
 from daygrid.operators.learning import fitted_rows
-from daygrid.sources.sinks import append_run, expected_predictions, missing_from, read_runs, write_outputs
+from daygrid.sources.sinks import append_run, check_stored, expected_predictions, missing_from, read_runs, write_outputs
 
 HOURLY = "day date, hour string, rain double, temp double, wind_dir double, gust double, wind_speed double"
 D1 = dt.date(2024, 1, 1)
@@ -219,6 +221,63 @@ def test_fingerprints_and_manifest(spark, tmp_path):
     assert rows(listed, "file")[-1] == ("r7", "f.bin", 5, hashlib.sha256(b"hello").hexdigest())
 
 
+def test_digests_are_of_the_stored_bytes(spark, tmp_path):
+    """A compressed file is not unpacked first."""
+    data = gzip.compress(b"hello" * 100)
+    (tmp_path / "a.csv.gz").write_bytes(data)
+    assert rows(fingerprint_files(spark, str(tmp_path))) == [("a.csv.gz", len(data), hashlib.sha256(data).hexdigest())]
+
+
+def test_files_with_one_header_are_one_scan(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"h{i}.csv").write_text("data,hora,t\n" f"2024-01-0{i + 1},00,{i}.5\n")
+    (tmp_path / "odd [1] {x}.csv").write_text("\r\n t,hora,data\r\n9.5,00,2024-01-08\r\n".replace(" t", "t"))
+    (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"t,hora,data\n8.5,00,2024-01-09\n"))
+    (tmp_path / "empty.csv").write_text("")
+    assert sorted(len(g) for g in files_by_header(spark, [str(tmp_path)], block=3)) == [2, 6]
+    hourly = scan_hourly_csv(spark, [str(tmp_path)], {"t": "temp"}, "data", "hora")
+    assert [r[2] for r in rows(hourly, "day")] == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 9.5, 8.5]
+    assert hourly._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_stored_products_are_checked(spark, tmp_path):
+    full = spark.createDataFrame([(1,)], "k int")
+    write_outputs({"a": full, "b": full.limit(0)}, str(tmp_path))
+    check_stored(spark, str(tmp_path), ["a"])
+    with pytest.raises(QualityError, match=r"missing products: \['c'\]; empty products: \['b'\]"):
+        check_stored(spark, str(tmp_path), ["a", "b", "c"])
+
+
+def test_loaded_results_are_complete(spark, tmp_path):
+    """Every pair on every day once, nothing else; each way to break it is an error."""
+    cells = [(m, h, D1 + dt.timedelta(d - h), D1 + dt.timedelta(d), 1.0, 2.0) for m in "ab" for h in (1, 3) for d in range(4)]
+    kind = "model string, horizon int, origin date, target date, y_real double, y_pred double"
+    last = D1 + dt.timedelta(3)
+    metrics = spark.createDataFrame([("a", 1.0)], "model string, mae double")
+
+    def load(found, models=("a", "b"), end=last):
+        folder = str(tmp_path / str(load.calls))
+        load.calls += 1
+        write_outputs({"predictions": spark.createDataFrame(found, kind), "metrics": metrics}, folder)
+        return load_multi_horizon_results(spark, folder, models, (1, 3), (D1, end))[1].count()
+
+    load.calls = 0
+    assert load(cells) == 16
+    changed = lambda i, value: [*cells[:3], (*cells[3][:i], value, *cells[3][i + 1:]), *cells[4:]]
+    broken = {
+        "missing values": changed(5, None), "twice": [*cells, cells[0]], "outside": changed(3, dt.date(2030, 1, 1)),
+        "predictions missing": cells[1:], "not expected": [*cells, ("c", *cells[0][1:])], "wrong date": changed(2, D1)}
+    for message, found in broken.items():
+        with pytest.raises(QualityError, match=message):
+            load(found)
+    with pytest.raises(QualityError):
+        load(cells, models=("a", "b", "d"))
+    part, errors = recut_experiment(spark.createDataFrame(cells, kind), [], ["a", "b"], [1, 3], D1 + dt.timedelta(1), last)
+    assert part.count() == 12 and {r.n for r in errors.collect()} == {3}
+    with pytest.raises(QualityError, match="predictions missing"):
+        recut_experiment(spark.createDataFrame(cells, kind), [], ["a", "b"], [1, 3], D1, last + dt.timedelta(1))
+
+
 def test_runs_are_never_overwritten(spark, tmp_path):
     p = preds(spark)
     m = spark.createDataFrame([("a", 1.0)], "model string, mae double")
