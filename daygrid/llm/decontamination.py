@@ -9,12 +9,14 @@ partitions whose items could fit into it.  No contained item escapes, however
 long the document is.  Candidates are verified by exact shingle containment.
 
 The sketches travel to the tasks only while the counted shingles of all items
-stay below ``MOST_SENT``; beyond it the lookup is a shuffled join on the
-values of the sketches, and only the pairs it finds are verified.
+stay below ``MOST_SENT``; beyond it the lookup is a shuffled join on (size
+partition, value of a sketch), and only the pairs it finds are verified.
 
-Defined results: an item without words is in no document; one with fewer words
-than a shingle is found only as a whole document of the same words; null texts
-are empty; repeated items or documents give the same pairs once; an empty table
+An item with fewer words than a shingle is contained where its words follow one
+another anywhere in a document: it has one shingle, the whole sequence, which is
+looked up among the sequences of as many words.  Only lengths that items have are formed.
+
+Defined results: an item without words is in no document; null texts are empty; repeated items or documents give the same pairs once; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -27,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from daygrid.llm.catalog import query, table
-from daygrid.llm.near_duplicates import sets_sql
-from daygrid.llm.shingles import long_lists, shingle_sets
+from daygrid.llm.cells import cell, listed_cells
+from daygrid.llm.near_duplicates import sets_sql, words_sql
+from daygrid.llm.shingles import long_lists, shingle_sets, word_sequences
 from daygrid.stage import stage
 
 WIDTH = 5
@@ -99,15 +102,76 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
         pairs = _sent(docs, known, width, share)
     else:
         pairs = _joined(docs, known, width, share)
+    short = stage(_short_items(items, width).distinct())
+    lengths = sorted(r["m"] for r in short.select("m").distinct().collect())  # fewer than ``width`` numbers
+    if lengths:
+        pairs = pairs.unionByName(_short_pairs(docs, short, lengths, most_sent))
     return pairs.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("n_shared", "n_item")).alias("best")).select(
         "doc_id", "item_id", F.col("best.n_item").alias("n_item"), F.col("best.n_shared").alias("n_shared"))
 
 
+def _short_items(items: DataFrame, width: int) -> DataFrame:
+    """(key, m, h) of every item with m words, fewer than a shingle; ``h`` is the hash of its whole sequence."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, found in zip(batch.column(0).to_pylist(), word_sequences(batch.column(1), list(range(1, width + 1)))):
+                m = sum(len(s) > 0 for s in found)  # a text has sequences of every length up to its own
+                if 0 < m < width:
+                    out.append((key, m, found[m - 1].view(np.int64)[0].item()))
+            keys, sizes, hashes = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], ["key", "m", "h"])
+
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(build, "key long, m int, h long")
+
+
+def _sequences(docs: DataFrame, lengths: list[int], wanted=None) -> DataFrame:
+    """(doc_id, m, h): the distinct sequences of m words of every document; with ``wanted``, a broadcast of sorted hashes
+    by length, only those listed."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for i, found in enumerate(word_sequences(batch.column(1), lengths)):
+                for m, s in zip(lengths, found):
+                    s = s if wanted is None else s[_listed(s, wanted.value[m])]
+                    rows.append(np.full(len(s), i))
+                    sizes.append(np.full(len(s), m, np.int32))
+                    hashes.append(s)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes)),
+                pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "m", "h"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, m int, h long")
+
+
+def _listed(s: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of ``s`` are in the sorted, non-empty ``among``."""
+    return among[np.minimum(np.searchsorted(among, s), len(among) - 1)] == s
+
+
+def _short_pairs(docs: DataFrame, short: DataFrame, lengths: list[int], most_sent: int) -> DataFrame:
+    """Items of fewer words than a shingle, wherever their words follow one another."""
+    kinds = stage(short.select("m", "h").distinct())
+    wanted = None
+    if kinds.count() <= most_sent:
+        sent = kinds.toArrow()  # at most MOST_SENT numbers
+        sizes, hashes = sent["m"].to_numpy(), sent["h"].to_numpy().view(np.uint64)
+        wanted = docs.sparkSession.sparkContext.broadcast({m: np.sort(hashes[sizes == m]) for m in lengths})
+    found = _sequences(docs, lengths, wanted)
+    one = F.lit(1).cast("long")
+    return found.join(short.withColumnRenamed("key", "item_id"), ["m", "h"]).select(
+        "doc_id", "item_id", one.alias("n_item"), one.alias("n_shared"))
+
+
 def _sent(docs: DataFrame, known: DataFrame, width: int, share) -> DataFrame:
-    rows = known.collect()  # at most MOST_SENT hashes, counted above
+    rows = known.toArrow()  # at most MOST_SENT hashes, counted above
+    flat = np.concatenate([*[c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in rows["hashes"].chunks], np.zeros(0, np.uint64)])
+    ends = np.cumsum(rows["n"].to_numpy())
     lookup = docs.sparkSession.sparkContext.broadcast(
-        [(r["key"], np.array(r["hashes"], np.int64).view(np.uint64)) for r in rows])
+        [(k, flat[b - n:b]) for k, n, b in zip(rows["key"].to_pylist(), rows["n"].to_pylist(), ends.tolist())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Partitions([k for k, _ in lookup.value], [np.sort(s) for _, s in lookup.value], share)
@@ -123,18 +187,25 @@ def _sent(docs: DataFrame, known: DataFrame, width: int, share) -> DataFrame:
 
 
 def _joined(docs: DataFrame, known: DataFrame, width: int, share) -> DataFrame:
-    """Any number of items: document shingles meet sketch values in a join, and only the pairs found are verified."""
+    """Any number of items: document shingles meet sketch values of the size partitions that could fit, and only the pairs found are verified."""
     numbered = stage(known.withColumn("text_key", F.xxhash64(F.array_sort("hashes"))))
     bodies = numbered.dropDuplicates(["text_key"]).select("text_key", "n", "hashes")
     most = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
     unsigned = F.transform("hashes", lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # the order of unsigned hashes
     sketches = bodies.select("text_key", F.col("n").alias("n_item"), F.explode(
         F.slice(F.array_sort(unsigned), F.lit(1), most.cast("int"))).alias("u"))
-    sketches = sketches.select("text_key", "n_item", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h"))
+    size_class = lambda n: F.length(F.bin(n))  # powers of two
+    sketches = stage(sketches.select("text_key", "n_item", size_class(F.col("n_item")).alias("size_class"),
+                                     F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h")))
     sets = stage(_long_sets(docs, "doc_id", width))
-    long_docs = sets.select(F.col("key").alias("doc_id"), F.col("n").alias("n_doc"), F.explode("hashes").alias("h"))
+    least = bodies.groupBy(size_class(F.col("n")).alias("c")).agg(F.min("n").alias("n")).collect()  # at most 64 rows
+    classes = F.array(*[F.struct(F.lit(r["c"]).alias("c"), F.lit(_needed(r["n"], share)).alias("least")) for r in least])
+    could_fit = F.transform(F.filter(classes, lambda x: x["least"] <= F.col("n")), lambda x: x["c"])
+    in_class = sets.select(F.col("key").alias("doc_id"), F.col("n").alias("n_doc"), F.explode("hashes").alias("h"), could_fit.alias("cs"))
+    long_docs = in_class.select("doc_id", "n_doc", "h", F.explode("cs").alias("size_class"))
+    long_docs = long_docs.join(listed_cells(sketches, "size_class", "h"), cell("size_class", "h") == F.col("cell"), "left_semi")
     fits = F.col("n_doc") * share[1] >= F.col("n_item") * share[0]
-    pairs = stage(long_docs.join(sketches, "h").where(fits).select("doc_id", "text_key").distinct())
+    pairs = stage(long_docs.join(sketches, ["size_class", "h"]).where(fits).select("doc_id", "text_key").distinct())
     whole = pairs.join(bodies.select("text_key", F.col("n").alias("n_item"), F.col("hashes").alias("item")), "text_key")
     both = whole.join(sets.select("key", "hashes"), F.col("doc_id").eqNullSafe(F.col("key")))
     found = (both.select("doc_id", "text_key", "n_item", F.size(F.array_intersect("hashes", "item")).cast("long").alias("n_shared"))
@@ -145,9 +216,13 @@ def _joined(docs: DataFrame, known: DataFrame, width: int, share) -> DataFrame:
 
 OP4 = f"""
 WITH d AS ({sets_sql('documents', 'doc_id', WIDTH)}), i AS ({sets_sql('benchmark', 'item_id', WIDTH)}),
-sizes AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1)
+sizes AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1),
+short AS (SELECT DISTINCT item_id, len(w) AS m, array_to_string(w, ' ') AS g FROM ({words_sql('benchmark', 'item_id')}) WHERE len(w) BETWEEN 1 AND {WIDTH - 1}),
+parts AS (SELECT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g
+          FROM ({words_sql('documents', 'doc_id')}) JOIN (SELECT DISTINCT m FROM short) ON len(w) >= m)
 SELECT doc_id, item_id, any_value(n_item) AS n_item, count(*) AS n_shared
-FROM d JOIN i USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(n_item)"""
+FROM d JOIN i USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(n_item)
+UNION SELECT doc_id, item_id, CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM parts JOIN short USING (m, g)"""
 
 
 @query("op4_decontaminate", OP4)

@@ -236,13 +236,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar=SIMILAR, k: int = S
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def words_sql(source: str, key: str) -> str:
+    """(key, w): the words of a table's texts."""
+    return f"""SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'),
+                             lambda x: x <> '') AS w FROM {source}"""
+
+
 def sets_sql(source: str, key: str, width: int) -> str:
     """(key, n_words, g): the distinct shingles of a table, as text."""
     return f"""SELECT DISTINCT {key}, unnest(CASE
     WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
-  FROM (SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'),
-                             lambda x: x <> '') AS w FROM {source})"""
+  FROM ({words_sql(source, key)})"""
 
 
 def components_sql(width: int, source: str = "documents") -> str:

@@ -123,6 +123,26 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                     yield hashed[:0]
 
 
+def word_sequences(column: pa.Array, lengths: list[int]) -> Iterator[list[np.ndarray]]:
+    """For every row and each of ``lengths``, the sorted distinct hashes of its sequences of so many words.
+
+    The hash is that of a text of just these words, as :func:`shingle_sets` gives it to texts shorter than a shingle.
+    """
+    for _, data, offsets in text_chunks(column):
+        starts, ends, counts = words(data, offsets)
+        hashed = word_hashes(data, starts, ends)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        joined = []
+        with np.errstate(over="ignore"):
+            for m in lengths:
+                run = np.full(max(len(hashed) - m + 1, 0), m, np.uint64)
+                for j in range(m):
+                    run = run * _BASE + hashed[j:j + len(run)]
+                joined.append(mix(run))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield [np.unique(run[a:max(b - m + 1, a)]) for m, run in zip(lengths, joined)]
+
+
 def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
     """64-bit hashes as an array<bigint> column, bit for bit."""
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
