@@ -119,7 +119,8 @@ def license_scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
     facts = stage(facts)
     held = facts.where("is_license_file and license is not null and path is not null").select(
         F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), "license", "score")
-    held = _best(held, "directory")
+    # Stored first: joined straight to its own aggregate, a directory that holds many files could not be split over tasks.
+    held = stage(_best(held, "directory"))
     bare = facts.where("license is null and path is not null").select("path").distinct()
     above = bare.select("path", F.explode_outer(ancestors(F.col("path"))).alias("directory"))
     nearest = (above.join(held, "directory").groupBy("path")
