@@ -29,9 +29,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this session stores its tables: all of them are gone when this one folder is."""
+    return f"{checkpoint_root(spark)}/daygrid/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back; a filter on ``partition_by`` skips files."""
+    """Write ``df`` as parquet under the session's folder and read it back; a filter on ``partition_by`` skips files."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/daygrid/{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from daygrid.operators.quality import Guard, QualityError, collapse_versions, co
 from daygrid.plans.base import clean_hourly, daily_target, daily_weather
 from daygrid.plans.features import READINGS, build_features
 from daygrid.sources.readers import unique_events
+from daygrid.stage import session_folder, stage
 
 HOURLY = "k string, day date, hour string, rain double, temp double, wind_dir double, gust double, wind_speed double"
 EVENTS = "event_id string, start timestamp_ntz"
@@ -92,3 +93,11 @@ def test_features_have_no_gaps(spark):
     assert got == days("2024-01-08", 32)
     with pytest.raises(Exception, match="y is missing"):  # a day the base lacks has no target
         build_features(feature_input(spark).where("day <> '2024-01-20'"), ["k"]).collect()
+
+
+def test_stored_tables_lie_in_the_folder_of_their_session(spark):
+    """One folder holds all of a session's tables, so it can be removed by name."""
+    folder = session_folder(spark)
+    assert folder.endswith(f"/daygrid/{spark.sparkContext.applicationId}")
+    table = stage(spark.range(3))
+    assert table.count() == 3 and all(folder in name for name in table.inputFiles())
