@@ -548,7 +548,8 @@ bal AS (SELECT make_date(CAST(year(o_orderdate) AS INT), CAST(month(o_orderdate)
 SELECT month, y, {near_sql('consumption')} AS consumption FROM months JOIN bal USING (month)""")
 def second_source(spark, sf_dir):
     """Filtered order value per (year, month), in millions, joined with the monthly count."""
-    urgent = filter_equal(table(spark, sf_dir, "orders"), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+    chosen = equal_to({"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+    urgent = table(spark, sf_dir, "orders", "o_orderdate", "o_totalprice", where=chosen)
     dated = urgent.select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("mon"), "o_totalprice")
     other = monthly_balance(dated, [], "year", "mon", "o_totalprice", "consumption", 1e6)
     months = series(spark, sf_dir).groupBy(F.trunc("day", "MM").alias("month")).agg(F.sum("y").alias("y"))
