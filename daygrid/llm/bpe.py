@@ -32,7 +32,7 @@ from daygrid.stage import stage
 #: The pattern that cuts a text into words before merging: a fixed value of the tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORDS = 1 << 16  # words compiled into the lexicon
-CACHED = 1 << 19  # words whose ids a task remembers
+CACHED = 1 << 17  # words whose ids a task remembers; beyond it, it goes on with those of the lexicon
 ROWS = 256  # rows encoded together
 
 
@@ -261,14 +261,15 @@ class Lexicon:
         ends = self.token_offsets.tolist()
         self.tokens = [data[a:b] for a, b in zip(ends, ends[1:])]
         self.known: dict[str, list[int]] = {}
+        self.listed: dict[str, list[int]] = {}  # the known words of the lexicon
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if not new:
             return
         if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = list(words)
+            self.known = dict(self.listed)
+            new = [w for w in words if w not in self.known]
         spelled = [w.encode() for w in new]
         rank = look_up(spelled, self.arc_keys, self.arc_targets, self.arc_adds, self.final)
         unseen = np.flatnonzero(rank < 0).tolist()
@@ -277,7 +278,7 @@ class Lexicon:
             self.known[new[i]] = ids
         for i in np.flatnonzero(rank >= 0).tolist():
             a, b = self.id_offsets[rank[i]], self.id_offsets[rank[i] + 1]
-            self.known[new[i]] = self.ids[a:b].tolist()
+            self.known[new[i]] = self.listed[new[i]] = self.ids[a:b].tolist()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the words of all texts are looked up together."""

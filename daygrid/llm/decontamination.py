@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from daygrid.llm.catalog import query, table
 from daygrid.llm.cells import cell, listed_cells
 from daygrid.llm.near_duplicates import sets_sql, words_sql
-from daygrid.llm.shingles import long_lists, shingle_sets, word_sequences
+from daygrid.llm.shingles import long_lists, shingle_sets, text_pieces, word_sequences
 from daygrid.stage import stage
 
 WIDTH = 5
@@ -47,7 +47,7 @@ def _long_sets(df: DataFrame, key: str, width: int) -> DataFrame:
     """(key, n, hashes) of every row with a word."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches, 1):
             sets = list(shingle_sets(batch.column(1), width))
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), long_lists(sets)], ["key", "n", "hashes"])

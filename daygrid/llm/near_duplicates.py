@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from daygrid.llm.catalog import query, table
 from daygrid.llm.cells import only_listed
 from daygrid.llm.components import components
-from daygrid.llm.shingles import long_lists, mix, shingle_sets
+from daygrid.llm.shingles import long_lists, mix, shingle_sets, text_pieces
 from daygrid.stage import stage
 
 SKETCH = 48  # retained values of a set
@@ -46,7 +46,7 @@ def set_facts(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, fp1, fp2, sketch) of every row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches, 1):
             sizes, one, two, sketches = [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(batch.column(1), width):
@@ -67,7 +67,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, hashes): the whole sorted set of every row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), long_lists(list(shingle_sets(batch.column(1), width)))],
                                              ["id", "hashes"])
 

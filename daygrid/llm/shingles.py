@@ -6,18 +6,19 @@ polynomial over its bytes modulo 2^64, read off one running sum per chunk and
 then mixed; a shingle's hash mixes its words' hashes.  A text with fewer words
 than a shingle has its whole sequence as its only one; no words, no shingle.
 
-Work runs over chunks of a few MB, so memory is bounded by the chunk or by one
-very long text.
+Work runs over chunks of a quarter MB, so memory is bounded by the chunk or by one
+very long text: every byte of a chunk takes some 40 bytes of a worker, and idle
+workers keep the powers of the base.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -44,7 +45,7 @@ def powers(n: int, way: str) -> np.ndarray:
     """The first ``n`` powers of the base ("up") or of its inverse ("down")."""
     if len(_POWERS[way]) < n:
         with np.errstate(over="ignore"):
-            step = np.full(max(n, CHUNK_BYTES), _BASE if way == "up" else _BASE_INVERSE, np.uint64)
+            step = np.full(max(n + n // 4, CHUNK_BYTES + 1), _BASE if way == "up" else _BASE_INVERSE, np.uint64)
             step[0] = 1
             _POWERS[way] = np.cumprod(step)
     return _POWERS[way][:n]
@@ -79,6 +80,13 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         first = last
 
 
+def text_pieces(batches: Iterable[pa.RecordBatch], at: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in order, cut into batches with about ``size`` bytes in the text column ``at``."""
+    for batch in batches:
+        for first, _, offsets in text_chunks(batch.column(at), size):
+            yield batch.slice(first, len(offsets) - 1)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words of a chunk and the number of words of each row."""
     inside = ~_SEPARATOR[data]
